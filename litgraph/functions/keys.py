@@ -18,7 +18,7 @@ def free_key(etype: Column, normed: Column) -> Column:
 
 
 def work_key(metadata_id: Column, doi: Column, title_norm: Column) -> Column:
-    return F.coalesce(F.concat(F.lit("work:meta:"), metadata_id), F.concat(F.lit("work:doi:"), doi),
+    return F.coalesce(F.concat(F.lit("work:openalex:"), metadata_id), F.concat(F.lit("work:doi:"), doi),
                       F.concat(F.lit("work:title:"), sha_hex(title_norm, 20)))
 
 

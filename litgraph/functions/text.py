@@ -4,11 +4,13 @@ the rows that hold a non-ASCII character."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Character classes and words that stored keys and rankings depend on.
 HAN = "\\u3400-\\u9fff\\uf900-\\ufaff"
@@ -19,12 +21,12 @@ STOPWORDS = (
     "what who whom whose how why all any each few more most other some only own same very just about above after "
     "again against before below between both during further here once out off our ours your yours its itself his "
     "hers him she himself her herself use used using via per data based import def return self none true false print"
-).replace("herself ", "").split()
+).split()
 MAX_LATIN_TERMS = 12
 MAX_HAN_TERMS = 24
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fold(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v).casefold())
 
@@ -34,6 +36,11 @@ def fold(c: Column) -> Column:
     return F.coalesce(_fold(F.when(c.rlike("[^\\x00-\\x7F]"), c)), F.lower(c))
 
 
+def norm_text(s: str) -> str:
+    """``norm`` of one string, for a query argument."""
+    return " ".join(re.sub(PUNCT_CLASS, " ", unicodedata.normalize("NFKC", s).casefold()).split())
+
+
 def collapse(c: Column) -> Column:
     """Punctuation and white space runs become one blank; no blank at the ends."""
     return F.trim(F.regexp_replace(F.regexp_replace(c, PUNCT_CLASS, " "), "[\\s\\u00a0\\u3000]+", " "))
