@@ -22,7 +22,7 @@ def connect(sf_dir: str):
 
 
 def cell(v):
-    if v is None or v is getattr(__import__("pandas"), "NaT", None):
+    if v is None or type(v).__name__ in ("NaTType", "NAType"):
         return "~"
     if isinstance(v, bool) or type(v).__name__ == "bool_":
         return f"b{bool(v)}"
