@@ -54,8 +54,8 @@ def check(spark, con, name: str, fn, sql: str | None, sf_dir: str) -> tuple[bool
         return False, f"columns {sorted(got.columns)} != {sorted(want.columns)}"
     a, b = rows(got), rows(want)
     if a != b:
-        only_a = [x for x in a if x not in set(b)][:3]
-        only_b = [x for x in b if x not in set(a)][:3]
+        sa, sb = set(a), set(b)
+        only_a, only_b = [x for x in a if x not in sb][:3], [x for x in b if x not in sa][:3]
         return False, f"rows {len(a)} vs {len(b)}; cols {sorted(got.columns)}; spark-only {only_a}; sql-only {only_b}"
     return True, f"n={len(a)} spark {dt:.1f}s duckdb {dq:.1f}s" + ("   EMPTY" if not a else "")
 
