@@ -108,13 +108,13 @@ def _(t):
 
 
 @register("a11_best_per_dimension", """
-    WITH h AS (SELECT l_suppkey AS probe, l_orderkey AS other, p_type AS dimension, l_extendedprice/70000 AS rel
+    WITH h AS (SELECT l_suppkey AS probe, l_orderkey AS other, p_type AS dimension, l_extendedprice/71234.567 AS rel
       FROM lineitem JOIN part ON p_partkey=l_partkey),
     b AS (SELECT probe, other, dimension, max(rel) AS rel FROM h GROUP BY 1,2,3)
     SELECT probe, other, round(sum(rel),4) AS score, count(*) AS dims FROM b GROUP BY 1,2""")
 def _(t):
     h = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).selectExpr(
-        "l_suppkey probe", "l_orderkey other", "p_type dimension", "l_extendedprice / 70000 rel", "p_name mine", "p_brand theirs")
+        "l_suppkey probe", "l_orderkey other", "p_type dimension", "l_extendedprice / 71234.567D rel", "p_name mine", "p_brand theirs")
     return ru.best_per_dimension(h).groupBy("probe", "other").agg(F.round(F.sum("rel"), 4).alias("score"), F.count("*").alias("dims"))
 
 
