@@ -15,6 +15,7 @@ from ..functions import text as tx
 from ..functions.embed import hash_embedder
 from ..functions.entity import entity_text
 from ..model import ASSET_TYPES, SEARCH_TYPES, Library
+from ..session import cut
 from . import lookups as lk
 from . import rollups as ru
 from .filters import Filters, apply_filters, of_types
@@ -80,7 +81,7 @@ def _grid_hits(corpus: DataFrame, probes: DataFrame, k: int, floor: float, schem
     n, m = corpus.count(), probes.count()
     cols, rows = max(1, -(-n // GRID_ROWS)), max(1, -(-m // GRID_ROWS))
     c = corpus.withColumn("cx", F.pmod(F.xxhash64("id"), F.lit(cols))).withColumn("py", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
-    q = probes.withColumn("py", F.pmod(F.xxhash64("id"), F.lit(rows)).cast("int")).withColumn("cx", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).cast("long"))
+    q = probes.withColumn("py", F.pmod(F.xxhash64("id"), F.lit(rows)).cast("int")).withColumn("cx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cols - 1).cast("long"))))
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -197,7 +198,7 @@ def search(lib: Library, questions: DataFrame, vectors: DataFrame, f: Filters =
     if not prefilter:
         fused = fused.join(keep, "key", "left_semi")
     want = max(rerank_top, offset + limit)
-    head = top_per(fused, ["q"], [F.desc("fused"), F.col("key")], want, rank="place")
+    head = cut(top_per(fused, ["q"], [F.desc("fused"), F.col("key")], want, rank="place"))  # read three times below
     # the pairs scored are bounded: questions x rerank_top
     pairs = (head.filter(F.col("place") <= rerank_top).join(texts, "key").join(names_of(lib, head), "key", "left")
              .join(questions.select("q", F.col("text").alias("qtext")), "q")
@@ -240,12 +241,13 @@ def related_works(lib: Library, probes: DataFrame, vectors: DataFrame, views: Da
     # a paper's own parts are dropped after the search, so each list is longer by their number
     extra = int(own.agg(F.max("n")).first()[0] or 0)
     near = top_similar(pool, vectors.join(parts, "key", "left_semi").select(F.col("key").alias("id"), "vec"), k + extra, sim_min)
+    mine = cut(mine)
     near = mine.join(near.select(F.col("probe").alias("part"), F.col("id").alias("key"), "sim"), "part").join(
         mine.select("probe", F.col("part").alias("key")), ["probe", "key"], "left_anti")
     near = top_per(near, ["probe", "part"], [F.desc("sim"), F.col("key")], k)
     pairs = near.join(texts.select(F.col("key").alias("part"), F.col("text").alias("a")), "part").join(
         texts.select("key", "type", F.col("text").alias("b")), "key")
-    rel = lexical_scores(pairs, "a", "b", embed).filter(F.col("rel") >= rel_min).select("probe", "part", "key", "type", "rel")
+    rel = cut(lexical_scores(pairs, "a", "b", embed).filter(F.col("rel") >= rel_min).select("probe", "part", "key", "type", "rel"))
     owners = lk.source_works(lib, rel.select("key").distinct()).select("key", F.col("work_key").alias("other"))
     works = rel.filter("type = 'work'").withColumn("other", F.col("key"))
     owned = rel.filter("type != 'work'").join(owners, "key").select(*works.columns).unionByName(works).filter("other != probe")
