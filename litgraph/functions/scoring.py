@@ -84,18 +84,20 @@ def negated(c: Column) -> Column:
 
 
 def directions(c: Column) -> Column:
-    """Which direction words a text uses, as an array in antonym order."""
-    words = tx.tokens(tx.norm(c))
+    """Which direction words a text uses: Latin ones as words, Han ones anywhere."""
     names = list(dict.fromkeys(w for pair in ANTONYMS for w in pair))
-    return F.filter(F.array(*[F.when(F.array_contains(words, w) if w.isascii() else c.contains(w), F.lit(w)) for w in names]),
-                    lambda x: x.isNotNull())
+    latin = F.array(*[F.lit(w) for w in names if w.isascii()])
+    han = F.array(*[F.lit(w) for w in names if not w.isascii()])
+    return F.concat(F.array_intersect(tx.tokens(tx.norm(c)), latin), F.filter(han, lambda w: F.contains(c, w)))
 
 
 def opposite(neg_a: Column, dir_a: Column, neg_b: Column, dir_b: Column) -> Column:
     """Negation differs, or one side uses a direction word whose antonym only the other uses."""
-    crossed = F.lit(False)
-    for x, y in ANTONYMS:
-        ax, ay = F.array_contains(dir_a, x), F.array_contains(dir_a, y)
-        bx, by = F.array_contains(dir_b, x), F.array_contains(dir_b, y)
-        crossed = crossed | (ax & ~ay & by & ~bx) | (ay & ~ax & bx & ~by)
-    return (neg_a != neg_b) | crossed
+    pairs = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ANTONYMS])
+
+    def crossed(p: Column) -> Column:
+        ax, ay = F.array_contains(dir_a, p["x"]), F.array_contains(dir_a, p["y"])
+        bx, by = F.array_contains(dir_b, p["x"]), F.array_contains(dir_b, p["y"])
+        return (ax & ~ay & by & ~bx) | (ay & ~ax & bx & ~by)
+
+    return (neg_a != neg_b) | F.exists(pairs, crossed)

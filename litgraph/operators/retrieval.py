@@ -28,23 +28,31 @@ K1, B = 1.2, 0.75
 HIT_SCHEMA = "probe {0}, id {1}, sim double"
 
 
-def _block_hits(probe_ids: np.ndarray, probes: np.ndarray, ids: np.ndarray, mat: np.ndarray, k: int, floor: float) -> pd.DataFrame:
-    """The best ``k`` rows of one block for every probe, by score and then id."""
+def _block_hits(probes: pd.DataFrame, rows: pd.DataFrame, k: int, floor: float) -> pd.DataFrame:
+    """The best ``k`` rows of one block for every probe, by score and then id. With ``cls`` and ``seq``
+    columns a probe only sees rows of its class that come before it."""
+    pm, rm, ids = _matrix(probes["vec"]), _matrix(rows["vec"]), rows["id"].to_numpy()
+    ordered = "seq" in probes.columns
     out = []
     for lo in range(0, len(ids), 2048):
-        block_ids = ids[lo:lo + 2048]
-        sims = np.round(probes @ mat[lo:lo + 2048].T, 6)
-        for p in range(len(probe_ids)):
+        part = slice(lo, lo + 2048)
+        block, sims = ids[part], np.round(pm @ rm[part].T, 6)
+        for p, pid in enumerate(probes["id"]):
             s = sims[p]
-            ok = np.flatnonzero((s >= floor) & (block_ids != probe_ids[p]))
+            fit = (s >= floor) & (block != pid)
+            if ordered:
+                fit &= (rows["cls"].to_numpy()[part] == probes["cls"].iloc[p]) & (rows["seq"].to_numpy()[part] < probes["seq"].iloc[p])
+            ok = np.flatnonzero(fit)
             if len(ok) > k:
                 edge = np.partition(s[ok], len(ok) - k)[len(ok) - k]
                 above, tied = ok[s[ok] > edge], ok[s[ok] == edge]
-                tied = tied[np.argsort(block_ids[tied], kind="stable")]
+                tied = tied[np.argsort(block[tied], kind="stable")]
                 ok = np.concatenate([above, tied[:k - len(above)]])  # copies share a score: lowest ids stay
             if len(ok):
-                out.append(pd.DataFrame({"probe": probe_ids[p], "id": block_ids[ok], "sim": s[ok]}))
-    return pd.concat(out) if out else pd.DataFrame({"probe": probe_ids[:0], "id": ids[:0], "sim": np.zeros(0)})
+                out.append(pd.DataFrame({"probe": pid, "id": block[ok], "sim": s[ok]}))
+    if out:
+        return pd.concat(out)
+    return pd.DataFrame({"probe": probes["id"].iloc[:0], "id": rows["id"].iloc[:0], "sim": np.zeros(0)})
 
 
 def _matrix(col: pd.Series) -> np.ndarray:
@@ -53,27 +61,26 @@ def _matrix(col: pd.Series) -> np.ndarray:
 
 def top_similar(corpus: DataFrame, probes: DataFrame, k: int, floor: float = -2.0, max_probes: int = MAX_PROBES) -> DataFrame:
     """(probe, id, sim, rank): exact cosine neighbours of unit vectors; corpus(id, vec), probes(id, vec),
-    a row is never its own neighbour. At most ``max_probes`` probes travel to the corpus partitions;
+    a row is never its own neighbour; with cls and seq columns on both, only earlier rows of its class are. At most ``max_probes`` probes travel to the corpus partitions;
     a larger set meets the corpus on a grid of bounded cells instead. Only top-k rows leave a block."""
-    p = probes.select("id", "vec")
+    cols = ["id", "vec"] + (["cls", "seq"] if "seq" in probes.columns else [])
+    p = probes.select(*cols)
     head = p.limit(max_probes + 1).collect()
     types = (p.schema["id"].dataType.simpleString(), corpus.schema["id"].dataType.simpleString())
     schema = HIT_SCHEMA.format(*types)
     if not head:
         hits = corpus.sparkSession.createDataFrame([], schema)
     elif len(head) <= max_probes:
-        shared = corpus.sparkSession.sparkContext.broadcast(
-            (np.array([r["id"] for r in head]), np.stack([np.asarray(r["vec"], dtype=np.float64) for r in head])))
+        shared = corpus.sparkSession.sparkContext.broadcast(pd.DataFrame([r.asDict() for r in head]))
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, mat = shared.value
             for b in batches:
                 if len(b):
-                    yield _block_hits(ids, mat, b["id"].to_numpy(), _matrix(b["vec"]), k, floor)
+                    yield _block_hits(shared.value, b, k, floor)
 
-        hits = corpus.select("id", "vec").mapInPandas(scan, schema)
+        hits = corpus.select(*cols).mapInPandas(scan, schema)
     else:
-        hits = _grid_hits(corpus.select("id", "vec"), p, k, floor, schema)
+        hits = _grid_hits(corpus.select(*cols), p, k, floor, schema)
     return top_per(hits, ["probe"], [F.desc("sim"), F.col("id")], k, rank="rank")
 
 
@@ -86,7 +93,7 @@ def _grid_hits(corpus: DataFrame, probes: DataFrame, k: int, floor: float, schem
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"probe": left["id"], "id": right["id"], "sim": pd.Series(dtype=float)}).iloc[:0]
-        return _block_hits(left["id"].to_numpy(), _matrix(left["vec"]), right["id"].to_numpy(), _matrix(right["vec"]), k, floor)
+        return _block_hits(left, right, k, floor)
 
     return q.groupBy("cx", "py").cogroup(c.groupBy("cx", "py")).applyInPandas(cell, schema)
 

@@ -202,3 +202,30 @@ def decisions(t: Tables) -> DataFrame:
         "case event_type when 'signup' then 'merge' when 'error' then 'edge_status' when 'click' then 'distinct' "
         "when 'view' then 'rename' else 'reject_entity' end op",
         "user_id a", "cast(get_json_object(props, '$.k') as bigint) b", "value")
+
+
+def documents(t: Tables) -> DataFrame:
+    """(eid, path, content): one export document per part, written as YAML text. The columns decide what
+    is in it and which known mistakes it makes."""
+    size = F.col("p_size")
+    line = lambda cond, text: F.when(cond, text)
+    s, i = F.lit, F.col("p_partkey")
+    body = F.concat_ws(
+        "\n",
+        F.concat(s("rxf_version: "), F.when(size == 50, s("7")).when(size == 49, s("'1'")).otherwise(s("1"))),
+        F.concat(s("depth: "), F.when(i % 2 == 0, s("deep")).otherwise(s("light"))), s("language: en"), s("paper:"),
+        F.concat(s("  title: Study "), i % 500, s(" of "), "p_name"), F.when(i % 3 == 0, F.concat(s("  doi: 10.5555/p."), i % 700)),
+        F.concat(s("  year: "), s(1990) + size % 20), F.concat(s("  organisms: ['"), "p_type", s("']")), s("  modalities: [RNA-seq]"), s("topics:"),
+        F.concat(s("  - {id: t1, name: "), F.lower("p_type"), s(" "), F.split("p_name", " ")[1], s(", relation: about"), F.when(size == 7, s(", new: true")).otherwise(s("")), s("}")),
+        s("claims:"),
+        F.concat(s("  - {id: c1, text: 'The "), "p_name", s(" "), F.when(size % 2 == 0, s("increases")).otherwise(s("decreases")), s(" yield of "), "p_brand",
+                 s("', evidence_type: "), F.when(size % 3 == 0, s("causal")).otherwise(s("correlational")), F.when(size % 10 == 3, s("")).otherwise(s(", evidence: Fig. 1")), s("}")),
+        s("assets:"), s("  datasets:"),
+        F.concat(s("    - {id: d1, accession: "), F.when(size == 11, s("made-up")).otherwise(F.concat(s("GSE"), s(1000) + i % 300)), s(", tissue: "), F.lower("p_type"), s(", role: "),
+                 F.when(i % 4 == 0, s("produces")).otherwise(s("uses")), s("}")),
+        s("  methods:"), F.concat(s("    - {id: m1, name: Tool "), i % 97, s(", repo: 'https://github.com/lab/tool"), i % 97, s(".git', role: proposes}")),
+        s("  ideas:"), F.concat(s("    - {id: i1, text: 'Try "), "p_name", s(" on "), F.lower("p_brand"), s("', transfer: "),
+                                F.when(size % 10 == 5, s("cross-species, to: t1}")).otherwise(s("{type: cross-species, to: t1}}"))),
+        s("user_insights:"), F.concat(s("  - {id: u1, text: 'Mine about "), "p_name", s("', links_to: [c1, "), F.when(size == 21, s("c9")).otherwise(s("t1")), s("]}")),
+        s("review_cards:"), F.concat(s("  - {q: 'What about "), "p_name", s("?', a: "), "p_type", s(", about: d1}")))
+    return t.part.select(i.alias("eid"), F.concat(s("doc"), i, s(".yaml")).alias("path"), F.encode(body, "UTF-8").alias("content"))
