@@ -1,11 +1,275 @@
-"""Corrections replayed over the derived tables."""
+"""Corrections: a log of human decisions replayed last over the derived tables.
+
+The replay is set-based. Merges become a redirect map; every other decision follows the map to the
+surviving key and then the last decision about a thing wins, which is what replaying the log in order
+does. No group of decisions is gathered anywhere."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import Library
+from ..functions.keys import card_id, free_key
+from ..functions.text import norm
+from ..model import EDGE_TYPES, STATUS_RANK, Library
+from ..session import cut
+from . import lookups as lk
+from .graph import rank_in
+
+# The operations and the fields each needs.
+REQUIRED = {
+    "merge": ("from", "into"), "distinct": ("a", "b"), "split": ("key", "new_name", "edges"), "edge_status": ("src", "dst", "type", "status"),
+    "add_edge": ("src", "dst", "type"), "create_topic": ("name",), "confirm_topic": ("key",), "rename": ("key", "name"), "add_alias": ("key", "alias"),
+    "edit_text": ("key", "text"), "create_idea": ("text",), "retract": ("work",), "reject_entity": ("key",)}
+EDGE_STATUSES = ("confirmed", "rejected", "auto")
+
+
+def field(name: str) -> Column:
+    return F.get_json_object("payload", f"$.{name}")
+
+
+def active(decisions: DataFrame) -> DataFrame:
+    return decisions.filter("revoked_at is null")
+
+
+def validated(lib: Library, decisions: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
+    """decisions with ``problem`` (null when it can be stored) and ``hint``: the key meant, when the entity
+    named is unknown but its name part is someone's name."""
+    known = F.col("op").isin(*REQUIRED)
+    missing, blank = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for op, names in REQUIRED.items():
+        mine = F.col("op") == op
+        missing = F.coalesce(missing, F.when(mine, F.array_join(F.filter(F.array(*[F.when(field(n).isNull(), F.lit(n)) for n in names]), lambda x: x.isNotNull()), ", ")))
+        blank = F.coalesce(blank, F.when(mine, F.array_join(F.filter(F.array(*[F.when(F.trim(field(n)) == "", F.lit(n)) for n in names]), lambda x: x.isNotNull()), ", ")))
+    edge_op = F.col("op").isin("edge_status", "add_edge")
+    d = decisions.withColumn("_m", missing).withColumn("_b", blank)
+    shape = (F.when(~known, "unknown op").when(F.col("_m") != "", F.concat(F.lit("missing "), "_m")).when(F.col("_b") != "", F.concat(F.lit("empty "), "_b"))
+             .when(edge_op & ~field("type").isin(*EDGE_TYPES), "unknown edge type").when((F.col("op") == "edge_status") & ~field("status").isin(*EDGE_STATUSES), "unknown status"))
+    d = d.withColumn("shape", shape).drop("_m", "_b")
+    asked = d.filter("shape is null").select("id", F.explode(F.filter(F.array(*[field(n) for n in ("key", "from", "into", "a", "b", "src", "dst")]), lambda x: x.isNotNull())).alias("ref"))
+    asked = asked.withColumn("k", F.col("ref"))
+    if redirects is not None:
+        asked = lk.follow(asked, redirects, "k")
+    have = lib.entity.select(F.col("key").alias("k"), F.lit(True).alias("there"))
+    lost = asked.join(have, "k", "left").filter("there is null").select("id", "ref")
+    named = lost.select("id", "ref", F.split_part("ref", F.lit(":"), F.lit(1)).alias("type"), norm(F.expr("substring(ref, instr(ref, ':') + 1)")).alias("norm"))
+    tip = lk.by_alias(lib, named).groupBy("id").agg(F.min("ref").alias("lost"), F.min("key").alias("hint"))
+    return d.join(tip, "id", "left").withColumn(
+        "problem", F.coalesce("shape", F.when(F.col("lost").isNotNull(), F.concat(F.lit("not found: "), "lost")))).drop("shape", "lost")
+
+
+def merges_of(lib: Library, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(usable merges, skipped): both ends known, of one type, and different."""
+    m = active(decisions).filter("op = 'merge'").select("id", field("from").alias("from_key"), field("into").alias("into_key"))
+    types = lib.entity.select("key", "type")
+    m = (m.join(types.select(F.col("key").alias("from_key"), F.col("type").alias("ft")), "from_key", "left")
+         .join(types.select(F.col("key").alias("into_key"), F.col("type").alias("it")), "into_key", "left"))
+    why = (F.when(F.col("ft").isNull() | F.col("it").isNull(), "not found").when(F.col("from_key") == F.col("into_key"), "same entity")
+           .when(F.col("ft") != F.col("it"), "different types"))
+    m = cut(m.withColumn("reason", why))
+    return m.filter("reason is null").select("id", "from_key", "into_key"), m.filter("reason is not null").select("id", F.lit("merge").alias("op"), "reason")
+
+
+def fold_edges(edge: DataFrame) -> DataFrame:
+    """One row per (src, dst, type): highest status and confidence, first evidence and time; other columns
+    come from the row that was there first. Self-loops go."""
+    rank = F.create_map(*[x for k, v in STATUS_RANK.items() for x in (F.lit(k), F.lit(v))])
+    names = {v: k for k, v in STATUS_RANK.items()}
+    top = F.max(rank[F.col("status")])
+    rest = [c for c in edge.columns if c not in ("src", "dst", "type", "status", "confidence", "evidence", "created_at")]
+    first = [F.min_by(c, F.struct("created_at", "evidence")).alias(c) for c in rest]
+    return edge.filter("src != dst").groupBy("src", "dst", "type").agg(
+        F.when(top == 2, names[2]).when(top == 1, names[1]).otherwise(names[0]).alias("status"), F.max("confidence").alias("confidence"),
+        F.min_by("evidence", F.when(F.col("evidence").isNotNull(), F.struct("created_at", "evidence"))).alias("evidence"), F.min("created_at").alias("created_at"), *first)
+
+
+def merge_entities(lib: Library, redirects: DataFrame) -> Library:
+    """Edges, names and works of merged entities move to the survivor and fold; a user's wording
+    survives, an active status too."""
+    edge = fold_edges(lk.follow(lk.follow(lib.edge, redirects, "src"), redirects, "dst"))
+    alias = lk.follow(lib.alias, redirects, "entity_key")
+    keep = [c for c in alias.columns if c not in ("entity_key", "norm")]
+    alias = alias.groupBy("entity_key", "norm").agg(*[F.min_by(c, F.struct("source", "alias")).alias(c) for c in keep])
+    moved = lib.entity.join(redirects, "key").groupBy("target").agg(
+        F.min_by("canonical_name", F.when(F.col("origin") == "user", F.col("key"))).alias("user_name"), F.max((F.col("status") == "active").cast("int")).alias("was_active"))
+    e = lib.entity.join(redirects.select("key"), "key", "left_anti").join(moved.withColumnRenamed("target", "key"), "key", "left")
+    takes = F.col("user_name").isNotNull() & (F.coalesce("origin", F.lit("")) != "user")
+    e = (e.withColumn("canonical_name", F.when(takes, F.col("user_name")).otherwise(F.col("canonical_name"))).withColumn("origin", F.when(takes, "user").otherwise(F.col("origin")))
+         .withColumn("status", F.when((F.col("was_active") == 1) & (F.col("status") == "candidate"), "active").otherwise(F.col("status"))).drop("user_name", "was_active"))
+    work = lk.follow(lib.work, redirects, "entity_key").groupBy("entity_key").agg(F.min("year").alias("year"), F.max("tier").alias("tier"))
+    return Library(entity=e, edge=edge, alias=alias, work=work)
+
+
+def split_entities(lib: Library, splits: DataFrame) -> Library:
+    """splits(id, key, new_name, src, dst, type): the listed edges and the names of the new entity move to
+    it. A split none of whose edges exist changes nothing."""
+    s = splits.join(lib.entity.select("key", F.col("type").alias("etype")), "key").withColumn("new_key", free_key(F.col("etype"), norm(F.col("new_name"))))
+    hit = cut(s.join(lib.edge.select("src", "dst", "type"), ["src", "dst", "type"], "left_semi").filter("key = src or key = dst"))
+    mv = hit.groupBy("src", "dst", "type").agg(F.max_by(F.struct("key", "new_key"), "id").alias("m"))
+    e = lib.edge.join(mv, ["src", "dst", "type"], "left")
+    for end in ("src", "dst"):
+        e = e.withColumn(end, F.when(F.col("m.key") == F.col(end), F.col("m.new_key")).otherwise(F.col(end)))
+    new = hit.groupBy("new_key").agg(F.min_by(F.struct("key", "new_name"), "id").alias("n"))
+    born = lib.entity.join(new.select("new_key", F.col("n.key").alias("key"), F.col("n.new_name").alias("nn")), "key")
+    born = born.withColumn("key", F.col("new_key")).withColumn("canonical_name", F.col("nn")).drop("new_key", "nn").join(lib.entity.select("key"), "key", "left_anti")
+    go = hit.select(F.col("key").alias("entity_key"), norm(F.col("new_name")).alias("norm"), "new_key").distinct()
+    own = lib.entity.select(F.col("key").alias("entity_key"), norm(F.col("canonical_name")).alias("own"))
+    al = lib.alias.join(go, ["entity_key", "norm"], "left").join(own, "entity_key", "left")
+    al = al.withColumn("entity_key", F.when(F.col("new_key").isNotNull() & (F.col("norm") != F.col("own")), F.col("new_key")).otherwise(F.col("entity_key"))).drop("new_key", "own")
+    return lib.with_(entity=lib.entity.unionByName(born), edge=fold_edges(e.drop("m")), alias=al)
+
+
+def edge_decisions(decisions: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
+    """(src, dst, type, status, adds, at, evidence): the last word on each edge; an explicit add confirms."""
+    d = active(decisions).filter("op in ('edge_status','add_edge')").select(
+        "id", "created_at", field("src").alias("src"), field("dst").alias("dst"), field("type").alias("type"),
+        F.when(F.col("op") == "add_edge", "confirmed").otherwise(field("status")).alias("status"), field("evidence").alias("evidence"))
+    if redirects is not None:
+        d = lk.follow(lk.follow(d, redirects, "src"), redirects, "dst")
+    last = d.groupBy("src", "dst", "type").agg(F.max_by(F.struct("status", "evidence"), "id").alias("m"), F.max((F.col("status") == "confirmed").cast("int")).alias("c"), F.min("created_at").alias("at"))
+    return last.select("src", "dst", "type", "m.status", (F.col("c") == 1).alias("adds"), "at", "m.evidence").filter("src != dst")
+
+
+def effective_edges(lib: Library, decided: DataFrame) -> DataFrame:
+    """The edge table under the decisions: status replaced, confirmed edges that were missing added."""
+    d = decided.select("src", "dst", "type", F.col("status").alias("_s"))
+    out = lib.edge.join(d, ["src", "dst", "type"], "left").withColumn("status", F.coalesce("_s", "status")).drop("_s")
+    keys = lib.entity.select("key")
+    new = (decided.filter("adds").join(lib.edge.select("src", "dst", "type"), ["src", "dst", "type"], "left_anti")
+           .join(keys.withColumnRenamed("key", "src"), "src", "left_semi").join(keys.withColumnRenamed("key", "dst"), "dst", "left_semi")
+           .select("src", "dst", "type", "status", F.lit(1.0).alias("confidence"), "evidence", F.col("at").alias("created_at")))
+    return out.unionByName(new, allowMissingColumns=True)
+
+
+def apply_all(lib: Library, decisions: DataFrame) -> tuple[Library, DataFrame]:
+    """(library, skipped): every active decision replayed; stale ones are listed with the reason."""
+    d = cut(active(decisions))
+    merges, skipped = merges_of(lib, d)
+    red = cut(lk.redirect_map(merges))
+    lib = merge_entities(lib, red)
+    parts = d.filter("op = 'split'").select("id", field("key").alias("key"), field("new_name").alias("new_name"),
+                                            F.explode(F.from_json(field("edges"), "array<struct<src:string,dst:string,type:string>>")).alias("e")).select("id", "key", "new_name", "e.*")
+    lib = split_entities(lib, lk.follow(lk.follow(lk.follow(parts, red, "key"), red, "src"), red, "dst"))
+    lib = lib.with_(entity=cut(_created(lib, d, red)))
+    keyed = lk.follow(d.filter("op in ('confirm_topic','rename','add_alias','edit_text','reject_entity')").withColumn("key", field("key")), red, "key")
+    known = lib.entity.select("key", "type")
+    lost = keyed.join(known.select("key"), "key", "left_anti").select("id", "op", F.lit("not found").alias("reason"))
+    keyed = cut(keyed.join(known, "key"))
+    papers = keyed.filter("op = 'reject_entity' and type = 'work'").select("id", "op", F.lit("a paper is retracted, not rejected").alias("reason"))
+    state = keyed.filter("op = 'confirm_topic' or (op = 'reject_entity' and type != 'work')").groupBy("key").agg(
+        F.max_by(F.when(F.col("op") == "reject_entity", "rejected").otherwise("active"), "id").alias("_st"))
+    text = F.coalesce(field("name"), field("text"))
+    wording = keyed.filter("op in ('rename','edit_text')").groupBy("key").agg(F.max_by(text, "id").alias("_nm"))
+    names = (keyed.filter("op in ('rename','edit_text','add_alias')").select(F.col("key").alias("entity_key"), F.coalesce(field("alias"), text).alias("alias"))
+             .unionByName(wording.join(lib.entity, "key").select(F.col("key").alias("entity_key"), F.col("canonical_name").alias("alias"))))
+    fresh = names.withColumn("norm", norm(F.col("alias"))).filter(F.length("norm").between(1, 500)).join(lib.alias.select("entity_key", "norm"), ["entity_key", "norm"], "left_anti")
+    fresh = fresh.groupBy("entity_key", "norm").agg(F.min("alias").alias("alias")).withColumn("source", F.lit("user"))
+    entity = (lib.entity.join(state, "key", "left").join(wording, "key", "left").withColumn("status", F.coalesce("_st", "status"))
+              .withColumn("canonical_name", F.coalesce("_nm", "canonical_name")).drop("_st", "_nm"))
+    edge = effective_edges(lib, edge_decisions(d, red))
+    out = lib.with_(entity=entity, edge=edge, alias=lib.alias.unionByName(fresh, allowMissingColumns=True))
+    return out, skipped.unionByName(lost).unionByName(papers)
+
+
+def _created(lib: Library, d: DataFrame, red: DataFrame) -> DataFrame:
+    """The entities plus topics and ideas decisions created, dated by the decision."""
+    c = d.filter("op in ('create_topic','create_idea')").withColumn("type", F.when(F.col("op") == "create_topic", "topic").otherwise("idea"))
+    c = c.withColumn("name", F.coalesce(field("name"), field("text"))).withColumn("key", free_key(F.col("type"), norm(F.col("name"))))
+    c = lk.follow(c, red, "key")
+    one = c.groupBy("key").agg(F.min_by(F.struct("type", F.col("name").alias("canonical_name"), "created_at", F.when(F.col("op") == "create_idea", "user").alias("origin")), "id").alias("m"))
+    named = lib.alias.select("norm", "entity_key").join(lib.entity.select(F.col("key").alias("entity_key"), "type"), "entity_key").select("norm", "type")
+    new = one.join(lib.entity.select("key"), "key", "left_anti").select("key", "m.*").withColumn("norm", norm(F.col("canonical_name"))).join(named, ["norm", "type"], "left_anti").drop("norm")
+    up = c.filter("op = 'create_topic'").select("key", F.lit(True).alias("_up")).distinct()
+    old = lib.entity.join(up, "key", "left").withColumn("status", F.when(F.col("_up"), "active").otherwise(F.col("status"))).drop("_up")
+    return old.unionByName(new.withColumn("status", F.lit("active")), allowMissingColumns=True)
+
+
+def distinct_pairs(decisions: DataFrame) -> DataFrame:
+    """(a, b) a <= b: pairs a person declared different; every split declares one."""
+    d = active(decisions).filter("op in ('distinct','split')").select(F.coalesce(field("a"), field("key")).alias("x"), F.coalesce(field("b"), field("new_key")).alias("y"))
+    return d.filter("x is not null and y is not null").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def pinned(lib: Library, decisions: DataFrame) -> DataFrame:
+    """Keys of a merge whose other side does not exist yet; they must not be merged away meanwhile."""
+    m = active(decisions).filter("op = 'merge'").select("id", field("from").alias("from_key"), field("into").alias("into_key"))
+    red = lk.redirect_map(m)
+    have = lib.entity.select(F.col("key").alias("target"))
+    waiting = red.join(have, "target", "left_anti").select("key")
+    return waiting.unionByName(m.select(F.col("into_key").alias("key"))).distinct()
+
+
+def current(extractions: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Extractions with is_current: false while an active retract lists them; revoking it restores them."""
+    out = active(decisions).filter("op = 'retract'").select(F.explode(F.from_json(field("extraction_ids"), "array<bigint>")).alias("id")).distinct()
+    return extractions.join(out.withColumn("_r", F.lit(True)), "id", "left").withColumn("is_current", F.col("_r").isNull()).drop("_r")
+
+
+def stable_ids(new: DataFrame, old: DataFrame) -> DataFrame:
+    """(key, id): known keys keep their id, new ones get ids above every id ever used, in hash order. The
+    hash prefix is the partition of the numbering, so no task sees all keys. old(key, id)."""
+    kept = new.select("key").join(old.select("key", "id"), "key")
+    fresh = new.select("key").join(old.select("key"), "key", "left_anti").withColumn("_h", F.md5("key")).withColumn("_p", F.substring("_h", 1, 3))
+    from pyspark.sql import Window
+    sizes = fresh.groupBy("_p").agg(F.count("*").alias("_n"))  # at most 4096 rows
+    off = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    top = old.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    numbered = fresh.withColumn("_r", rank_in(["_p"], [F.col("_h"), F.col("key")])).join(off, "_p").select("key", (top + F.col("_o") + F.col("_r")).alias("id"))
+    return kept.unionByName(numbered)
+
+
+def restamped(extractions: DataFrame, paper_of: DataFrame) -> DataFrame:
+    """Extractions under the paper they belong to now; paper_of(eid, key)."""
+    p = paper_of.select(F.col("eid").alias("id"), F.col("key").alias("_k"))
+    return extractions.join(p, "id", "left").withColumn("work_key", F.coalesce("_k", "work_key")).drop("_k")
+
+
+def reconcile_cards(cards: DataFrame, logs: DataFrame, entity: DataFrame, redirects: DataFrame) -> DataFrame:
+    """Cards after a rebuild: they follow merges, one card per slot keeps the longest history, and a card
+    without a living entity joins a living one with its question or is suspended."""
+    c = lk.follow(cards, redirects, "entity_key")
+    n = logs.groupBy(F.col("card_id").alias("id")).agg(F.count("*").alias("history"))
+    c = c.join(n, "id", "left").fillna(0, ["history"]).join(entity.select(F.col("key").alias("entity_key"), F.lit(True).alias("lives")), "entity_key", "left")
+    sibling = c.filter("lives").groupBy("q").agg(F.min("entity_key").alias("sk"))
+    c = c.join(sibling, "q", "left").withColumn("entity_key", F.when(F.col("lives").isNull(), F.coalesce("sk", "entity_key")).otherwise(F.col("entity_key")))
+    c = c.withColumn("suspended", F.col("suspended") | (F.col("lives").isNull() & F.col("sk").isNull()))
+    c = c.withColumn("slot", card_id(F.col("entity_key"), F.col("q"), F.col("origin")))
+    best = F.max_by(F.struct("id", "entity_key", "q", "a", "origin", "due"), F.struct("history", "id"))
+    return c.groupBy("slot").agg(best.alias("m"), F.max("priority").alias("priority"), F.min("introduced_at").alias("introduced_at"), F.min("suspended").alias("suspended"),
+                                 F.sum("history").alias("history")).select(F.col("slot").alias("id"), F.col("m.id").alias("kept"), "m.entity_key", "m.q", "m.a", "m.origin", "m.due", "priority", "introduced_at", "suspended", "history")
+
+
+def answers_to_decisions(items: DataFrame, answers: DataFrame, redirects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(decisions, obsolete items): answers(id, action) to pending questions as decision rows. Keys follow
+    redirects; a question about what is one entity by now is obsolete."""
+    q = items.filter("status = 'pending'").join(answers, "id")
+    for k in ("a", "b", "key", "topic", "work", "claim"):
+        q = lk.follow(q.withColumn(k, F.get_json_object("payload", f"$.{k}")), redirects, k)
+    pair = F.col("kind").isin("merge", "topic_relation")
+    q = cut(q.withColumn("gone", pair & (F.col("a") == F.col("b"))))
+    act, kind = F.col("action"), F.col("kind")
+
+    def edge(src: str, dst: str, etype: Column) -> Column:
+        return F.struct(F.lit("add_edge").alias("op"), F.to_json(F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"), etype.alias("type"))).alias("payload"))
+
+    merge = F.struct(F.lit("merge").alias("op"), F.to_json(F.struct(F.col("a").alias("from"), F.col("b").alias("into"))).alias("payload"))
+    apart = F.struct(F.lit("distinct").alias("op"), F.to_json(F.struct("a", "b")).alias("payload"))
+    idea = F.struct(F.lit("create_idea").alias("op"), F.to_json(F.struct(F.concat_ws(" ↔ ", "a", "b").alias("text"), F.array("a", "b").alias("links"))).alias("payload"))
+    stance = F.when(F.get_json_object("payload", "$.stance") == "contradicts", "supports").otherwise("contradicts")
+    retro = F.when(F.get_json_object("payload", "$.type") == "work", act).otherwise("applicable_to")
+    made = (F.when(pair & (act == "merge"), merge).when(pair & (act == "distinct"), apart)
+            .when((kind == "topic_relation") & (act == "a_is_a_b"), edge("a", "b", F.lit("is_a"))).when((kind == "topic_relation") & (act == "b_is_a_a"), edge("b", "a", F.lit("is_a")))
+            .when((kind == "contradiction") & (act == "accept"), edge("work", "claim", stance))
+            .when((kind == "retro_tag") & act.isin("about", "applicable_to"), edge("key", "topic", retro)).when((kind == "synthesis") & (act == "useful"), idea))
+    return q.filter("not gone").select("id", made.alias("d")).filter("d is not null").select("id", "d.op", "d.payload"), q.filter("gone").select("id")
+
+
+def suspend_cards(cards: DataFrame, card_ids: DataFrame, entities: DataFrame) -> DataFrame:
+    """Cards with these ids, and all cards of these entities, out of rotation."""
+    a = card_ids.select("id", F.lit(True).alias("_a"))
+    b = entities.select(F.col("key").alias("entity_key"), F.lit(True).alias("_b"))
+    return cards.join(a, "id", "left").join(b, "entity_key", "left").withColumn(
+        "suspended", F.col("suspended") | F.coalesce("_a", F.lit(False)) | F.coalesce("_b", F.lit(False))).drop("_a", "_b")
 
 
 def delete_entities(lib: Library, keys: DataFrame) -> Library:
@@ -17,5 +281,4 @@ def delete_entities(lib: Library, keys: DataFrame) -> Library:
             df = df.join(gone.select(F.col("key").alias(c)), c, "left_anti")
         return df
 
-    return Library(entity=drop(lib.entity, "key"), edge=drop(lib.edge, "src", "dst"), alias=drop(lib.alias, "entity_key"),
-                   work=drop(lib.work, "entity_key"))
+    return Library(entity=drop(lib.entity, "key"), edge=drop(lib.edge, "src", "dst"), alias=drop(lib.alias, "entity_key"), work=drop(lib.work, "entity_key"))

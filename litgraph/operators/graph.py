@@ -136,7 +136,7 @@ def communities(lib: Library, rounds: int = 30) -> DataFrame:
 def redirect_closure(links: DataFrame) -> DataFrame:
     """(key, target): each redirected key with the end of its chain; ``links`` is (key, into), one row
     per key. Pointer jumping doubles the distance every round, so whatever is still open once the
-    distance exceeds the number of links runs into a cycle: such keys stay themselves."""
+    distance exceeds the number of links runs into a cycle: such keys stay themselves and get no row."""
     cur = cut(links.select("key", F.col("into").alias("target")))
     total, reach = cur.count(), 1
     while True:
@@ -148,7 +148,7 @@ def redirect_closure(links: DataFrame) -> DataFrame:
             return cur
         reach *= 2
         if reach > total:
-            return step.select("key", F.when(F.col("open"), F.col("key")).otherwise(F.col("target")).alias("target"))
+            return step.filter("not open").select("key", "target")
 
 
 def one_hop(lib: Library, edge_type: str, up: bool) -> DataFrame:

@@ -85,10 +85,15 @@ def top_similar(corpus: DataFrame, probes: DataFrame, k: int, floor: float = -2.
 
 
 def _grid_hits(corpus: DataFrame, probes: DataFrame, k: int, floor: float, schema: str) -> DataFrame:
+    """Cells of the probe x corpus grid: large enough to keep the copies of each row few, small enough to
+    fit a task and to give every core some."""
     n, m = corpus.count(), probes.count()
-    cols, rows = max(1, -(-n // GRID_ROWS)), max(1, -(-m // GRID_ROWS))
-    c = corpus.withColumn("cx", F.pmod(F.xxhash64("id"), F.lit(cols))).withColumn("py", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
-    q = probes.withColumn("py", F.pmod(F.xxhash64("id"), F.lit(rows)).cast("int")).withColumn("cx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cols - 1).cast("long"))))
+    side = int(min(GRID_ROWS, max(500, (n * m / corpus.sparkSession.sparkContext.defaultParallelism) ** 0.5)))
+    cols, rows = max(1, -(-n // side)), max(1, -(-m // side))
+    c = corpus.select(*[F.col(x).alias(x) for x in corpus.columns]).withColumn("cx", F.pmod(F.xxhash64("id"), F.lit(cols))).withColumn(
+        "py", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    q = probes.withColumn("py", F.pmod(F.xxhash64("id"), F.lit(rows)).cast("int")).withColumn(
+        "cx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cols - 1).cast("long"))))
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
