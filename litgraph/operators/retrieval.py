@@ -15,7 +15,7 @@ from ..functions import text as tx
 from ..functions.embed import hash_embedder
 from ..functions.entity import entity_text
 from ..model import ASSET_TYPES, SEARCH_TYPES, Library
-from ..session import cut
+from ..session import broadcast_if_small, cut
 from . import lookups as lk
 from . import rollups as ru
 from .filters import Filters, apply_filters, of_types
@@ -118,19 +118,21 @@ def term_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
     units = docs.select("id", F.explode(text_units(F.lower("body"))).alias("word")).filter(F.length("word") >= 3)
     vocabulary = units.select("word").distinct()
     grams = vocabulary.select("word", F.explode(F.array_distinct(tx.windows(F.col("word"), 3))).alias("g"))
-    wanted = terms.select("term").distinct().withColumn("g", F.substring("term", 1, 3))
+    wanted = broadcast_if_small(cut(terms.select("term").distinct().withColumn("g", F.substring("term", 1, 3))))
     spots = F.filter(F.sequence(F.lit(1), F.length("word") - F.length("term") + 1),
                      lambda i: F.substring(F.col("word"), i, F.length("term")) == F.col("term"))
-    held = (grams.join(wanted, "g").filter(F.col("word").contains(F.col("term")))
-            .select("word", "term", F.size(spots).alias("times")))
-    return units.join(held, "word").groupBy("id", "term").agg(F.sum("times").alias("tf"))
+    held = cut(grams.join(wanted, "g").filter(F.col("word").contains(F.col("term")))
+               .select("word", "term", F.size(spots).alias("times")))
+    # with few matching words the texts are joined and counted before their only shuffle
+    return units.join(broadcast_if_small(held), "word").groupBy("id", "term").agg(F.sum("times").alias("tf"))
 
 
 def keyword_search(docs: DataFrame, questions: DataFrame, k: int = 200) -> DataFrame:
     """(q, id, score, rank): BM25 over the bounded terms of each question; docs(id, body),
     questions(q, text)."""
     asked = questions.select("q", F.explode(tx.query_terms(tx.norm(F.col("text")))).alias("term")).distinct()
-    tf = term_frequencies(docs, asked)
+    asked = cut(asked)
+    tf = cut(term_frequencies(docs, asked))  # read for the document frequencies and for the scores
     size = docs.select("id", F.greatest(F.length("body") - 2, F.lit(0)).alias("len"))
     totals = size.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))

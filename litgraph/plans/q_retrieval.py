@@ -11,6 +11,7 @@ from ..operators import retrieval as rt
 from ..operators import ranking as rk
 from ..operators import rollups as ru
 from ..operators.filters import Filters
+from ..session import broadcast_if_small
 from ..sources import star
 from .q_joins import newest_works
 from .registry import NORM, register
@@ -73,7 +74,7 @@ def _(t):
 
 
 STOP = ",".join(f"'{w}'" for w in tx.STOPWORDS)
-TERMS = f"""qs AS (SELECT item_id AS q, regexp_extract_all({NORM.format('text')}, '[a-z0-9]+') AS ws FROM benchmark),
+TERMS = f"""qs AS (SELECT item_id AS q, regexp_extract_all({NORM.format("replace(lower(text),'ß','ss')")}, '[a-z0-9]+') AS ws FROM benchmark),
     qw AS (SELECT q, unnest(ws) AS w, generate_subscripts(ws,1) AS i FROM qs), qd AS (SELECT q, w, min(i) AS i FROM qw GROUP BY 1,2),
     qt AS (SELECT q, w AS term FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY length(w) DESC, i) AS r FROM qd WHERE length(w)>=3 AND w NOT IN ({STOP})) WHERE r<=12),
     dw AS (SELECT id, w, count(*) AS c FROM (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text),'[a-z0-9]+')) AS w FROM documents) WHERE length(w)>=3 GROUP BY 1,2),
@@ -109,10 +110,11 @@ def holding(t):
     q, d = passages(t)
     words = F.filter(F.split("body", "\\s+"), lambda w: F.length(w) > 0)
     runs = F.when(F.size("w") >= 6, F.transform(F.sequence(F.lit(1), F.size("w") - 5), lambda i: F.array_join(F.slice("w", i, 6), " ")))
-    docs = d.select("id", "body", words.alias("w")).select("id", "body", F.explode(F.array_distinct(runs)).alias("run"))
+    docs = d.select("id", words.alias("w")).select("id", F.explode(F.array_distinct(runs)).alias("run"))
     asked = q.select("q", "text", F.filter(F.split("text", "\\s+"), lambda w: F.length(w) > 0).alias("w")).select(
-        "q", "text", F.array_join(F.slice("w", 2, 6), " ").alias("run"))
-    return docs.join(asked, "run").filter(F.col("body").contains(F.col("text"))).select("q", F.col("id").alias("key")).distinct()
+        "q", F.array_join(F.slice("w", 2, 6), " ").alias("run"))
+    met = docs.join(broadcast_if_small(asked), "run").select("q", "id").distinct()
+    return met.join(d, "id").join(q, "q").filter(F.col("body").contains(F.col("text"))).select("q", F.col("id").alias("key"))
 
 
 @register("a12_retrieval_metrics", f"""WITH {TERMS},

@@ -20,7 +20,8 @@ def build_session(app: str = "litgraph", master: str | None = None, shuffle_part
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if master:
-        b = b.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+        b = b.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config(
+            "spark.driver.memory", "8g")
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return b.getOrCreate()
@@ -49,10 +50,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Hint a broadcast after counting at most ``max_rows + 1`` rows; above it the plain (shuffled)
-    join is kept."""
+    """Hint a broadcast after counting at most ``max_rows + 1`` rows; above it a sort-merge join is asked
+    for, so that no side whose size is only estimated is sent around."""
     n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if n <= max_rows else df.hint("merge")
 
 
 def global_row_number(df: DataFrame, order: list, name: str = "rn", start=None) -> DataFrame:
