@@ -18,6 +18,7 @@ from ..functions.text import alias_language, has_han, norm
 from ..operators import rollups as ru
 from ..operators.graph import components
 from ..operators.lookups import first_match
+from ..operators.ranking import top_per
 from ..operators.resolution import Thresholds, resolve
 from ..session import cut
 
@@ -311,14 +312,14 @@ def _named(df: DataFrame) -> DataFrame:
     return df.withColumn("norm", norm(F.col("alias"))).filter(F.length("norm").between(1, 500)).select("entity_key", "norm", "alias", "source")
 
 
-def template_card(etype: Column, name: Column, external_id: Column, attrs: Column, title: Column) -> Column:
+def template_card(etype: Column, name: Column, external_id: Column, attrs: Column, title: Column, origin: Column, links: Column) -> Column:
     """struct(q, a) for an asset without a written card; null when there is no cue beyond the title."""
     facts = F.concat_ws(" / ", attrs["organism"], attrs["modality"], attrs["tissue"])
     dataset = F.when(external_id.isNotNull() & (facts != ""), F.struct(F.concat(F.lit("What is in dataset "), external_id, F.lit("?")).alias("q"), facts.alias("a")))
     method = F.when(attrs["io"].isNotNull(), F.struct(F.concat(F.lit("Which method does "), attrs["io"], F.lit(" ("), title, F.lit(")?")).alias("q"), name.alias("a")))
     cue = (F.when(attrs["transfer_to"].isNotNull(), F.concat(F.lit("Which idea of "), title, F.lit(" carries over to "), attrs["transfer_to"], F.lit("?")))
-           .when(attrs["link_names"].isNotNull(), F.concat(F.lit("Which idea links "), attrs["link_names"], F.lit("?")))
-           .when(attrs["origin"] == "user", F.concat(F.lit("What was your own idea about "), title, F.lit("?"))))
+           .when(links.isNotNull(), F.concat(F.lit("Which idea links "), links, F.lit("?")))
+           .when(origin == "user", F.concat(F.lit("What was your own idea about "), title, F.lit("?"))))
     idea = F.when(cue.isNotNull(), F.struct(cue.alias("q"), name.alias("a")))
     return F.when(etype == "dataset", dataset).when(etype == "method", method).when(etype == "idea", idea)
 
@@ -332,8 +333,13 @@ def _cards(docs: DataFrame, paper: DataFrame, at: DataFrame, entity: DataFrame)
     user = entity.filter("origin = 'user'").select("key", F.lit(True).alias("mine"))
     written = held.filter(~F.coalesce(dropped, F.lit(False))).select(F.coalesce("target", "work").alias("key"), "eid", "q", "a", F.lit("export").alias("origin"))
     mine = at.filter("type != 'claim'").select("eid", "key").distinct().join(deep.select("eid", "title"), "eid")
-    un = mine.join(written.select("eid", "key"), ["eid", "key"], "left_anti").join(entity.select("key", "type", "canonical_name", "external_id", "attrs"), "key")
-    tpl = un.withColumn("c", template_card(F.col("type"), F.col("canonical_name"), F.col("external_id"), F.col("attrs"), F.col("title"))).filter("c is not null").select("key", "eid", "c.q", "c.a", F.lit("template").alias("origin"))
+    un = mine.join(written.select("eid", "key"), ["eid", "key"], "left_anti").join(
+        entity.select("key", "type", "canonical_name", "external_id", "attrs", F.col("origin").alias("whose")), "key")
+    names = entity.select(F.col("key").alias("target"), F.substring("canonical_name", 1, 80).alias("shown"))
+    linked = top_per(insight_links(docs, at).select("key", "target").distinct().join(names, "target").filter("key != target"), ["key"], [F.col("shown"), F.col("target")], 3)
+    linked = linked.groupBy("key").agg(F.array_join(F.array_sort(F.collect_list("shown")), " ↔ ").alias("linked"))  # at most three names
+    un = un.join(linked, "key", "left")
+    tpl = un.withColumn("c", template_card(F.col("type"), F.col("canonical_name"), F.col("external_id"), F.col("attrs"), F.col("title"), F.col("whose"), F.col("linked"))).filter("c is not null").select("key", "eid", "c.q", "c.a", F.lit("template").alias("origin"))
     allof = written.unionByName(tpl).join(user, "key", "left")
     cid = card_id(F.col("key"), F.col("q"), F.col("origin"))
     return cut(allof.groupBy(cid.alias("id")).agg(F.max_by(F.struct(F.col("key").alias("entity_key"), "q", "a", "origin"), F.struct("eid", "q", "a")).alias("m"),
