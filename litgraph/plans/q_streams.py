@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -14,12 +14,8 @@ EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, valu
 
 
 def _folder(t) -> str:
-    """A new folder next to the session's checkpoints, so every executor sees it."""
-    base = ensure_checkpoint_dir(t.spark)
-    path = base.removeprefix("file:")
-    if "://" in path:
-        return f"{base}/stream-{abs(hash(tempfile.mktemp()))}"
-    return tempfile.mkdtemp(prefix="stream-", dir=path)
+    """A new folder under the session's shared checkpoint folder, so every executor sees it."""
+    return f"{ensure_checkpoint_dir(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
 def stream(t):
