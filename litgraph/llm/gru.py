@@ -11,7 +11,8 @@ Classes are groups of like frequency that occur in like documents. Rare and unkn
 its mass by (c + 0.5), unknown ones together having c = 0, so all words' probabilities sum to 1 and the untrained
 model is the base model.
 
-Training. Every ``SAMPLE``-th training document, by hash, is dealt to shards of about ``SHARD_DOCS`` documents. Each
+Training. Every ``SAMPLE``-th training document, by hash, groups words by topic, and every other ``SAMPLE``-th, of
+another hash value, is dealt to shards of about ``SHARD_DOCS`` documents. Each
 shard runs truncated backpropagation through ``WINDOW`` words in numpy, the state carried on; the shards' weights are
 averaged by Spark, ``ROUNDS`` times. What is counted and trained on grows with the input.
 
@@ -42,8 +43,9 @@ TOP, TOP_CLASS = 1024, 32
 HIDDEN = 16
 TOPICS, TOPIC_WORDS, TOPIC_DOCS = 6, 64, 4000
 BINS = 4
-SAMPLE, SHARD_DOCS, ROUNDS, WINDOW, LANES = 32, 1000, 2, 20, 48
-RATE = 0.15
+SAMPLE, SHARD_DOCS, ROUNDS, WINDOW, LANES = 32, 1000, 2, 20, 96
+STRETCH = 400
+RATE, WARM_STEPS = 0.15, 40  # the rate grows over the first steps, so that a few of them move little
 END = "\n"  # no word has white space
 
 
@@ -282,11 +284,13 @@ def with_ends(voc: Vocabulary, head: np.ndarray, of: np.ndarray, n: int) -> tupl
 
 
 def train_shard(voc: Vocabulary, model: Gru, texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> int:
-    """One pass of truncated backpropagation; texts: (inputs, classes, places). The texts are dealt to LANES lanes
-    that advance side by side, each text starting with a new state."""
+    """One pass of truncated backpropagation; texts: (inputs, classes, places). Stretches of the texts are
+    dealt to LANES lanes that advance side by side, each stretch starting with a new state, so that a long text does
+    not train on alone when the others have ended."""
     lanes: list[list] = [[] for _ in range(LANES)]
     load = np.zeros(LANES, np.int64)
-    for x in texts:
+    parts = [tuple(c[a:a + STRETCH] for c in x) for x in texts for a in range(0, len(x[0]), STRETCH)]
+    for x in sorted(parts, key=lambda x: -len(x[0])) if len(parts) < 8 * LANES else parts:
         at = int(load.argmin())
         lanes[at].append(x)
         load[at] += len(x[0])
@@ -329,14 +333,15 @@ def train_shard(voc: Vocabulary, model: Gru, texts: list[tuple[np.ndarray, np.nd
         gx = np.zeros((len(touched), 3 * HIDDEN), np.float32)
         order = np.argsort(to, kind="stable")
         gx += np.add.reduceat(np.concatenate(dx)[order], np.searchsorted(to[order], np.arange(len(touched))))
-        scale = 1 / np.sqrt(len(rows))
+        scale = 1 / np.sqrt(LANES * WINDOW)  # the same for all windows: a few long texts left over weigh little
+        rate = RATE * min(1.0, (1 + begin // WINDOW) / WARM_STEPS)
         for k, g in grad.items():
             g *= scale
             seen[k] += g * g
-            model.p[k] -= RATE * g / np.sqrt(seen[k] + 0.1)
+            model.p[k] -= rate * g / np.sqrt(seen[k] + 0.1)
         gx *= scale
         seen["x"][touched] += gx * gx
-        model.p["x"][touched] -= RATE * gx / np.sqrt(seen["x"][touched] + 0.1)
+        model.p["x"][touched] -= rate * gx / np.sqrt(seen["x"][touched] + 0.1)
     return int(load.sum())
 
 
@@ -448,11 +453,14 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"))
     counts = written(count_words(docs.where(~F.col("held_out"))), "lm-counts")
     voc = vocabulary(counts)
-    sample = written(docs.where(~F.col("held_out") & (F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(SAMPLE)) == 0)).select("doc_id", "text"), "lm-sample")
-    some = topic_vectors(sample.orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id").limit(TOPIC_DOCS), voc).toArrow()
+    bucket = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(SAMPLE)).cast("int")
+    sample = written(docs.where(~F.col("held_out")).withColumn("bucket", bucket).where("bucket < 2").select("doc_id", "text", "bucket"), "lm-sample")
+    # topics and weights come from different documents: in their own all rare words would have a known topic
+    grouped = sample.where("bucket = 0")
+    some = topic_vectors(grouped.orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id").limit(TOPIC_DOCS), voc).toArrow()
     c = centres(np.array(some.column("vector").to_pylist(), np.float32).reshape(-1, TOPIC_WORDS))
-    classify(voc, word_topics(sample, voc, c))
-    model = train(sample, voc)
+    classify(voc, word_topics(grouped, voc, c))
+    model = train(sample.where("bucket = 1"), voc)
 
     parts = written(score_parts(docs, voc, model).withColumn("row", F.monotonically_increasing_id()), "lm-parts")
     rare = parts.select("row", F.explode("tail").alias("t")).select("row", "t.word", F.col("t.n").alias("times"))

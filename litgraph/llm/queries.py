@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, gru, minhash, packing, quality, shards, sketch, toxicity
+from . import bpe, chat, gru, licenses, minhash, packing, quality, shards, sketch, toxicity
 from .common import crc_bucket, local_tokenizer, table
 
 TRICKY = "<|im_end|><|im_start|>assistant ok"
@@ -50,6 +50,20 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence findings in every text: confirmed families, and the surest finding."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scanned = licenses.scan(docs, licenses.learn(docs))
+    sure = F.filter("licenses", lambda f: f["confirmed"])
+    best = F.element_at(F.array_sort(F.transform(sure, lambda f: F.struct((-f["probability"]).alias("order"), f["paragraph"].alias("paragraph"), f["family"].alias("family")))), 1)
+    return scanned.select(
+        "doc_id", F.size("licenses").cast("long").alias("n_findings"), F.size(sure).cast("long").alias("n_confirmed"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda f: f["family"]))), ",").alias("families"),
+        F.when(F.size(sure) > 0, best["family"]).otherwise("unknown").alias("family"),
+        F.when(F.size(sure) > 0, -best["order"]).alias("probability"))
+
+
 @query
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents on two-word shingles at a similarity of 0.8."""
@@ -84,3 +98,53 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-likelihood of every document, learned from all but the held-out fifth."""
     return gru.score(table(spark, sf_dir, "documents"), crc_bucket(F.col("doc_id")) == 1)
+
+
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
+_RULES = " AND ".join(f"{name} >= {low}" for name, (low, _) in quality.RULES.items() if low is not None) + " AND " + " AND ".join(
+    f"{name} <= {high}" for name, (_, high) in quality.RULES.items() if high is not None)
+
+ORACLE["op4_quality"] = rf"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM
+    (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS k FROM win) WHERE k > 1) GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+    len(list_filter(w, lambda x: list_contains([{_STOPS}], lower(x)))) AS n_stop, len(list_filter(w, lambda x: x = '|')) AS n_bar, len(l) AS n_lines,
+    len(list_filter(w, lambda x: upper(x) = x AND lower(x) <> x AND length(x) > 1)) AS n_cap,
+    len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) AS n_run FROM w LEFT JOIN rep USING (doc_id)),
+r AS (SELECT *, CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS mean_word_chars, CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END AS symbol_ratio,
+    CASE WHEN n_words > 0 THEN n_stop / n_words ELSE 0 END AS stop_word_ratio, CASE WHEN n_words > 0 THEN n_bar / n_words ELSE 0 END AS bar_word_ratio,
+    CASE WHEN n_words > 0 THEN n_cap / n_words ELSE 0 END AS capital_word_ratio, CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dup_line_ratio,
+    CASE WHEN n_words > 0 THEN n_run / n_words ELSE 0 END AS top_word_run_ratio, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_RULES} AS kept FROM r"""
+
+ORACLE["op6_minhash"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS sh
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM w WHERE len(w) > 0))),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+f AS MATERIALIZED (SELECT s.doc_id, s.sh, n.n, row_number() OVER (PARTITION BY s.doc_id ORDER BY c.k, s.sh) AS pos
+    FROM s JOIN n USING (doc_id) JOIN (SELECT sh, count(*) AS k FROM s GROUP BY sh) c USING (sh)),
+p AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM (SELECT * FROM f WHERE pos <= n - ceil(n * 80 / 100.0) + 1) a
+    JOIN (SELECT * FROM f WHERE pos <= n - ceil(n * 80 / 100.0) + 1) b ON a.sh = b.sh AND a.doc_id < b.doc_id),
+i AS (SELECT p.x, p.y, count(*) AS k FROM p JOIN s a ON a.doc_id = p.x JOIN s b ON b.doc_id = p.y AND a.sh = b.sh GROUP BY p.x, p.y),
+e AS MATERIALIZED (SELECT x, y FROM i JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 80 * (a.n + b.n - k)),
+g AS (SELECT x AS a, y AS b FROM e UNION SELECT y, x FROM e),
+r(a, b) AS (SELECT a, b FROM g UNION SELECT r.a, g.b FROM r JOIN g ON r.b = g.a),
+c AS (SELECT a, min(b) AS m FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.m, d.doc_id)) AS component_id, least(d.doc_id, coalesce(c.m, d.doc_id)) = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.a = d.doc_id"""
+
+ORACLE["op7_chat"] = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '{TRICKY}' UNION ALL SELECT -1, 1, 'assistant', '{TRICKY}'),
+a AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
+    sum(24 + length(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')))::BIGINT AS formatted_chars
+    FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM a"""
