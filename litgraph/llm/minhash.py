@@ -88,7 +88,7 @@ def signatures(docs: DataFrame, size: int, hashes: int = BANDS * ROWS, doc_id: s
 
 
 def banded(signed: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(band, bucket, node, sig): the buckets of each class."""
+    """``signed`` with a row for each band and the bucket that the class is in there."""
     wide = 2 * rows
     return (signed.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))))
             .withColumn("bucket", F.xxhash64("band", F.expr(f"substring(sig, band * {wide} + 1, {wide})"))))
@@ -194,14 +194,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     alone = tagged.where("set_key is not null and node = doc_id").select("node", "sig")
     every = banded(alone, bands, rows)
     shared = written(every.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("most")).where("lead < most").drop("most"), "minhash-buckets")
-    members = written(every.join(shared, "bucket").select("bucket", "band", "lead", "node", "sig"), "minhash-members")
+    members = written(every.select("bucket", "band", "node").join(shared, "bucket"), "minhash-members")
     texts = written(docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id"), "minhash-texts")
 
     links = cut(confirmed(members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), texts, size, percent))
     roots = cut(components(links))
-    rooted = cut(members.select("bucket", "band", "node", "sig").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    rooted = cut(members.select("bucket", "band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     open_ = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    pairs = cut(across(rooted.join(cut(open_), "bucket"), bands * rows, rows, percent)).join(links, ["a", "b"], "left_anti")
+    mixed = rooted.join(cut(open_), "bucket").join(alone, "node")
+    pairs = cut(across(mixed, bands * rows, rows, percent)).join(links, ["a", "b"], "left_anti")
     more = confirmed(pairs, texts, size, percent)
     roots = cut(components(links.unionByName(more)))
     return (tagged.select("doc_id", "n_shingles", "node").join(roots, "node", "left")
