@@ -16,7 +16,7 @@ choice goes by how much more often texts with a word's subsequences are toxic. A
 copies, and of no clean one, stands for toxic too.
 
 The classifier is fitted on a bounded sample of labelled texts: ``MAX_TOXIC`` and ``MAX_CLEAN`` of each label, those of
-least hash. Scores cover every text whole, in the scan's own stage.
+least hash, and of the words that only their clean ones have on ``MAX_CLEAN_WORDS``. Scores cover every text whole, in the scan's own stage.
 
 Cases: null and empty texts, and a table without both labels, score ``EMPTY_SCORE``, which is below one half. Null
 labels are not used; several labels of a text count as toxic if one is. Repeated rows are scored each. Other columns
@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from .common import mix64, slices
 
-MAX_TOXIC, MAX_CLEAN = 1500, 2500
+MAX_TOXIC, MAX_CLEAN, MAX_CLEAN_WORDS = 1200, 2400, 30_000
 LANDMARKS = 320
 DECAY = 0.5
 GAPS = tuple((i, j, k) for k in range(3, 6) for j in range(2, k) for i in range(1, j))
@@ -189,10 +189,27 @@ def machine(z: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float, steps:
     return w[:-1], float(w[-1])
 
 
+def thinned(bags: list[np.ndarray], toxic: np.ndarray, words: list[str], rng: np.random.Generator) -> tuple[list[np.ndarray], list[str]]:
+    """The bags without all but MAX_CLEAN_WORDS of the words that only clean texts have."""
+    only = np.ones(len(words), bool)
+    for bag, y in zip(bags, toxic, strict=True):
+        if y == 1:
+            only[bag] = False
+    spare = rng.permutation(np.flatnonzero(only))[MAX_CLEAN_WORDS:]
+    keep = np.ones(len(words), bool)
+    keep[spare] = False
+    number = np.cumsum(keep) - 1
+    return [number[b[keep[b]]] for b in bags], [w for w, k in zip(words, keep.tolist(), strict=True) if k]
+
+
 def fit(bags: list[np.ndarray], toxic: np.ndarray, words: list[str], landmarks: int = LANDMARKS, rounds: int = 5, seed: int = 5) -> Model:
     """bags: the word numbers of each text."""
     rng = np.random.default_rng(seed)
-    word, code, value, _ = features(words)
+    bags, words = thinned(bags, toxic, words, rng)
+    blocks = [features(words[a:a + 3_000]) for a in range(0, len(words), 3_000)]
+    word = np.concatenate([b[0].astype(np.int32) + 3_000 * i for i, b in enumerate(blocks)])
+    code, value = np.concatenate([b[1].astype(np.int32) for b in blocks]), np.concatenate([b[2].astype(np.float32) for b in blocks])
+    del blocks
     sizes = [len(b) for b in bags]
     bag, item = np.repeat(np.arange(len(bags)), sizes), np.concatenate(bags)
     df = np.stack([np.bincount(item[np.repeat(toxic == t, sizes)], minlength=len(words)) for t in (0, 1)]).astype(float)
