@@ -51,6 +51,7 @@ END = "\n"  # no word has white space
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(word number, text number) of each word, and the distinct words; A-Z in lower case."""
+    texts = texts.take(pa.array(np.arange(len(texts))))  # a slice of an array as one of its own, as the casts need it
     runs = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
     coded = runs.flatten().dictionary_encode()
     which = coded.indices.to_numpy(zero_copy_only=False)

@@ -26,11 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut
 from .common import lowered_words, mix64, slices, written
 
 BANDS, ROWS = 40, 5
@@ -127,7 +126,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every linked node, root being its component's smallest node, by alternating stars."""
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "minhash-edges")
 
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
@@ -137,11 +136,11 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = cut(large)
+        large = written(large, "minhash-large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        edges = cut(small)
+        edges = written(small, "minhash-small")
         now = mark(edges)
         if now == last:
             break
@@ -151,21 +150,37 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def across(members: DataFrame, hashes: int, rows: int, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) between different components of a bucket: minima compared block by block."""
+    """Candidate pairs (a, b) between different components of a bucket. The classes outside a bucket's largest
+    component meet the blocks of that component, and each other; those inside it do not meet, so a large group of near
+    copies with a few strays travels once."""
     least = (percent / 100 - SIGMAS * np.sqrt(percent / 100 * (1 - percent / 100) / hashes)) * hashes
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    blocked = (members.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-               .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-               .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                       F.col("own").alias("block"), "band", "node", "root", "sig"))
+    sizes = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(
+        F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"))
+    sizes = sizes.select("bucket", F.col("most.root").alias("major"), F.ceil(F.col("most.n") / BLOCK).cast("int").alias("wide"),
+                         F.ceil((F.col("all") - F.col("most.n")) / BLOCK).cast("int").alias("tall"))
+
+    def block(n: str) -> Column:
+        return F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+
+    def cells(n: str, cell) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.col(n) - 1), cell)
+
+    def cell(kind: int, i: Column, j: Column, own: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), own.alias("own"))
+
+    inside = cells("tall", lambda j: cell(0, block("wide"), j, F.lit(0)))
+    outside = F.concat(cells("wide", lambda i: cell(0, i, block("tall"), F.lit(1))),
+                       cells("tall", lambda j: cell(1, F.least(block("tall"), j), F.greatest(block("tall"), j), block("tall"))))
+    blocked = (members.join(sizes, "bucket").withColumn("at", F.explode(F.when(F.col("root") == F.col("major"), inside).otherwise(outside)))
+               .select("bucket", "at.kind", "at.i", "at.j", "at.own", "band", "node", "root", "sig"))
 
     def run(cell: pa.Table) -> pa.Table:
-        i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
-        block = cell.column("block").to_numpy()
+        kind, i, j = (cell.column(c)[0].as_py() for c in ("kind", "i", "j"))
+        i, j = (0, 1) if kind == 0 else (i, j)
+        own = cell.column("own").to_numpy()
         node, root, band = cell.column("node").to_numpy(), cell.column("root").to_numpy(), cell.column("band").to_numpy()[0]
         sig = np.frombuffer(b"".join(cell.column("sig").to_pylist()), "<u2").reshape(len(node), -1)
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         a, b = [], []
         for x in left.tolist():
             far = right[(root[right] != root[x]) & ((node[right] > node[x]) if i == j else True)]
@@ -179,7 +194,7 @@ def across(members: DataFrame, hashes: int, rows: int, percent: int) -> DataFram
                 b.append(max(int(node[x]), int(node[y])))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return blocked.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
+    return blocked.groupBy("bucket", "kind", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS,
@@ -197,14 +212,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     members = written(every.select("bucket", "band", "node").join(shared, "bucket"), "minhash-members")
     texts = written(docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id"), "minhash-texts")
 
-    links = cut(confirmed(members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), texts, size, percent))
-    roots = cut(components(links))
-    rooted = cut(members.select("bucket", "band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    links = written(confirmed(members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), texts, size, percent), "minhash-links")
+    roots = written(components(links), "minhash-roots")
+    rooted = written(members.select("bucket", "band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "minhash-rooted")
     open_ = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    mixed = rooted.join(cut(open_), "bucket").join(alone, "node")
-    pairs = cut(across(mixed, bands * rows, rows, percent)).join(links, ["a", "b"], "left_anti")
+    mixed = rooted.join(written(open_, "minhash-open"), "bucket").join(alone, "node")
+    pairs = written(across(mixed, bands * rows, rows, percent), "minhash-pairs").join(links, ["a", "b"], "left_anti")
     more = confirmed(pairs, texts, size, percent)
-    roots = cut(components(links.unionByName(more)))
+    roots = written(components(links.unionByName(more)), "minhash-roots")
     return (tagged.select("doc_id", "n_shingles", "node").join(roots, "node", "left")
             .select("doc_id", "n_shingles", F.coalesce("root", "node", "doc_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.col("component_id").isNull())))

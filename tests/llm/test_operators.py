@@ -299,6 +299,13 @@ def test_language_model_probabilities(spark, docs, none):
     assert all(r["train_tokens"] == 0 and abs(r["base_score"]) < 1e-9 for r in unlearned)
 
 
+def test_tokens_of_a_slice():
+    import pyarrow as pa
+    texts = pa.array(["Aé b", "c D", None, "e"] * 500)
+    which, of, names = gru.tokens(texts.slice(1001, 3))
+    assert [names[int(w)].as_py() for w in which] == ["c", "d", "e"] and of.tolist() == [0, 0, 2]
+
+
 def test_language_model_sums_to_one_and_learns():
     rng = np.random.default_rng(0)
     words = [f"w{i}" for i in range(1500)] + [gru.END]
