@@ -1,9 +1,8 @@
-"""Feature hashing of words and trigrams: natively as sparse rows, or as a pluggable dense embedder."""
+"""Feature hashing of words and trigrams as columns: sparse rows, dense vectors, or a plugged-in model's vectors."""
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,39 +15,30 @@ from . import text as tx
 
 DIM = 1024
 WORD_WEIGHT, GRAM_WEIGHT = 1.0, 0.5
+TOKEN = f"[a-z0-9]+|[{tx.HAN}]"
+
+
+def features(normed: Column, dim: int = DIM) -> Column:
+    """Signed hashed features of a normalised text: array of (bucket, value), one for each word and trigram."""
+    def placed(prefix: str, weight: float) -> Callable[[Column], Column]:
+        def one(x: Column) -> Column:
+            h = F.md5(F.concat(F.lit(prefix), x))
+            bucket = (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim).cast("int")
+            return F.struct(bucket.alias("bucket"), F.when(F.substring(h, 9, 1) >= "8", weight).otherwise(-weight).alias("value"))
+        return one
+
+    return F.concat(F.transform(tx.tokens(normed), placed("w:", WORD_WEIGHT)), F.transform(tx.char_ngrams(normed), placed("c:", GRAM_WEIGHT)))
 
 
 def hash_features(df: DataFrame, key: str, normed: Column, dim: int = DIM) -> DataFrame:
     """(key, bucket, weight): unit-length sparse vectors. Features are counted per bucket before the
     shuffle, so at most ``dim`` rows per text leave a task."""
-    words = F.transform(tx.tokens(F.col("_n")), lambda w: F.struct(F.concat(F.lit("w:"), w).alias("f"), F.lit(WORD_WEIGHT).alias("w")))
-    grams = F.transform(tx.char_ngrams(F.col("_n")), lambda g: F.struct(F.concat(F.lit("c:"), g).alias("f"), F.lit(GRAM_WEIGHT).alias("w")))
-    feats = df.select(key, normed.alias("_n")).select(key, F.explode(F.concat(words, grams)).alias("x"))
-    h = F.md5("x.f")
-    bucket = F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim
-    sign = F.when(F.substring(h, 9, 1).rlike("[89a-f]"), 1.0).otherwise(-1.0)
-    sums = feats.groupBy(key, bucket.alias("bucket")).agg(F.sum(sign * F.col("x.w")).alias("v")).filter("v != 0")
+    feats = df.select(key, normed.alias("_n")).select(key, F.explode(features(F.col("_n"), dim)).alias("x"))
+    sums = feats.groupBy(key, F.col("x.bucket").cast("long").alias("bucket")).agg(F.sum("x.value").alias("v")).filter("v != 0")
     length = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("_l"))
     return sums.join(length, key).select(key, "bucket", (F.col("v") / F.col("_l")).alias("weight"))
 
 
-_WORDS = re.compile(f"[a-z0-9]+|[{tx.HAN.encode().decode('unicode_escape')}]")
-
-
-def hashed(text: str, dim: int) -> np.ndarray:
-    """Signed feature hash of one text."""
-    n = tx.norm_text(text)
-    padded = f" {n} "
-    v = np.zeros(dim, dtype=np.float64)
-    feats = [("w:" + t, WORD_WEIGHT) for t in _WORDS.findall(n)]
-    feats += [("c:" + padded[i:i + 3], GRAM_WEIGHT) for i in range(max(1, len(padded) - 2))]
-    for f, w in feats:
-        h = int.from_bytes(hashlib.blake2b(f.encode("utf-8"), digest_size=8).digest(), "little")
-        v[h % dim] += w if h >> 63 else -w
-    length = np.linalg.norm(v)
-    return v / length if length else v
-
-
 def embedder(load: Callable[[], Callable[[list[str]], np.ndarray]]) -> Callable[[Column], Column]:
     """A vector column from any model: ``load`` runs once per worker and returns
     ``texts -> (n, dim)`` unit rows."""
@@ -60,5 +50,29 @@ def embedder(load: Callable[[], Callable[[list[str]], np.ndarray]]) -> Callable[
     return embed
 
 
+def _placed(names: pd.Index, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and signed weight of distinct features, as ``features`` gives them."""
+    digests = np.frombuffer(b"".join(hashlib.md5(n.encode("utf-8", "replace")).digest() for n in names), np.uint8).reshape(-1, 16)
+    bucket = digests[:, :4].copy().view(">u4").ravel() % dim
+    weight = np.where(names.str.startswith("w:"), WORD_WEIGHT, GRAM_WEIGHT)
+    return bucket.astype(np.int64), np.where(digests[:, 4] >= 0x80, weight, -weight)
+
+
 def hash_embedder(dim: int = DIM) -> Callable[[Column], Column]:
-    return embedder(lambda: lambda texts: np.stack([hashed(t, dim) for t in texts]))
+    """Dense unit vectors of the same features. Normal forms may need Python, so the features of a whole batch are
+    listed there; each different one is hashed once, and one sum puts all of them into their buckets."""
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def dense(normed: pd.Series) -> pd.Series:
+        normed = normed.fillna("")
+        words = "w:" + normed.str.findall(TOKEN).explode().dropna()
+        padded = " " + normed + " "
+        grams = "c:" + padded.map(lambda x: [x[i:i + 3] for i in range(max(1, len(x) - 2))]).explode().dropna()
+        both = pd.concat([words, grams])
+        which, names = pd.factorize(both)
+        bucket, value = _placed(pd.Index(names, dtype=object), dim)
+        row = pd.Index(normed.index).get_indexer(both.index)
+        m = np.bincount(row * dim + bucket[which], value[which], len(normed) * dim).reshape(-1, dim)
+        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+        return pd.Series(list(m.astype(np.float32)))
+
+    return lambda text: dense(tx.norm(F.coalesce(text, F.lit(""))))

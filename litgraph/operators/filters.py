@@ -42,8 +42,9 @@ def source_edges(lib: Library) -> DataFrame:
 
 
 def with_role(lib: Library, entity: DataFrame, edge_type: str) -> DataFrame:
-    """Entities some paper uses in this role."""
-    e = live(lib.edge).filter(F.col("type") == edge_type).select(F.col("dst").alias("key"))
+    """Entities some paper is a source of in this role; other edge types give nothing."""
+    works = lib.entity.filter("type = 'work'").select(F.col("key").alias("src"))
+    e = source_edges(lib).filter(F.col("type") == edge_type).join(works, "src", "left_semi").select(F.col("dst").alias("key"))
     return entity.join(e, "key", "left_semi")
 
 

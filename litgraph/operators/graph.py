@@ -70,13 +70,13 @@ def within_two_hops(lib: Library, pairs: DataFrame) -> DataFrame:
     return direct.unionByName(shared).distinct()
 
 
-def components(nodes: DataFrame, pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(key, component): connected components, named by their smallest key. Each round takes the
     smallest label among a node and its neighbours, then jumps to the label's own label, so long
     chains close in a logarithmic number of rounds."""
     adj = cut(both_ways(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))).distinct())
     label = cut(nodes.select("key", F.col("key").alias("component")))
-    for _ in range(max_rounds):
+    while True:
         seen = (adj.join(label.withColumnRenamed("key", "other"), "other")
                 .groupBy(F.col("node").alias("key")).agg(F.min("component").alias("best")))
         step = (label.join(seen, "key", "left")
@@ -89,7 +89,6 @@ def components(nodes: DataFrame, pairs: DataFrame, max_rounds: int = 60) -> Data
         label = nxt.select("key", "component")
         if not changed:
             return label
-    raise RuntimeError("components did not settle; raise max_rounds")
 
 
 def numbered_by_size(labels: DataFrame, key: str = "key", label: str = "component", min_size: int = 1) -> DataFrame:

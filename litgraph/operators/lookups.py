@@ -243,16 +243,20 @@ def edge_counts(lib: Library, keys: DataFrame | None = None) -> DataFrame:
     return e.groupBy("key", "type").agg(F.count("*").alias("n"))
 
 
+def entity_names(lib: Library, keys: DataFrame) -> DataFrame:
+    """(key, alias): every distinct name of the entities, as rows."""
+    own = lib.alias.join(keys.select(F.col("key").alias("entity_key")), "entity_key", "left_semi")
+    return own.select(F.col("entity_key").alias("key"), "alias").distinct()
+
+
 def entity_cards(lib: Library, keys: DataFrame, per_type: int = 50) -> DataFrame:
-    """One row per key: names, edge totals, the first edges per type and direction, year and tier."""
+    """One row per key: edge totals, the first edges per type and direction, year and tier; its names are rows of
+    ``entity_names``."""
     pages = edge_pages(lib, keys, per_type)
     first = pages.groupBy(F.col("node").alias("key")).agg(
         F.array_sort(F.collect_list(F.struct("type", "direction", "rn", "other", "status", "evidence"))).alias("edges"))
     counts = edge_counts(lib, keys).groupBy("key").agg(
         F.array_sort(F.collect_list(F.struct("type", "n"))).alias("edge_counts"))
-    names = (lib.alias.join(keys.select(F.col("key").alias("entity_key")), "entity_key", "left_semi")
-             .withColumn("r", rank_in(["entity_key"], [F.col("alias")])).filter(F.col("r") <= 1000)
-             .groupBy(F.col("entity_key").alias("key")).agg(F.array_sort(F.collect_set("alias")).alias("aliases")))
     work = lib.work.select(F.col("entity_key").alias("key"), "year", "tier")
-    return (lib.entity.join(keys.select("key"), "key", "left_semi").join(names, "key", "left").join(first, "key", "left")
+    return (lib.entity.join(keys.select("key"), "key", "left_semi").join(first, "key", "left")
             .join(counts, "key", "left").join(work, "key", "left"))

@@ -74,9 +74,14 @@ def top_similar(corpus: DataFrame, probes: DataFrame, k: int, floor: float = -2.
         shared = corpus.sparkSession.sparkContext.broadcast(pd.DataFrame([r.asDict() for r in head]))
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = None  # of the partition so far: k rows of each probe at most leave the task
             for b in batches:
                 if len(b):
-                    yield _block_hits(shared.value, b, k, floor)
+                    hits = _block_hits(shared.value, b, k, floor)
+                    both = hits if best is None else pd.concat([best, hits])
+                    best = both.sort_values(["probe", "sim", "id"], ascending=[True, False, True], kind="stable").groupby("probe", sort=False).head(k)
+            if best is not None:
+                yield best
 
         hits = corpus.select(*cols).mapInPandas(scan, schema)
     else:
@@ -127,16 +132,17 @@ def term_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return units.join(broadcast_if_small(held), "word").groupBy("id", "term").agg(F.sum("times").alias("tf"))
 
 
-def keyword_search(docs: DataFrame, questions: DataFrame, k: int = 200) -> DataFrame:
-    """(q, id, score, rank): BM25 over the bounded terms of each question; docs(id, body),
-    questions(q, text)."""
+def keyword_search(docs: DataFrame, questions: DataFrame, k: int = 200, names: DataFrame | None = None) -> DataFrame:
+    """(q, id, score, rank): BM25 over the bounded terms of each question; docs(id, body), questions(q, text).
+    ``names`` (id, body) are other names of the documents, a row each: they are searched like the text."""
     asked = questions.select("q", F.explode(tx.query_terms(tx.norm(F.col("text")))).alias("term")).distinct()
     asked = cut(asked)
-    tf = cut(term_frequencies(docs, asked))  # read for the document frequencies and for the scores
+    searched = docs.select("id", "body") if names is None else docs.select("id", "body").unionByName(names.select("id", "body"))
+    tf = cut(term_frequencies(searched, asked))  # read for the document frequencies and for the scores
     size = docs.select("id", F.greatest(F.length("body") - 2, F.lit(0)).alias("len"))
     totals = size.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n, avg = totals.select("n").scalar(), totals.select("avg").scalar()
+    n, avg = (F.lit(x) for x in totals.first())
     idf = df.select("term", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw")).select(
         "term", F.when(F.col("raw") > 0, F.col("raw")).otherwise(1e-6).alias("idf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / avg))
@@ -194,23 +200,22 @@ def names_of(lib: Library, keys: DataFrame, n: int = 20) -> DataFrame:
 
 
 def search(lib: Library, questions: DataFrame, vectors: DataFrame, f: Filters = Filters(), limit: int = 20, offset: int = 0,
-           rerank_top: int = 50, embed: Embed | None = None, prefilter: bool = False, lists: int = 200) -> DataFrame:
-    """(q, key, score, relevance, pos): vector and keyword lists fused, filtered, the head reranked.
-    As in the interactive form the filters run after the lists are cut, so a narrow filter may return
-    fewer than ``limit``; ``prefilter`` applies them to the corpus instead. vectors(key, vec)."""
+           rerank_top: int = 50, embed: Embed | None = None, lists: int = 200) -> DataFrame:
+    """(q, key, score, relevance, pos): vector, keyword and two-character Han lists fused, the head reranked. The
+    filters apply to the corpus, so a narrow one loses no hit; ``lists`` and ``rerank_top`` are ranking depths. Keywords
+    are looked for in the texts and in all names. vectors(key, vec)."""
     e = embed or hash_embedder()
     texts = indexed(lib).filter(F.col("type").isin(*f.types))
     keep = apply_filters(lib, lib.entity, f).select("key")
-    if prefilter:
-        texts = texts.join(keep, "key", "left_semi")
+    texts = cut(texts.join(keep, "key", "left_semi"))
     corpus = vectors.join(texts.select("key"), "key", "left_semi").select(F.col("key").alias("id"), "vec")
     near = top_similar(corpus, questions.select(F.col("q").alias("id"), e(F.col("text")).alias("vec")), lists)
     near = near.select(F.col("probe").alias("q"), F.col("id").alias("key"), "rank")
     body = texts.select(F.col("key").alias("id"), F.col("text").alias("body"))
-    words = keyword_search(body, questions, lists).select("q", F.col("id").alias("key"), "rank")
-    fused = fuse(near, words)
-    if not prefilter:
-        fused = fused.join(keep, "key", "left_semi")
+    names = lib.alias.select(F.col("entity_key").alias("id"), F.col("alias").alias("body")).join(body.select("id"), "id", "left_semi")
+    words = keyword_search(body, questions, lists, names).select("q", F.col("id").alias("key"), "rank")
+    pairs = pair_search(lib, questions, lists).join(texts.select("key"), "key", "left_semi").select("q", "key", "rank")
+    fused = fuse(near, words, pairs)
     want = max(rerank_top, offset + limit)
     head = cut(top_per(fused, ["q"], [F.desc("fused"), F.col("key")], want, rank="place"))  # read three times below
     # the pairs scored are bounded: questions x rerank_top
@@ -228,7 +233,7 @@ def recall(lib: Library, contexts: DataFrame, vectors: DataFrame, views: DataFra
            types: tuple[str, ...] = ASSET_TYPES + ("work",), embed: Embed | None = None) -> DataFrame:
     """(q, key, relevance, forgetting, score, pos): what is relevant to each context and not looked at
     for long. Blank contexts give nothing. contexts(q, text), views(entity_key, last_seen_at)."""
-    asked = contexts.filter(F.length(F.trim("text")) > 0).select("q", F.substring("text", 1, 4000).alias("text"))
+    asked = contexts.filter(F.length(F.trim("text")) > 0).select("q", "text")
     hits = search(lib, asked, vectors, Filters(types=types, include_candidates=False), limit=50, embed=embed)
     hits = hits.filter(F.coalesce("relevance", F.lit(0.0)) >= floor)
     seen = views.select(F.col("entity_key").alias("key"), "last_seen_at")
@@ -277,14 +282,16 @@ def related_works(lib: Library, probes: DataFrame, vectors: DataFrame, views: Da
 
 
 def synthesis_candidates(lib: Library, vectors: DataFrame, community: DataFrame, since: Column, known: DataFrame, threshold: float,
-                         max_sources: int = 2000, per_row: int = 10, per_source: int = 2, total: int = 20) -> DataFrame:
+                         max_sources: int | None = None, per_row: int = 10, per_source: int = 2, total: int = 20) -> DataFrame:
     """(src, other, score): close pairs in different communities with no path of two hops. Sources are
-    the newest assets since the last run, at most ``max_sources``; known(dedupe_key)."""
+    the assets since the last run, the newest ``max_sources`` of them if that is given; known(dedupe_key)."""
     from ..functions.keys import pair_key
     from .ranking import capped_pairs
     assets = lib.entity.filter(F.col("type").isin(*ASSET_TYPES)).select("key", "status", "created_at")
     pool = vectors.join(assets.select("key"), "key", "left_semi").select(F.col("key").alias("id"), "vec")
-    recent = assets.filter(F.col("created_at") >= since).orderBy(F.desc("created_at"), F.desc("key")).limit(max_sources)
+    recent = assets.filter(F.col("created_at") >= since)
+    if max_sources is not None:
+        recent = recent.orderBy(F.desc("created_at"), F.desc("key")).limit(max_sources)
     near = top_similar(pool, pool.join(recent.select(F.col("key").alias("id")), "id", "left_semi"), per_row, threshold)
     pairs = near.select(F.col("probe").alias("src"), F.col("id").alias("other"), F.col("sim").alias("score"))
     ok = assets.filter("status != 'rejected'").select("key")

@@ -97,8 +97,13 @@ def papers(docs: DataFrame) -> DataFrame:
     return cut(g.join(lead.select("component", key.alias("key")), "component").select("eid", "key", "doi", "title", "year"))
 
 
+PARENTS = 1 << 20  # places kept for the parents of one method in a position
+
+
 def _seq(kind: int, pos: str = "pos") -> Column:
-    return F.col("eid") * (1 << 20) + kind * (1 << 16) + F.col(pos)
+    """The order of appearance: document, kind, position. Positions past the last place share it; they are no ids."""
+    at = F.col(pos) if kind != 5 else F.expr(f"{pos} div {PARENTS}") * 64 + F.least(F.col(pos) % PARENTS, F.lit(63))
+    return F.col("eid") * (1 << 20) + kind * (1 << 16) + F.least(at, F.lit((1 << 16) - 1))
 
 
 def _attrs(**cols: Column) -> Column:
@@ -136,7 +141,7 @@ def mentions(docs: DataFrame, bad: DataFrame) -> DataFrame:
     link = F.when(F.col("gone").isNull(), F.coalesce("repo", F.col("x.repo")))
     method = rows(m, 4, "method", F.col("x.name"), _attrs(io=F.col("x.io"), modality=F.col("x.modality"), repo=link, biotools=bt, maintained=F.col("x.maintained")),
                   F.filter(F.array(good, F.concat(F.lit("biotools:"), bt)), lambda a: a.isNotNull()), anchor=F.concat(F.lit("method:repo:"), good))
-    parents = _items(docs, "assets.methods").select("eid", F.col("pos").alias("mpos"), F.posexplode("x.extends").alias("j", "parent")).withColumn("pos", F.col("mpos") * 64 + F.col("j"))
+    parents = _items(docs, "assets.methods").select("eid", F.col("pos").alias("mpos"), F.posexplode("x.extends").alias("j", "parent")).withColumn("pos", F.col("mpos").cast("long") * PARENTS + F.col("j"))
     extended = rows(parents.withColumn("x", F.struct(F.lit(None).cast("string").alias("id"))), 5, "method", F.col("parent"), nothing)
     tr = F.col("x.transfer")
     idea = rows(_items(docs, "assets.ideas"), 6, "idea", F.col("x.text"), _attrs(origin=F.col("x.origin"), transfer_type=tr["type"], transfer_to=tr["to"], transfer_barrier=tr["barrier"]), origin=F.col("x.origin"))
@@ -233,7 +238,7 @@ def _statements(docs: DataFrame, paper: DataFrame, at: DataFrame, taxonomy: Data
     for kind, path in ((3, "assets.datasets"), (4, "assets.methods")):
         a = _place(_items(docs, path), at, kind).join(pk, "eid")
         out = out.unionByName(st(a, w, k, F.col("x.role"), kind, ev=F.col("x.evidence")))
-    par = _place(_items(docs, "assets.methods"), at, 4).select("eid", F.col("pos").alias("mpos"), F.col("key").alias("child"), F.posexplode("x.extends").alias("j", "p")).withColumn("pos", F.col("mpos") * 64 + F.col("j"))
+    par = _place(_items(docs, "assets.methods"), at, 4).select("eid", F.col("pos").alias("mpos"), F.col("key").alias("child"), F.posexplode("x.extends").alias("j", "p")).withColumn("pos", F.col("mpos").cast("long") * PARENTS + F.col("j"))
     out = out.unionByName(st(_place(par, at, 5), F.col("child"), k, F.lit("extends"), 5))
     idea = _place(_items(docs, "assets.ideas"), at, 6).join(pk, "eid")
     out = out.unionByName(st(idea, w, k, F.lit("proposes"), 6, attrs=_attrs(origin=F.col("x.origin"))))

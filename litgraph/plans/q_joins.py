@@ -267,7 +267,9 @@ def _(t):
     FROM ent n JOIN ks USING (key) LEFT JOIN fe USING (key) LEFT JOIN ct USING (key) LEFT JOIN na USING (key) LEFT JOIN wrk w ON w.entity_key=n.key""")
 def _(t):
     lib = t.library
-    c = lk.entity_cards(lib, lib.entity.filter("type in ('topic','organism','modality')").select("key"))
+    keys = lib.entity.filter("type in ('topic','organism','modality')").select("key")
+    names = lk.entity_names(lib, keys).groupBy("key").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))  # a part has one or two
+    c = lk.entity_cards(lib, keys).join(names, "key", "left")
     text = F.array_join(F.transform("edges", lambda e: F.concat_ws("|", e["type"], e["direction"], e["rn"], e["other"])), ",")
     counts = F.array_join(F.transform("edge_counts", lambda e: F.concat_ws("=", e["type"], e["n"])), ",")
     return c.select("key", F.col("canonical_name").alias("name"), F.coalesce(F.array_join("aliases", ","), F.lit("")).alias("aliases"),

@@ -62,12 +62,12 @@ def _(t):
 
 
 @register("v04_similar_pairs", f"""
-    WITH src AS (SELECT vec_id, embedding, label FROM embeddings ORDER BY vec_id DESC LIMIT 2000),
+    WITH src AS (SELECT vec_id, embedding, label FROM embeddings),
     s AS (SELECT a.vec_id AS src, b.vec_id AS other, a.label AS la, b.label AS lb, round({DOT.format('a.embedding', 'b.embedding')},6) AS sim FROM src a JOIN embeddings b ON a.vec_id<>b.vec_id)
     SELECT src, other, sim FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY sim DESC, other) AS rn FROM s WHERE sim>=0.3) WHERE rn<=10 AND la<>lb""")
 def _(t):
     u = units(t, "vec_id")
-    hits = rt.top_similar(u, u.orderBy(F.desc("vec_id")).limit(2000), 10, 0.3)
+    hits = rt.top_similar(u, u, 10, 0.3)
     lab = u.select("id", "label")
     return (hits.join(lab, "id").join(lab.select(F.col("id").alias("probe"), F.col("label").alias("pl")), "probe").filter("label != pl")
             .select(F.col("probe").alias("src"), F.col("id").alias("other"), "sim"))
@@ -104,17 +104,31 @@ def _(t):
     return rt.keyword_search(d, q).select("q", "id", "score")
 
 
+ANCHOR_CHARS = 6
+
+
 def holding(t):
-    """(q, key): the documents that contain a passage. Both sides meet on a run of six words, then the
-    whole passage is checked."""
+    """(q, key): the documents that contain a passage. Both sides meet on a run of six words that stands inside the
+    passage, or on the first characters of its longest word where it is too short for one; then the whole passage is
+    checked. The anchors of the benchmark meet the texts inside the scan when they are few."""
     q, d = passages(t)
-    words = F.filter(F.split("body", "\\s+"), lambda w: F.length(w) > 0)
+    split = lambda c: F.filter(F.split(c, "\\s+"), lambda w: F.length(w) > 0)
+    asked = q.select("q", "text", split("text").alias("w"))
     runs = F.when(F.size("w") >= 6, F.transform(F.sequence(F.lit(1), F.size("w") - 5), lambda i: F.array_join(F.slice("w", i, 6), " ")))
-    docs = d.select("id", words.alias("w")).select("id", F.explode(F.array_distinct(runs)).alias("run"))
-    asked = q.select("q", "text", F.filter(F.split("text", "\\s+"), lambda w: F.length(w) > 0).alias("w")).select(
-        "q", F.array_join(F.slice("w", 2, 6), " ").alias("run"))
-    met = docs.join(broadcast_if_small(asked), "run").select("q", "id").distinct()
-    return met.join(d, "id").join(q, "q").filter(F.col("body").contains(F.col("text"))).select("q", F.col("id").alias("key"))
+    long = asked.filter(F.size("w") >= 8).select("q", F.array_join(F.slice("w", 2, 6), " ").alias("anchor"))
+    by_run = d.select("id", split("body").alias("w")).select("id", F.explode(F.array_distinct(runs)).alias("anchor")).join(broadcast_if_small(long), "anchor")
+    head = F.substring(F.element_at(F.array_sort(F.transform("w", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"], 1, ANCHOR_CHARS)
+    short = asked.filter(F.size("w").between(1, 7)).select("q", head.alias("anchor")).withColumn("n", F.length("anchor"))
+    # pieces of each length that an anchor has, at most ANCHOR_CHARS lengths
+    sizes = short.groupBy().agg(F.collect_set("n").alias("sizes"))
+    pieces = F.flatten(F.transform("sizes", lambda n: F.when(F.length("body") >= n, F.transform(
+        F.sequence(F.lit(1), F.length("body") - n + 1), lambda i: F.substr(F.col("body"), i, n))).otherwise(F.array().cast("array<string>"))))
+    lengths = sizes.first()["sizes"]
+    met = by_run.select("q", "id")
+    if lengths:
+        of = d.withColumn("sizes", F.array(*[F.lit(n) for n in lengths])).select("id", F.explode(F.array_distinct(pieces)).alias("anchor"))
+        met = met.unionByName(of.join(broadcast_if_small(short.select("q", "anchor")), "anchor").select("q", "id"))
+    return met.distinct().join(d, "id").join(q, "q").filter(F.col("body").contains(F.col("text"))).select("q", F.col("id").alias("key"))
 
 
 @register("a12_retrieval_metrics", f"""WITH {TERMS},
@@ -225,7 +239,7 @@ def _(t):
 @register("v14_synthesis_candidates", f"""
     WITH ast AS (SELECT key, status, created_at FROM ent WHERE type IN ('dataset','method','idea','claim')),
     vv AS (SELECT 'asset:'||vec_id AS key, label, embedding FROM embeddings WHERE 'asset:'||vec_id IN (SELECT key FROM ast)),
-    rc AS (SELECT key FROM ast WHERE created_at>=TIMESTAMP '1998-06-01' ORDER BY created_at DESC, key DESC LIMIT 2000),
+    rc AS (SELECT key FROM ast WHERE created_at>=TIMESTAMP '1998-06-01'),
     s AS (SELECT a.key AS src, b.key AS other, a.label AS la, b.label AS lb, round({DOT.format('a.embedding', 'b.embedding')},6) AS sim FROM vv a JOIN rc ON rc.key=a.key JOIN vv b ON a.key<>b.key),
     p10 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY sim DESC, other) AS rn FROM s WHERE sim>=0.25) WHERE rn<=10),
     okk AS (SELECT key FROM ast WHERE status<>'rejected'),

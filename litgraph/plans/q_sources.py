@@ -235,11 +235,13 @@ def _(t):
     return page(d, [F.desc("id")], 50, 25).select("id", "op", "total")
 
 
-@register("x13_url_cleaning", """SELECT page_id, lower(regexp_extract(url,'^https?://(?:www\\.|m\\.)?([^/]+/[^/]+/[^/?#]+)',1)) AS repo_like FROM pages""")
+@register("x13_url_cleaning", """WITH u AS (SELECT page_id, regexp_extract(url,'^https?://(?:www\\.|m\\.)?([^/]+)/([^/?#]+)',1) AS host,
+    regexp_extract(url,'^https?://(?:www\\.|m\\.)?([^/]+)/([^/?#]+)',2) AS first FROM pages)
+    SELECT page_id, CASE WHEN regexp_full_match(host,'[\\w.\\-]+') AND regexp_matches(first,'^[\\w.\\-]') THEN regexp_replace('github.com/'||lower(host)||'/'||
+      regexp_extract(lower(first),'^[\\w.\\-]+'),'\\.git$','') END AS repo FROM u""")
 def _(t):
     asrepo = F.regexp_replace("url", "^https?://(?:www\\.|m\\.)?([^/]+)/", "https://github.com/$1/")
-    hit = F.regexp_extract(F.lower(F.regexp_replace("url", "[?#].*$", "")), "^https?://(?:www\\.|m\\.)?([^/]+/[^/]+/[^/]+)", 1)
-    return t.pages.select("page_id", hit.alias("repo_like"), ids.repo(asrepo).alias("r")).select("page_id", "repo_like")
+    return t.pages.select("page_id", ids.repo(asrepo).alias("repo"))
 
 
 @register("x16_download_class", """SELECT l_partkey, CASE l_partkey%5 WHEN 0 THEN 'series:GSE'||CASE WHEN length(l_partkey::VARCHAR)>3 THEN substr(l_partkey::VARCHAR,1,length(l_partkey::VARCHAR)-3) ELSE '' END||'nnn'

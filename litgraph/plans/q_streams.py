@@ -42,7 +42,10 @@ def _(t):
     return feeds.card_states(log).select("card_id", "reviews", "lapses", "last_rating")
 
 
-@register("t09_late_data")
+@register("t09_late_data", """WITH d AS (SELECT date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY 1),
+    s AS (SELECT DISTINCT day - to_days(k) AS start FROM d, generate_series(0, 6) g(k)), m AS (SELECT max(ts) AS last FROM events)
+    SELECT strftime(start, '%Y-%m-%d') AS start, sum(d.n)::BIGINT AS n FROM s, m, d
+    WHERE d.day >= start AND d.day < start + INTERVAL 7 DAY AND start + INTERVAL 7 DAY <= last - INTERVAL 1 DAY GROUP BY 1""")
 def _(t):
     """Closed seven-day windows of the event stream, in append mode behind a watermark."""
     f = _folder(t)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# A side is broadcast only below this many rows, counted at run time (see ``broadcast_if_small``).
+# A side is broadcast only below so many rows and bytes, counted at run time (see ``broadcast_if_small``).
 BROADCAST_MAX_ROWS = 50_000
+BROADCAST_MAX_BYTES = 16_000_000
 
 
 def build_session(app: str = "litgraph", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -18,6 +20,7 @@ def build_session(app: str = "litgraph", master: str | None = None, shuffle_part
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if master:
         b = b.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config(
@@ -49,11 +52,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, what: str = "frame") -> DataFrame:
+    """``df`` as a table in the shared folder. Unlike a checkpoint it forgets the size estimates of the plan that made
+    it, which a loop of joins would multiply in every round."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Hint a broadcast after counting at most ``max_rows + 1`` rows; above it a sort-merge join is asked
-    for, so that no side whose size is only estimated is sent around."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df.hint("merge")
+    """Hint a broadcast after counting at most ``max_rows + 1`` rows and their bytes; above either bound a sort-merge
+    join is asked for, so that no side whose size is only estimated is sent around."""
+    size = F.octet_length(F.to_json(F.struct(*df.columns)))
+    n, held = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= max_rows and held <= BROADCAST_MAX_BYTES else df.hint("merge")
 
 
 def global_row_number(df: DataFrame, order: list, name: str = "rn", start=None) -> DataFrame:

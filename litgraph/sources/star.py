@@ -5,6 +5,7 @@ the graph grows with the tables."""
 
 from __future__ import annotations
 
+import hashlib
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import norm_ascii
 from ..model import STATUS_RANK, Library
+from ..session import ensure_checkpoint_dir
 
 EPOCH = "timestamp '1995-01-01 00:00:00'"
 
@@ -50,7 +52,16 @@ class StarLibrary:
 
     @cached_property
     def edge(self) -> DataFrame:
-        return edges(self._t)
+        """The folded edges: the statements are read and folded once for each session and folder, into a table in the
+        shared folder that is partitioned by type."""
+        spark = self._t.spark
+        name = hashlib.md5(self._t.path.encode()).hexdigest()
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/edges-{spark.sparkContext.applicationId}-{name}"
+        folded = edges(self._t)
+        fs = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if not fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs):
+            folded.write.mode("overwrite").partitionBy("type").parquet(path)
+        return spark.read.schema(folded.schema).parquet(path).select(*folded.columns)
 
     @cached_property
     def alias(self) -> DataFrame:

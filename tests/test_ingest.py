@@ -100,6 +100,18 @@ def test_close_names_merge_but_not_across_origins(spark):
     assert got["1"] == got["2"] and got["3"] == got["4"] and got["5"] != got["3"]
 
 
+def test_a_long_chain_does_not_undo_other_merges(spark):
+    """Fourteen names, each like the one before, go to earlier ones of the chain only, and an unrelated pair still merges."""
+    words = [f"part{i:02d}x" for i in range(20)]
+    names = [" ".join(words[i:i + 6]) for i in range(14)] + ["spatial domain detector", "spatial domain detectors"]
+    m = spark.createDataFrame([(str(i), n, i) for i, n in enumerate(names)], "mid string, name string, seq long").select(
+        "*", F.lit("method").alias("type"), F.lit(None).cast("string").alias("origin"), F.array().cast("array<string>").alias("aliases"), F.col("name").alias("text"),
+        F.lit(None).cast("string").alias("anchor"), F.lit(True).alias("auto"))
+    got = {int(r["mid"]): r["key"] for r in rs.resolve(m, th=rs.Thresholds(merge_auto=0.7, merge_review=0.5)).assigned.collect()}
+    assert got[14] == got[15] and len(got) == 16
+    assert all(names.index(got[i].removeprefix("method:")) <= i for i in range(14)) and len({got[i] for i in range(14)}) < 14
+
+
 def test_an_acronym_is_a_question(spark):
     names = ["Spatially Resolved Domain Mapper", "SRM db", "SRDM"]
     m = spark.createDataFrame([(str(i), n, i) for i, n in enumerate(names)], "mid string, name string, seq long").select(

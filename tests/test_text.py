@@ -76,3 +76,14 @@ def test_polarity(spark):
         return p.select(scoring.opposite(F.col("na"), F.col("da"), F.col("nb"), F.col("db"))).first()[0]
     assert opp("TF X increases growth", "TF X decreases growth") and opp("X is needed", "X is not needed")
     assert not opp("X increases Y", "X increases Y in roots") and opp("上调表达", "下调表达") and not opp("两者不同", "两者有别")
+
+
+def test_dense_vectors_are_the_sparse_features(spark):
+    from litgraph.functions.embed import hash_embedder, hash_features
+    from litgraph.functions.text import norm
+    texts = spark.createDataFrame([(1, "Red widget, red"), (2, "两者 Ab"), (3, ""), (4, "x")], "id long, t string")
+    sparse = {(r["id"], r["bucket"]): r["weight"] for r in hash_features(texts.withColumn("n", norm(F.col("t"))), "id", F.col("n")).collect()}
+    for r in texts.select("id", hash_embedder()(F.col("t")).alias("v")).collect():
+        got = {(r["id"], i): x for i, x in enumerate(r["v"]) if x}
+        want = {k: v for k, v in sparse.items() if k[0] == r["id"]}
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-6 for k in want)
