@@ -58,11 +58,12 @@ def fold(events: DataFrame) -> DataFrame:
               .withColumn("_at", F.row_number().over(ordered))
               .withColumn("_dropped", F.min(F.when(F.col("_kind") == "regenerate", F.col("turn"))).over(later))
               .where("_dropped is null or turn <= _dropped")
+              .withColumn("role", F.max_by("role", F.when(F.col("role").isNotNull(), F.col("_at"))).over(of_turn))
               .withColumn("_reset", F.max(F.when(F.col("_kind") != "delta", F.col("_at"))).over(of_turn))
               .where("_reset is null or _at >= _reset"))
     said = F.array_sort(F.collect_list(F.struct("_at", F.when(F.col("_kind") == "regenerate", "").otherwise(F.col("text")).alias("text"))))
     return placed.groupBy("conv_id", "turn").agg(
-        F.coalesce(F.max_by("role", F.when(F.col("role").isNotNull(), F.col("_at"))), F.lit("")).alias("role"),
+        F.coalesce(F.max("role"), F.lit("")).alias("role"),
         F.array_join(F.transform(said, lambda s: s["text"]), "").alias("text"))
 
 

@@ -67,7 +67,7 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, n) over all texts, an end token for each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, _ in slices(batch, text, 16_000_000):
+            for part, _ in slices(batch, text, 5_000_000):
                 which, _, names = tokens(part.column(text))
                 n = np.bincount(which, minlength=len(names))
                 some = np.flatnonzero(n)
@@ -265,14 +265,14 @@ class Gru:
 
 
 def inputs(voc: Vocabulary, head: np.ndarray, klass: np.ndarray) -> np.ndarray:
-    return np.where((head >= 0) & (head < INPUTS), head, INPUTS + klass)
+    return np.where((head >= 0) & (head < INPUTS), head, INPUTS + klass).astype(np.int32)
 
 
 def classes_of(voc: Vocabulary, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Class and place of each token; rare and unknown ones are of the last class."""
     if not len(voc.words):
-        return np.full(len(head), voc.n_classes - 1), np.full(len(head), -1)
-    return np.where(head >= 0, voc.klass[head], voc.n_classes - 1), np.where(head >= 0, voc.place[head], -1)
+        return np.full(len(head), voc.n_classes - 1, np.int32), np.full(len(head), -1, np.int32)
+    return (np.where(head >= 0, voc.klass[head], voc.n_classes - 1).astype(np.int32), np.where(head >= 0, voc.place[head], -1).astype(np.int32))
 
 
 def with_ends(voc: Vocabulary, head: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -426,7 +426,7 @@ def score_parts(docs: DataFrame, voc: Vocabulary, model: Gru, text: str = "text"
     """What the vocabulary and the model give of each document, and its words outside the vocabulary with numbers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, _ in slices(batch, text, 32_000_000):
+            for part, _ in slices(batch, text, 10_000_000):
                 n = len(part)
                 which, of, names = tokens(part.column(text))
                 head_of = voc.lookup(names)
@@ -439,10 +439,11 @@ def score_parts(docs: DataFrame, voc: Vocabulary, model: Gru, text: str = "text"
                 head, start = with_ends(voc, head_of[which], of, n)
                 known = head >= 0
                 base = np.where(known, np.log10((voc.counts[head] if len(voc.counts) else 0) + 0.5), 0.0)
+                end = 0.0 if END in voc.words else float(np.log10(0.5))  # unknown only if nothing was learned
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), part.column("held_out"), pa.array(np.diff(start), pa.int64()),
-                    pa.array(np.add.reduceat(known, start[:-1]).astype(np.int64)), pa.array(np.add.reduceat(base, start[:-1])),
-                    pa.array(log_likelihoods(voc, model, head, start)), tail],
+                    pa.array(np.add.reduceat(known, start[:-1]).astype(np.int64)), pa.array(np.add.reduceat(base, start[:-1]) + end),
+                    pa.array(log_likelihoods(voc, model, head, start) + end), tail],
                     ["doc_id", "held_out", "n_tokens", "head_known", "head_base", "head_score", "tail"])
 
     return docs.select("doc_id", "held_out", text).mapInArrow(run, PARTS)
