@@ -7,7 +7,7 @@
 4. In each bucket every class is compared with the bucket's smallest one, on full sets. Buckets that are not of one
    component after that are searched for the links between their components: blocks of minima are compared inside
    tasks, and only pairs whose minima agree as a similar pair's do (five standard deviations) and that meet in this
-   band first are confirmed on full sets.
+   band first are confirmed on full sets, the best agreeing ones of each class and component first, until none is left.
 5. Components of the confirmed links by alternating large-star and small-star, until nothing changes.
 
 No bucket, class or block has a cap; a bucket larger than a block is split over several. Nothing but counts reaches
@@ -149,8 +149,9 @@ def components(links: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root")).groupBy("node").agg(F.min("root").alias("root"))
 
 
-def across(members: DataFrame, hashes: int, rows: int, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) between different components of a bucket. The classes outside a bucket's largest
+def across(members: DataFrame, hashes: int, rows: int, percent: int, best: int) -> DataFrame:
+    """Candidate pairs (a, b) between different components of a bucket: for each class and other component the
+    ``best`` ones of a block, by agreement of their minima. The classes outside a bucket's largest
     component meet the blocks of that component, and each other; those inside it do not meet, so a large group of near
     copies with a few strays travels once."""
     least = (percent / 100 - SIGMAS * np.sqrt(percent / 100 * (1 - percent / 100) / hashes)) * hashes
@@ -189,7 +190,12 @@ def across(members: DataFrame, hashes: int, rows: int, percent: int) -> DataFram
             if not len(far):
                 continue
             first = same.reshape(len(far), -1, rows).all(2).argmax(1)
-            for y in far[first == band].tolist():
+            far, near = far[mine := first == band], same[mine].sum(1)
+            order = np.lexsort((node[far], -near, root[far]))
+            far = far[order]
+            starts = np.flatnonzero(np.concatenate([[True], root[far][1:] != root[far][:-1]])) if len(far) else np.empty(0, np.int64)
+            place = np.arange(len(far)) - np.repeat(starts, np.diff(np.append(starts, len(far))))
+            for y in far[place < best].tolist():
                 a.append(min(int(node[x]), int(node[y])))
                 b.append(max(int(node[x]), int(node[y])))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -214,12 +220,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
 
     links = written(confirmed(members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), texts, size, percent), "minhash-links")
     roots = written(components(links), "minhash-roots")
-    rooted = written(members.select("bucket", "band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "minhash-rooted")
-    open_ = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    mixed = rooted.join(written(open_, "minhash-open"), "bucket").join(alone, "node")
-    pairs = written(across(mixed, bands * rows, rows, percent), "minhash-pairs").join(links, ["a", "b"], "left_anti")
-    more = confirmed(pairs, texts, size, percent)
-    roots = written(components(links.unionByName(more)), "minhash-roots")
+    checked, best = links.limit(0), 2
+    while best < 64 * BLOCK:  # blocks have about BLOCK classes, so the last round takes whole blocks
+        # the best agreeing pairs first: what they join needs no other pair, and the rest goes on with more of them
+        rooted = written(members.select("bucket", "band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "minhash-rooted")
+        open_ = written(rooted.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("bucket"), "minhash-open")
+        if open_.isEmpty():
+            break
+        mixed = rooted.join(open_, "bucket").join(alone, "node")
+        found = written(across(mixed, bands * rows, rows, percent, best).distinct().join(checked, ["a", "b"], "left_anti"), "minhash-pairs")
+        if not found.isEmpty():
+            more = written(confirmed(found.join(links, ["a", "b"], "left_anti"), texts, size, percent), "minhash-more")
+            checked = checked.unionByName(found)
+            links = written(links.unionByName(more), "minhash-links")
+            roots = written(components(links), "minhash-roots")
+        best *= 16
     return (tagged.select("doc_id", "n_shingles", "node").join(roots, "node", "left")
             .select("doc_id", "n_shingles", F.coalesce("root", "node", "doc_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.col("component_id").isNull())))
