@@ -11,10 +11,10 @@ Classes are groups of like frequency that occur in like documents. Rare and unkn
 its mass by (c + 0.5), unknown ones together having c = 0, so all words' probabilities sum to 1 and the untrained
 model is the base model.
 
-Training. Every ``SAMPLE``-th training document, by hash, groups words by topic, and every other ``SAMPLE``-th, of
-another hash value, is dealt to shards of about ``SHARD_DOCS`` documents. Each
-shard runs truncated backpropagation through ``WINDOW`` words in numpy, the state carried on; the shards' weights are
-averaged by Spark, ``ROUNDS`` times. What is counted and trained on grows with the input.
+Training. Every ``SAMPLE``-th training document, by hash, groups words by topic. All training documents are dealt, by
+hash, to ``ROUNDS`` rounds and in each to shards of about ``SHARD_DOCS`` documents, so that every one is learned from
+once. Each shard runs truncated backpropagation through ``WINDOW`` words in numpy, the state carried on; the shards'
+weights are averaged by Spark after each round. What is counted and trained on grows with the input.
 
 Scoring. The documents of a batch advance side by side, longest first, the state carried across windows to each
 document's end: scores are of complete documents.
@@ -188,7 +188,7 @@ class Gru:
     """Weights, their gradient, and both directions through time."""
 
     def __init__(self, voc: Vocabulary, seed: int = 11):
-        h, c, self.n_top = HIDDEN, voc.n_classes, TOP // TOP_CLASS
+        h, c, self.n_top, self.trained = HIDDEN, voc.n_classes, TOP // TOP_CLASS, 0  # trained: tokens learned from
         rng = np.random.default_rng(seed)
         size = np.bincount(voc.klass, voc.counts + 0.5, c)
         size[c - 1] += max(voc.tail_mass, 1e-9)
@@ -346,11 +346,13 @@ def train_shard(voc: Vocabulary, model: Gru, texts: list[tuple[np.ndarray, np.nd
     return int(load.sum())
 
 
-def train(sample: DataFrame, voc: Vocabulary, rounds: int = ROUNDS, text: str = "text") -> Gru:
-    """Shards start from the same weights, train alone, and are averaged by their tokens."""
+def train(docs: DataFrame, voc: Vocabulary, rounds: int = ROUNDS, text: str = "text") -> Gru:
+    """One pass over all documents. A round's shards start from the same weights, train alone, and are averaged by
+    their tokens; the next round goes on from there with other documents."""
     model, chunk = Gru(voc), 2048
-    n = sample.count()
-    shards = max(2, -(-n // SHARD_DOCS))
+    n = docs.count()
+    shards = max(2, -(-n // (rounds * SHARD_DOCS)))
+    docs = docs.select("doc_id", text, F.pmod(F.xxhash64("doc_id", text, F.lit(23)), F.lit(rounds)).alias("turn"))
     for turn in range(rounds if n else 0):
         start = model.flat()
 
@@ -358,24 +360,27 @@ def train(sample: DataFrame, voc: Vocabulary, rounds: int = ROUNDS, text: str =
             own, done = Gru(voc), 0
             own.load(start)
             for batch in batches:
-                texts = []
-                which, of, names = tokens(batch.column(text))
-                head, begin = with_ends(voc, voc.lookup(names)[which], of, len(batch))
-                klass, place = classes_of(voc, head)
-                x = inputs(voc, head, klass)
-                for i in range(len(batch)):
-                    s = slice(begin[i], begin[i + 1])
-                    texts.append((np.concatenate([[x[begin[i + 1] - 1]], x[s][:-1]]), klass[s], place[s]))
-                done += train_shard(voc, own, texts)
+                for part, _ in slices(batch, text, 5_000_000):
+                    texts = []
+                    which, of, names = tokens(part.column(text))
+                    head, begin = with_ends(voc, voc.lookup(names)[which], of, len(part))
+                    klass, place = classes_of(voc, head)
+                    x = inputs(voc, head, klass)
+                    for i in range(len(part)):
+                        s = slice(begin[i], begin[i + 1])
+                        texts.append((np.concatenate([[x[begin[i + 1] - 1]], x[s][:-1]]), klass[s], place[s]))
+                    done += train_shard(voc, own, texts)
             if done:
                 flat = own.flat()
                 yield pa.RecordBatch.from_arrays([pa.array(range(0, len(flat), chunk), pa.int64()), pa.array([done] * len(range(0, len(flat), chunk)), pa.int64()),
                                                   pa.array([flat[a:a + chunk] for a in range(0, len(flat), chunk)], pa.list_(pa.float32()))], ["at", "n", "w"])
 
-        dealt = sample.repartition(shards, F.xxhash64("doc_id", F.lit(turn))).sortWithinPartitions(F.xxhash64("doc_id", F.lit(turn + 1)))
+        dealt = (docs.where(F.col("turn") == turn).repartition(shards, F.xxhash64("doc_id", text, F.lit(turn)))
+                 .sortWithinPartitions(F.xxhash64("doc_id", text, F.lit(turn + 1))))
         each = dealt.mapInArrow(run, "at long, n long, w array<float>").select("at", "n", F.posexplode("w").alias("i", "v"))
-        mean = each.groupBy((F.col("at") + F.col("i")).alias("i")).agg((F.sum(F.col("v").cast("double") * F.col("n")) / F.sum("n")).alias("v")).toArrow()
+        mean = each.groupBy((F.col("at") + F.col("i")).alias("i")).agg((F.sum(F.col("v").cast("double") * F.col("n")) / F.sum("n")).alias("v"), F.sum("n").alias("n")).toArrow()
         flat = start.astype(np.float64)
+        model.trained += int(pc.max(mean.column("n")).as_py() or 0)
         flat[mean.column("i").to_numpy()] = mean.column("v").to_numpy()
         model.load(flat)
     return model
@@ -449,20 +454,22 @@ def score_parts(docs: DataFrame, voc: Vocabulary, model: Gru, text: str = "text"
     return docs.select("doc_id", "held_out", text).mapInArrow(run, PARTS)
 
 
-def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document, learned from those
-    for which ``held_out`` does not hold."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"))
-    counts = written(count_words(docs.where(~F.col("held_out"))), "lm-counts")
+def learn(docs: DataFrame) -> tuple[DataFrame, Vocabulary, Gru]:
+    """Word counts, vocabulary and weights, all of them from every document of (doc_id, text)."""
+    counts = written(count_words(docs), "lm-counts")
     voc = vocabulary(counts)
-    bucket = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(SAMPLE)).cast("int")
-    sample = written(docs.where(~F.col("held_out")).withColumn("bucket", bucket).where("bucket < 2").select("doc_id", "text", "bucket"), "lm-sample")
-    # topics and weights come from different documents: in their own all rare words would have a known topic
-    grouped = sample.where("bucket = 0")
+    grouped = written(docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(SAMPLE)) == 0), "lm-sample")
     some = topic_vectors(grouped.orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id").limit(TOPIC_DOCS), voc).toArrow()
     c = centres(np.array(some.column("vector").to_pylist(), np.float32).reshape(-1, TOPIC_WORDS))
     classify(voc, word_topics(grouped, voc, c))
-    model = train(sample.where("bucket = 1"), voc)
+    return counts, voc, train(docs, voc)
+
+
+def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document, learned from those
+    for which ``held_out`` does not hold."""
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"))
+    counts, voc, model = learn(docs.where(~F.col("held_out")))
 
     parts = written(score_parts(docs, voc, model).withColumn("row", F.monotonically_increasing_id()), "lm-parts")
     rare = parts.select("row", F.explode("tail").alias("t")).select("row", "t.word", F.col("t.n").alias("times"))

@@ -299,6 +299,12 @@ def test_language_model_probabilities(spark, docs, none):
     assert all(r["train_tokens"] == 0 and abs(r["base_score"]) < 1e-9 for r in unlearned)
 
 
+def test_language_model_learns_from_every_document(spark):
+    df = spark.createDataFrame([(i, f"red w{i} green blue") for i in range(300)] + [(None, "no id"), (7, "again"), (7, None)], "doc_id long, text string").repartition(5)
+    _, voc, model = gru.learn(df)
+    assert model.trained == voc.total == 300 * 5 + 3 + 2 + 1
+
+
 def test_tokens_of_a_slice():
     import pyarrow as pa
     texts = pa.array(["Aé b", "c D", None, "e"] * 500)
