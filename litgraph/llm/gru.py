@@ -11,8 +11,9 @@ Classes are groups of like frequency that occur in like documents. Rare and unkn
 its mass by (c + 0.5), unknown ones together having c = 0, so all words' probabilities sum to 1 and the untrained
 model is the base model.
 
-Training. Every ``SAMPLE``-th training document, by hash, groups words by topic. All training documents are dealt, by
-hash, to ``ROUNDS`` rounds and in each to shards of about ``SHARD_DOCS`` documents, so that every one is learned from
+Training. Topic centres are fitted on the vectors of all training documents, by rounds of distributed k-means from a
+start on ``TOPIC_DOCS`` of them, and the words of all are counted by topic; a word seen once has no topic, as it would
+be known in its own document only. All training documents are dealt, by hash, to ``ROUNDS`` rounds and in each to shards of about ``SHARD_DOCS`` documents, so that every one is learned from
 once. Each shard runs truncated backpropagation through ``WINDOW`` words in numpy, the state carried on; the shards'
 weights are averaged by Spark after each round. What is counted and trained on grows with the input.
 
@@ -43,7 +44,7 @@ TOP, TOP_CLASS = 1024, 32
 HIDDEN = 16
 TOPICS, TOPIC_WORDS, TOPIC_DOCS = 6, 64, 4000
 BINS = 4
-SAMPLE, SHARD_DOCS, ROUNDS, WINDOW, LANES = 32, 1000, 2, 20, 96
+SHARD_DOCS, ROUNDS, WINDOW, LANES = 1000, 2, 20, 96
 STRETCH = 400
 RATE, WARM_STEPS = 0.15, 40  # the rate grows over the first steps, so that a few of them move little
 END = "\n"  # no word has white space
@@ -119,13 +120,15 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 
 def topic_vectors(docs: DataFrame, voc: Vocabulary, text: str = "text") -> DataFrame:
-    """(vector) of each document: shares of its most frequent vocabulary words."""
+    """(h, vector) of each document: a hash, and shares of its most frequent vocabulary words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            which, of, names = tokens(batch.column(text))
-            yield pa.RecordBatch.from_arrays([pa.array(list(shares(voc.lookup(names)[which], of, len(batch))), pa.list_(pa.float32()))], ["vector"])
+            for part, _ in slices(batch.select(["h", text]), text, 5_000_000):
+                which, of, names = tokens(part.column(text))
+                flat = shares(voc.lookup(names)[which], of, len(part)).ravel()
+                yield pa.RecordBatch.from_arrays([part.column("h"), pa.FixedSizeListArray.from_arrays(pa.array(flat), TOPIC_WORDS).cast(pa.list_(pa.float32()))], ["h", "vector"])
 
-    return docs.select(text).mapInArrow(run, "vector array<float>")
+    return docs.select(F.xxhash64("doc_id", text, F.lit(29)).alias("h"), text).mapInArrow(run, "h long, vector array<float>")
 
 
 def shares(head: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
@@ -152,15 +155,41 @@ def centres(vectors: np.ndarray, k: int = TOPICS, seed: int = 3) -> np.ndarray:
     return c
 
 
+def settled(vectors: DataFrame, c: np.ndarray, rounds: int = 15) -> np.ndarray:
+    """Centres after rounds of k-means over all vectors. Sums are of whole numbers, so that their order does not matter."""
+    def run(batches: Iterator[pa.RecordBatch], c: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(c.shape, np.int64)
+        for batch in batches:
+            v = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, TOPIC_WORDS)
+            v = v[v.any(1)]
+            near, whole = (v @ c.T).argmax(1), np.round(v * (1 << 20)).astype(np.int64)
+            for i in range(len(c)):
+                sums[i] += whole[near == i].sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size)), pa.array(sums.ravel())], ["at", "n"])
+
+    for _ in range(rounds):
+        got = vectors.select("vector").mapInArrow(lambda b, c=c: run(b, c), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+        sums = np.zeros(c.size)
+        sums[got.column("at").to_numpy()] = got.column("n").to_numpy()
+        sums = sums.reshape(c.shape)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        new = np.where(size > 0, sums / np.maximum(size, 1e-9), c).astype(np.float32)
+        if np.array_equal(new, c):
+            break
+        c = new
+    return c
+
+
 def word_topics(docs: DataFrame, voc: Vocabulary, c: np.ndarray, text: str = "text") -> np.ndarray:
     """Occurrences of each head word in the documents of each topic."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            which, of, names = tokens(batch.column(text))
-            head = voc.lookup(names)[which]
-            topic = (shares(head, of, len(batch)) @ c.T).argmax(1)
-            key, n = np.unique(head[head >= 0] * np.int64(TOPICS) + topic[of[head >= 0]], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64())], ["key", "n"])
+            for part, _ in slices(batch, text, 5_000_000):
+                which, of, names = tokens(part.column(text))
+                head = voc.lookup(names)[which]
+                topic = (shares(head, of, len(part)) @ c.T).argmax(1)
+                key, n = np.unique(head[head >= 0] * np.int64(TOPICS) + topic[of[head >= 0]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64())], ["key", "n"])
 
     got = docs.select(text).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(voc.words) * TOPICS)
@@ -172,7 +201,7 @@ def classify(voc: Vocabulary, by_topic: np.ndarray) -> None:
     """Classes: the end token; small ones of frequent words; topic and frequency groups; at last the rare words."""
     n = len(voc.words)
     share = by_topic / np.maximum(by_topic.sum(0), 1)
-    topic = np.where(by_topic.sum(1) > 0, share.argmax(1), TOPICS)
+    topic = np.where(by_topic.sum(1) > 1, share.argmax(1), TOPICS)
     voc.klass, voc.place = np.zeros(n, np.int64), np.full(n, -1)
     end = np.array([w == END for w in voc.words], bool)
     rest = np.flatnonzero(~end)
@@ -458,10 +487,10 @@ def learn(docs: DataFrame) -> tuple[DataFrame, Vocabulary, Gru]:
     """Word counts, vocabulary and weights, all of them from every document of (doc_id, text)."""
     counts = written(count_words(docs), "lm-counts")
     voc = vocabulary(counts)
-    grouped = written(docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(SAMPLE)) == 0), "lm-sample")
-    some = topic_vectors(grouped.orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id").limit(TOPIC_DOCS), voc).toArrow()
-    c = centres(np.array(some.column("vector").to_pylist(), np.float32).reshape(-1, TOPIC_WORDS))
-    classify(voc, word_topics(grouped, voc, c))
+    vectors = written(topic_vectors(docs, voc), "lm-vectors")
+    some = vectors.orderBy("h", "vector").limit(TOPIC_DOCS).toArrow()
+    c = settled(vectors, centres(np.array(some.column("vector").to_pylist(), np.float32).reshape(-1, TOPIC_WORDS)))
+    classify(voc, word_topics(docs, voc, c))
     return counts, voc, train(docs, voc)
 
 

@@ -305,6 +305,21 @@ def test_language_model_learns_from_every_document(spark):
     assert model.trained == voc.total == 300 * 5 + 3 + 2 + 1
 
 
+def test_topics_come_from_every_document(spark):
+    df = spark.createDataFrame([(i, f"the red w{i} w{i}" if i % 2 else f"of w{i} blue w{i}") for i in range(1500)], "doc_id long, text string").repartition(5)
+    _, voc, _ = gru.learn(df)
+    no_topic = 1 + gru.TOP // gru.TOP_CLASS + gru.TOPICS * gru.BINS
+    assert len(voc.words) == 1505 and voc.klass.max() < no_topic
+    vectors = gru.topic_vectors(df, voc)
+    flat = np.array([r["vector"] for r in vectors.collect()], np.float32)
+    start = gru.centres(flat[:40])
+    c = start
+    for _ in range(15):
+        near = (flat @ c.T).argmax(1)
+        c = np.array([v.sum(0) / np.linalg.norm(v.sum(0)) if len(v := flat[near == i]) else c[i] for i in range(len(c))], np.float32)
+    assert np.abs(gru.settled(vectors, start) - c).max() < 1e-3
+
+
 def test_tokens_of_a_slice():
     import pyarrow as pa
     texts = pa.array(["Aé b", "c D", None, "e"] * 500)
