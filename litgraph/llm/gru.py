@@ -406,11 +406,11 @@ def train(docs: DataFrame, voc: Vocabulary, rounds: int = ROUNDS, text: str = "t
 
         dealt = (docs.where(F.col("turn") == turn).repartition(shards, F.xxhash64("doc_id", text, F.lit(turn)))
                  .sortWithinPartitions(F.xxhash64("doc_id", text, F.lit(turn + 1))))
-        each = dealt.mapInArrow(run, "at long, n long, w array<float>").select("at", "n", F.posexplode("w").alias("i", "v"))
-        mean = each.groupBy((F.col("at") + F.col("i")).alias("i")).agg((F.sum(F.col("v").cast("double") * F.col("n")) / F.sum("n")).alias("v"), F.sum("n").alias("n")).toArrow()
+        each = dealt.mapInArrow(run, "at long, n long, w array<float>").repartition("at").select("at", "n", F.posexplode("w").alias("i", "v"))
+        mean = each.groupBy("at", "i").agg((F.sum(F.col("v").cast("double") * F.col("n")) / F.sum("n")).alias("v"), F.sum("n").alias("n")).toArrow()
         flat = start.astype(np.float64)
         model.trained += int(pc.max(mean.column("n")).as_py() or 0)
-        flat[mean.column("i").to_numpy()] = mean.column("v").to_numpy()
+        flat[mean.column("at").to_numpy() + mean.column("i").to_numpy()] = mean.column("v").to_numpy()
         model.load(flat)
     return model
 
