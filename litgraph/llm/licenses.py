@@ -1,13 +1,15 @@
 """Licence scans: a trained paragraph classifier whose findings a template has to confirm.
 
-A paragraph is a line, cut after ``PARAGRAPH_WORDS`` words. Its features are its words and word pairs, hashed, at
+A paragraph is a line, or a window of ``PARAGRAPH_WORDS`` words of a longer one. Windows start every ``STRIDE`` words, so
+that any notice as long as the longest template lies whole in one, and at each multiple of their length. Its features are its words and word pairs, hashed, at
 length 1. A multinomial logistic regression gives the probabilities of each licence family and of the unknown class.
 It is trained here: the families from their templates with words left out, put in, cut off and set among other words,
 the unknown class from paragraphs of the corpus (a bounded sample, ``MAX_UNKNOWN``, of least hash) that no template is
 like, and from mixed licence words in no order. A temperature fitted on rows left out calibrates the probabilities.
 
 A finding is a paragraph whose likeliest class is a family with at least ``LEAST`` probability. It is confirmed if the
-family's nearest template shares enough word pairs with it: at least ``CONFIRM`` of the smaller set of the two.
+family's nearest template shares enough word pairs with it: at least ``CONFIRM`` of the smaller set of the two. Of
+windows of one family that overlap, the surest stands for the others, confirmed ones first.
 
 Cases: null and empty texts have no paragraph and no finding. Texts of any length are scanned whole. Repeated rows are
 scanned each. Ties of probability go to the family first in the table. An empty corpus trains the unknown class from
@@ -57,7 +59,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
                             "No part of this publication may be reproduced without the prior written permission of the publisher."),
 }
 UNKNOWN = "unknown"
-PARAGRAPH_WORDS = 48
+PARAGRAPH_WORDS, STRIDE = 48, 8  # the longest template has 48 - 8 + 1 words at most
 FEATURES = 1 << 14
 COPIES = 30
 MAX_UNKNOWN = 4000
@@ -203,16 +205,27 @@ def findings(model: Model, texts: list[str | None]) -> list[list[dict]]:
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))[which]
     first = runs.offsets.to_numpy() - runs.offsets[0].as_py()
     length = np.diff(first)
-    pieces = -(-length // PARAGRAPH_WORDS)
-    line = np.repeat(np.arange(len(length)), pieces)
-    nth = np.arange(len(line)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    begin = first[line] + nth * PARAGRAPH_WORDS
-    size = np.minimum(first[line + 1] - begin, PARAGRAPH_WORDS)
-    word = model.weights[(h % np.uint64(FEATURES)).astype(np.int64)]
-    pair = np.vstack([model.weights[(pairs_of(h) % np.uint64(FEATURES)).astype(np.int64)], np.zeros((1, word.shape[1]), np.float32)])
-    pair[(begin + size - 1)] = 0  # no pair over a paragraph's end
-    logits = np.add.reduceat(word + pair, begin) / np.sqrt(2 * size - 1)[:, None] + model.bias
+    blocks = -(-length // STRIDE)
+    block_at = np.concatenate([[0], np.cumsum(blocks)])
+    line = np.repeat(np.arange(len(length)), blocks)
+    offset = (np.arange(len(line)) - block_at[line]) * STRIDE
+    weights = model.weights[(h % np.uint64(FEATURES)).astype(np.int64)]
+    pair = np.vstack([model.weights[(pairs_of(h) % np.uint64(FEATURES)).astype(np.int64)], np.zeros((1, weights.shape[1]), np.float32)])
+    pair[first[1:] - 1] = 0  # no pair over a line's end
+    sums = np.add.reduceat(weights + pair, first[line] + offset)
+    # windows up to the first that reaches the line's end, and those at multiples of their length
+    used = np.flatnonzero((offset - STRIDE + PARAGRAPH_WORDS < length[line]) & (offset > 0) | (offset % PARAGRAPH_WORDS == 0))
+    line, offset = line[used], offset[used]
+    size = np.minimum(length[line] - offset, PARAGRAPH_WORDS)
+    begin = first[line] + offset
+    total = np.zeros((len(used), weights.shape[1]), np.float32)
+    for k in range(PARAGRAPH_WORDS // STRIDE):
+        inside = used + k < block_at[line + 1]
+        total[inside] += sums[used[inside] + k]
+    total -= pair[begin + size - 1]  # no pair over a window's end
+    logits = total / np.sqrt(2 * size - 1)[:, None] + model.bias
     top = logits.argmax(1)
+    seen: dict[tuple[int, str], list[tuple]] = {}
     for i in np.flatnonzero(top < len(TEMPLATES)).tolist():
         p = float(model.probabilities(logits[i:i + 1])[0, top[i]])
         words = [names[w] for w in which[begin[i]:begin[i] + size[i]].tolist()]
@@ -220,7 +233,16 @@ def findings(model: Model, texts: list[str | None]) -> list[list[dict]]:
             continue
         family = model.names[top[i]]
         like = likeness(words, family)
-        out[of[line[i]]].append({"paragraph": int(line[i]), "family": family, "probability": p, "likeness": like, "confirmed": like >= CONFIRM})
+        seen.setdefault((int(line[i]), family), []).append((like < CONFIRM, -p, int(offset[i]), int(size[i]), like))
+    kept = []
+    for (at, family), windows in seen.items():
+        chosen: list[tuple] = []
+        for w in sorted(windows):
+            if all(w[2] >= o + n or o >= w[2] + w[3] for _, _, o, n, _ in chosen):
+                chosen.append(w)
+        kept += [(at, o, family, -p, like, not unsure) for unsure, p, o, _, like in chosen]
+    for at, _, family, p, like, sure in sorted(kept):
+        out[of[at]].append({"paragraph": at, "family": family, "probability": p, "likeness": like, "confirmed": sure})
     starts = np.searchsorted(of, np.arange(len(texts)))
     for i, found in enumerate(out):
         for f in found:

@@ -282,6 +282,17 @@ def test_toxicity_on_held_out_texts(spark, docs, none):
     assert {r["predicted"] for r in toxicity.score(docs, None).collect()} == {0}
 
 
+def test_licence_notices_across_window_ends(docs):
+    model = licenses.learn(docs.select("doc_id", "text"))
+    assert max(len(licenses.spoken(w)) for t in licenses.TEMPLATES.values() for w in t) <= licenses.PARAGRAPH_WORDS - licenses.STRIDE + 1
+    notice, filler = "Licensed under the Apache License, Version 2.0.", [f"stone{i}" for i in range(100)]
+    lines = [" ".join([*filler[:at], notice, *filler[at:]]) for at in range(101)]
+    found = licenses.findings(model, lines)
+    assert [i for i, f in enumerate(found) if [x["family"] for x in f if x["confirmed"]] != ["apache-2.0"]] == []
+    twice = licenses.findings(model, ["\n".join([" ".join([notice, *filler, notice]), "x", notice])])[0]
+    assert [(f["paragraph"], f["family"]) for f in twice if f["confirmed"]] == [(0, "apache-2.0"), (0, "apache-2.0"), (2, "apache-2.0")]
+
+
 def test_language_model_probabilities(spark, docs, none):
     rows = gru.score(docs.where("doc_id is not null"), crc_bucket(F.col("doc_id")) == 1).collect()
     texts = [(i, (t or "").encode().translate(LOWER).split() + [b"\n"]) for i, t in odd_texts() if i is not None]
