@@ -1,7 +1,8 @@
 """Licence scans: a trained paragraph classifier whose findings a template has to confirm.
 
 A paragraph is a line, or a window of ``PARAGRAPH_WORDS`` words of a longer one. Windows start every ``STRIDE`` words, so
-that any notice as long as the longest template lies whole in one, and at each multiple of their length. Its features are its words and word pairs, hashed, at
+that any notice as long as the longest template lies whole in one, and at each multiple of their length; in such a line
+also windows of the ``SHORT`` lengths, as a short notice weighs little among 48 words. Its features are its words and word pairs, hashed, at
 length 1. A multinomial logistic regression gives the probabilities of each licence family and of the unknown class.
 It is trained here: the families from their templates with words left out, put in, cut off and set among other words,
 the unknown class from paragraphs of the corpus (a bounded sample, ``MAX_UNKNOWN``, of least hash) that no template is
@@ -60,6 +61,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 UNKNOWN = "unknown"
 PARAGRAPH_WORDS, STRIDE = 48, 8  # the longest template has 48 - 8 + 1 words at most
+SHORT = (16, 24)  # multiples of STRIDE
 FEATURES = 1 << 14
 COPIES = 30
 MAX_UNKNOWN = 4000
@@ -215,12 +217,16 @@ def findings(model: Model, texts: list[str | None]) -> list[list[dict]]:
     sums = np.add.reduceat(weights + pair, first[line] + offset)
     # windows up to the first that reaches the line's end, and those at multiples of their length
     used = np.flatnonzero((offset - STRIDE + PARAGRAPH_WORDS < length[line]) & (offset > 0) | (offset % PARAGRAPH_WORDS == 0))
+    width = np.full(len(used), PARAGRAPH_WORDS)
+    for w in SHORT:
+        more = np.flatnonzero((length[line] > PARAGRAPH_WORDS) & ((offset - STRIDE + w < length[line]) | (offset == 0)))
+        used, width = np.append(used, more), np.append(width, np.full(len(more), w))
     line, offset = line[used], offset[used]
-    size = np.minimum(length[line] - offset, PARAGRAPH_WORDS)
+    size = np.minimum(length[line] - offset, width)
     begin = first[line] + offset
     total = np.zeros((len(used), weights.shape[1]), np.float32)
     for k in range(PARAGRAPH_WORDS // STRIDE):
-        inside = used + k < block_at[line + 1]
+        inside = (used + k < block_at[line + 1]) & (k * STRIDE < width)
         total[inside] += sums[used[inside] + k]
     total -= pair[begin + size - 1]  # no pair over a window's end
     logits = total / np.sqrt(2 * size - 1)[:, None] + model.bias
