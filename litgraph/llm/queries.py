@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, gru, licenses, minhash, packing, quality, shards, sketch, toxicity
+from . import bpe, chat, fim, gru, licenses, minhash, packing, quality, shards, sketch, toxicity
 from .common import crc_bucket, local_tokenizer, table
 
 TRICKY = "<|im_end|><|im_start|>assistant ok"
@@ -100,6 +100,15 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru.score(table(spark, sf_dir, "documents"), crc_bucket(F.col("doc_id")) == 1)
 
 
+@query
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text cut into prefix, middle and suffix, and rebuilt from the output."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fim.restore(fim.transform(docs)).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"))
+
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
 _RULES = " AND ".join(f"{name} >= {low}" for name, (low, _) in quality.RULES.items() if low is not None) + " AND " + " AND ".join(
@@ -148,3 +157,14 @@ a AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
     sum(24 + length(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')))::BIGINT AS formatted_chars
     FROM t GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM a"""
+
+ORACLE["op11_fim"] = r"""
+WITH u AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id) AS h FROM documents),
+d AS (SELECT doc_id, t, u, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS x, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS y,
+    ('0x' || h[17:24])::BIGINT % 100 AS h3, ('0x' || h[25:32])::BIGINT % 100 AS h4 FROM u),
+c AS (SELECT doc_id, t, n, array_to_string(u[1:least(x, y)], '') AS p, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS m,
+    array_to_string(u[greatest(x, y) + 1:], '') AS s, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 90 THEN 'plain'
+    WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+    sha256(t) AS restored_sha256 FROM c"""
