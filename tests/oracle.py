@@ -27,7 +27,7 @@ def cell(v):
     if isinstance(v, bool) or type(v).__name__ == "bool_":
         return f"b{bool(v)}"
     if isinstance(v, float) or type(v).__name__.startswith("float"):
-        return "~" if math.isnan(v) else f"f{float(v):.6g}"
+        return "~" if math.isnan(v) else f"i{int(v)}" if float(v).is_integer() else f"f{float(v):.6g}"  # pandas has whole numbers with nulls as floats
     if isinstance(v, int) or type(v).__name__.startswith(("int", "uint")):
         return f"i{int(v)}"
     if type(v).__name__ in ("ndarray", "list", "tuple"):
