@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fim, gru, licenses, minhash, packing, quality, shards, sketch, toxicity
+from . import bpe, chat, decontaminate, fim, gru, licenses, minhash, packing, quality, shards, sketch, toxicity
 from .common import crc_bucket, local_tokenizer, table
 
 TRICKY = "<|im_end|><|im_start|>assistant ok"
@@ -109,6 +109,14 @@ def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"))
 
 
+@query
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside ten-word windows of benchmark items, and the items found."""
+    found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
 _RULES = " AND ".join(f"{name} >= {low}" for name, (low, _) in quality.RULES.items() if low is not None) + " AND " + " AND ".join(
@@ -168,3 +176,16 @@ c AS (SELECT doc_id, t, n, array_to_string(u[1:least(x, y)], '') AS p, array_to_
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
     sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
     sha256(t) AS restored_sha256 FROM c"""
+
+_SPOKEN = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+
+ORACLE["op12_decontaminate"] = rf"""
+WITH b AS (SELECT item_id, w, least(len(w), 10) AS k FROM (SELECT item_id, {_SPOKEN} AS w FROM benchmark) WHERE len(w) > 0),
+g AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM b)),
+d AS (SELECT doc_id, {_SPOKEN} AS w FROM documents),
+o AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT d.*, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM g) WHERE len(w) >= k)),
+m AS (SELECT doc_id, item_id, i, k FROM o JOIN g USING (k, s)),
+n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT doc_id, i, k FROM m)) GROUP BY doc_id),
+x AS (SELECT doc_id, count(*) AS n_items, string_agg(t, ',' ORDER BY t) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS t FROM m) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN x USING (doc_id)"""
