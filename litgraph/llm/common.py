@@ -44,6 +44,12 @@ def local_tokenizer(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def byte_pattern() -> str:
+    """The pattern that splits a text before the merges of the public rank files."""
+    import public_tokenizers
+    return public_tokenizers.PATTERN
+
+
 def text_bytes(text: str | None) -> bytes:
     """UTF-8 of a text; null is empty."""
     return b"" if text is None else text.encode("utf-8", "surrogatepass")

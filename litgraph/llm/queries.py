@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, fim, gru, licenses, minhash, packing, quality, shards, sketch, toxicity
-from .common import crc_bucket, local_tokenizer, table
+from . import alignment, bpe, chat, decontaminate, fim, gru, licenses, minhash, packing, quality, shards, sketch, toxicity
+from .common import byte_pattern, crc_bucket, local_tokenizer, table
 
 TRICKY = "<|im_end|><|im_start|>assistant ok"
 QUERIES: dict = {}
@@ -117,6 +117,14 @@ def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text aligned over two vocabularies, and its links scored by their pairs' document counts."""
+    found = alignment.align(table(spark, sf_dir, "documents"), local_tokenizer("byte_bpe_50k.tiktoken"), byte_pattern(),
+                            local_tokenizer("piece_bpe_32k.model"), digest=True)
+    return alignment.scores(found).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
 _RULES = " AND ".join(f"{name} >= {low}" for name, (low, _) in quality.RULES.items() if low is not None) + " AND " + " AND ".join(
