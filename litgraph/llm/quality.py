@@ -74,12 +74,8 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
             .withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
             .withColumn("_hashes", F.transform(words, _hash)))
     hashes = F.col("_hashes")
-    window = _shifted(hashes, 0, 5)
-    for by in range(1, 5):
-        window = F.zip_with(window, _shifted(hashes, by, 5), lambda a, b: F.xxhash64(a, b))
-    spelled = _shifted(words, 0, 5)
-    for by in range(1, 5):
-        spelled = F.zip_with(spelled, _shifted(words, by, 5), lambda a, b: F.concat(a, F.lit(" "), b))
+    window = F.transform(_shifted(hashes, 0, 5), lambda h, i: F.xxhash64(h, *(hashes[i + by] for by in range(1, 5))))
+    spelled = F.transform(_shifted(words, 0, 5), lambda w, i: F.concat_ws(" ", w, *(words[i + by] for by in range(1, 5))))
     bare = F.translate("_text", SPACE_CHARS, "")
     n = F.size(words).cast("long")
     step = (step.withColumn("_windows", F.when(F.size(words) >= 5, window).otherwise(F.array().cast("array<bigint>")))
@@ -90,10 +86,9 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
             .withColumn("n_repeat_words", F.when(F.size(F.array_distinct("_windows")) == F.size("_windows"), F.lit(0))
                         .otherwise(covered(spelled, 5)).cast("long")))
     n_stop = F.size(F.filter(words, lambda w: F.lower(w).isin(list(dict.fromkeys(STOP_WORDS)))))
-    n_bar = F.size(F.filter(words, lambda w: w == "|"))
-    n_capital = F.size(F.filter(words, lambda w: (F.upper(w) == w) & (F.lower(w) != w) & (F.length(w) > 1)))
-    runs = F.size(F.filter(F.zip_with(F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - 1, F.lit(0))),
-                                      F.slice(hashes, F.lit(2), F.greatest(F.size(hashes) - 1, F.lit(0))), lambda a, b: a == b), lambda same: same))
+    n_bar = F.when(F.contains("_text", F.lit("|")), F.size(F.filter(words, lambda w: w == "|"))).otherwise(F.lit(0))
+    n_capital = F.size(F.filter(words, lambda w: (F.length(w) > 1) & (F.upper(w) == w) & (F.lower(w) != w)))
+    runs = F.size(F.filter(_shifted(hashes, 0, 2), lambda h, i: h == hashes[i + 1]))
     return (step.withColumn("mean_word_chars", _ratio(F.col("word_chars"), n))
             .withColumn("symbol_ratio", _ratio(F.col("n_symbols"), n))
             .withColumn("stop_word_ratio", _ratio(n_stop, n))
@@ -120,3 +115,11 @@ def judge(df: DataFrame, text: str = "text", rules: dict[str, tuple[float | None
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return (measures(df, text).withColumn("base_failed", base)
             .withColumn("kept", ~F.col("base_failed") & verdict(RULES if rules is None else rules)))
+
+
+def keep(df: DataFrame, text: str = "text", rules: dict[str, tuple[float | None, float | None]] | None = None) -> DataFrame:
+    """The rows of ``df`` that ``judge`` keeps. The verdict passes a generator, through which no filter is pushed: in a
+    filter directly above the measures each use of a measure would be one more copy of its whole expression."""
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+    judged = judge(df.select(row, F.col(text).alias("text")), "text", rules)
+    return judged.select("row", F.explode(F.array("kept")).alias("stays")).where("stays").select("row.*")
