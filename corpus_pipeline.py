@@ -16,7 +16,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the rule table keep."""
-    return quality.judge(_rows(docs)).where("kept").select("_row.*")
+    return quality.keep(docs)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
