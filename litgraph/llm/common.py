@@ -32,7 +32,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.folder = path
+    return back
+
+
+def forget(*frames: DataFrame) -> None:
+    """Deletes the folders of ``written`` frames that no plan reads any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.folder)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def local_tokenizer(name: str = "word_bpe_49k.json") -> str:

@@ -4,19 +4,24 @@
 2. Texts of equal sets form a class, and only its smallest id goes on; copies are never paired with each other.
 3. Bands of ``rows`` minima put classes into buckets. With 40 bands of 5 rows a pair of similarity 0.8 shares none
    with a probability of 1.2e-7.
-4. In each bucket every class is compared with the bucket's smallest one, on full sets. Buckets that are not of one
-   component after that are searched for the links between their components: blocks of minima are compared inside
-   tasks, and only pairs whose minima agree as a similar pair's do (five standard deviations) and that meet in this
-   band first are confirmed on full sets, the best agreeing ones of each class and component first, until none is left.
-5. Components of the confirmed links by alternating large-star and small-star, until nothing changes.
-
-No bucket, class or block has a cap; a bucket larger than a block is split over several. Nothing but counts reaches
-the driver. Tables that later steps share are written to the checkpoint folder.
+4. Bands are gone through in a few groups. In each bucket every class is compared with the bucket's smallest one, on
+   full sets, unless the links so far have joined both: a large group of near copies costs about one text a member.
+5. Buckets that are not of one component after that are searched for the links between their components: blocks of
+   minima are compared inside tasks, and only pairs whose minima agree as a similar pair's do (five standard
+   deviations), whose sizes allow the similarity, and that meet in this band first are confirmed on full sets. The best
+   agreeing ones of each class and component go first; buckets in which any pair had to wait are searched again with
+   more of them, until none had.
+6. Components of the confirmed links by alternating large-star and small-star, until nothing changes.
+
+No bucket, class or block has a cap; a bucket larger than a block is split over several, and joins by bucket deal the
+rows of hot buckets over many keys. Nothing but counts reaches the driver. Tables that later steps share are written to
+the checkpoint folder, those no longer read are deleted.
 
 Cases: null and empty texts, and texts without a word, have an empty set and link with nothing. A text with fewer
 words than a shingle has one shingle, its whole sequence. Rows that repeat an id are one node and are returned each;
-a repeated id of several texts is linked by any of them. Ties do not arise: a group's id is its smallest. An empty
-table gives no rows. Other columns are not returned.
+equal ones cost one class, and a repeated id of several texts is linked by any of them. Rows without an id belong to the
+group of a row of an equal set, else they have a null component and are kept. Ties do not arise: a group's id is its smallest. An empty table gives no rows. Other
+columns are not returned. ``keep_first`` returns all columns as they are; there each row is a document of its own.
 """
 
 from __future__ import annotations
@@ -30,10 +35,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lowered_words, mix64, slices, written
+from ..session import broadcast_if_small
+from .common import forget, lowered_words, mix64, slices, written
 
 BANDS, ROWS = 40, 5
+GROUPS = ((0, 1), (1, 4), (4, BANDS))  # bands whose buckets are compared with their smallest class at once
 BLOCK = 512  # classes of a bucket that meet another block in one task
+HOT = 2048  # classes of a bucket, from which on joins by bucket deal its rows over several keys
+FIRST_BEST = 4  # partners of a class in another component and block that go first
+PAIRS = 40_000  # pairs whose minima are compared at once
 HUB_ROWS = 32  # texts that share one copy of their hub's text
 SIGMAS = 5.0
 
@@ -133,6 +143,7 @@ def components(links: DataFrame) -> DataFrame:
 
     last = mark(edges)
     while last[0]:
+        old = edges
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -142,6 +153,7 @@ def components(links: DataFrame) -> DataFrame:
                  .unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         edges = written(small, "minhash-small")
         now = mark(edges)
+        forget(old, large)
         if now == last:
             break
         last = now
@@ -149,58 +161,115 @@ def components(links: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root")).groupBy("node").agg(F.min("root").alias("root"))
 
 
-def across(members: DataFrame, hashes: int, rows: int, percent: int, best: int) -> DataFrame:
-    """Candidate pairs (a, b) between different components of a bucket: for each class and other component the
-    ``best`` ones of a block, by agreement of their minima. The classes outside a bucket's largest
+def dealt(df: DataFrame, hot: DataFrame) -> DataFrame:
+    """``df`` with a salt that spreads the rows of hot buckets (bucket, keys)."""
+    return df.join(hot, "bucket", "left").withColumn("salt", F.pmod(F.xxhash64("node"), F.coalesce("keys", F.lit(1))).cast("int")).drop("keys")
+
+
+def per_bucket(df: DataFrame, hot: DataFrame) -> DataFrame:
+    """A row of each bucket, for every salt that ``dealt`` gives it."""
+    keys = F.sequence(F.lit(0), F.coalesce("keys", F.lit(1)) - 1)
+    return df.join(hot, "bucket", "left").withColumn("salt", F.explode(keys)).drop("keys")
+
+
+def cells(members: DataFrame, hot: DataFrame) -> DataFrame:
+    """Members (bucket, band, node, root, ...) of the cells of their bucket. The classes outside a bucket's largest
     component meet the blocks of that component, and each other; those inside it do not meet, so a large group of near
     copies with a few strays travels once."""
-    least = (percent / 100 - SIGMAS * np.sqrt(percent / 100 * (1 - percent / 100) / hashes)) * hashes
     sizes = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(
         F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"))
     sizes = sizes.select("bucket", F.col("most.root").alias("major"), F.ceil(F.col("most.n") / BLOCK).cast("int").alias("wide"),
                          F.ceil((F.col("all") - F.col("most.n")) / BLOCK).cast("int").alias("tall"))
 
     def block(n: str) -> Column:
-        return F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+        return F.pmod(F.xxhash64("node", F.lit(3)), F.col(n)).cast("int")
 
-    def cells(n: str, cell) -> Column:
+    def every(n: str, cell) -> Column:
         return F.transform(F.sequence(F.lit(0), F.col(n) - 1), cell)
 
-    def cell(kind: int, i: Column, j: Column, own: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), own.alias("own"))
-
-    inside = cells("tall", lambda j: cell(0, block("wide"), j, F.lit(0)))
-    outside = F.concat(cells("wide", lambda i: cell(0, i, block("tall"), F.lit(1))),
-                       cells("tall", lambda j: cell(1, F.least(block("tall"), j), F.greatest(block("tall"), j), block("tall"))))
-    blocked = (members.join(sizes, "bucket").withColumn("at", F.explode(F.when(F.col("root") == F.col("major"), inside).otherwise(outside)))
-               .select("bucket", "at.kind", "at.i", "at.j", "at.own", "band", "node", "root", "sig"))
-
-    def run(cell: pa.Table) -> pa.Table:
-        kind, i, j = (cell.column(c)[0].as_py() for c in ("kind", "i", "j"))
-        i, j = (0, 1) if kind == 0 else (i, j)
-        own = cell.column("own").to_numpy()
-        node, root, band = cell.column("node").to_numpy(), cell.column("root").to_numpy(), cell.column("band").to_numpy()[0]
-        sig = np.frombuffer(b"".join(cell.column("sig").to_pylist()), "<u2").reshape(len(node), -1)
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = [], []
-        for x in left.tolist():
-            far = right[(root[right] != root[x]) & ((node[right] > node[x]) if i == j else True)]
-            same = sig[far] == sig[x]
-            far, same = far[keep := same.sum(1) >= least], same[keep]
-            if not len(far):
-                continue
-            first = same.reshape(len(far), -1, rows).all(2).argmax(1)
-            far, near = far[mine := first == band], same[mine].sum(1)
-            order = np.lexsort((node[far], -near, root[far]))
-            far = far[order]
-            starts = np.flatnonzero(np.concatenate([[True], root[far][1:] != root[far][:-1]])) if len(far) else np.empty(0, np.int64)
-            place = np.arange(len(far)) - np.repeat(starts, np.diff(np.append(starts, len(far))))
-            for y in far[place < best].tolist():
-                a.append(min(int(node[x]), int(node[y])))
-                b.append(max(int(node[x]), int(node[y])))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    def cell(kind: int, i: Column, j: Column, side: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+
+    # kind 0: the major component's block i (side 1) against block j of the others (side 0); kind 1: others among themselves
+    inside = every("tall", lambda j: cell(0, block("wide"), j, F.lit(1)))
+    own = block("tall")
+    outside = F.concat(every("wide", lambda i: cell(0, i, own, F.lit(0))),
+                       every("tall", lambda j: cell(1, F.least(own, j), F.greatest(own, j), F.when(own == j, F.lit(2)).otherwise((own > j).cast("int")))))
+    return (dealt(members, hot).join(per_bucket(sizes, hot), ["bucket", "salt"])
+            .withColumn("at", F.explode(F.when(F.col("root") == F.col("major"), inside).otherwise(outside)))
+            .select("bucket", "at.kind", "at.i", "at.j", "at.side", "band", "node", "root", "n_shingles", "sig"))
+
+
+def meet(rows: pa.Table, least: float, per_band: int, percent: int, best: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left row, right row, waits) of the pairs of whole cells, whose rows stand together: those of side 0 or 2 with
+    those of side 1 or 2. ``waits`` marks pairs beyond the ``best`` of a left row and a component."""
+    key = [rows.column(c).to_numpy() for c in ("bucket", "kind", "i", "j")]
+    node, root, band, n, side = (rows.column(c).to_numpy() for c in ("node", "root", "band", "n_shingles", "side"))
+    sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), "<u2").reshape(len(node), -1)
+    new = np.zeros(len(node), bool)
+    new[:1] = True
+    for k in key:
+        new[1:] |= k[1:] != k[:-1]
+    cell = np.cumsum(new) - 1
+    rights = np.flatnonzero(side > 0)
+    lo, hi = np.searchsorted(cell[rights], cell), np.searchsorted(cell[rights], cell, "right")
+    lefts = np.flatnonzero((side != 1) & (hi > lo))
+    ends = np.cumsum(hi[lefts] - lo[lefts])
+    out, begin = [], 0
+    while begin < len(lefts):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + PAIRS, "right")))
+        x, k = lefts[begin:end], (hi - lo)[lefts[begin:end]]
+        begin = end
+        place = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        y, x = rights[np.repeat(lo[x], k) + place], np.repeat(x, k)
+        ok = (root[x] != root[y]) & ((side[x] != 2) | (node[x] < node[y])) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+        x, y = x[ok], y[ok]
+        same = sig[x] == sig[y]
+        near = same.sum(1)
+        ok = near >= least
+        x, y, near, same = x[ok], y[ok], near[ok], same[ok]
+        ok = same.reshape(len(x), -1, per_band).all(2).argmax(1) == band[x] if len(x) else ok[:0]
+        x, y, near = x[ok], y[ok], near[ok]
+        order = np.lexsort((node[y], -near, root[y], x))
+        x, y = x[order], y[order]
+        first = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (root[y][1:] != root[y][:-1]))[:len(x)])
+        rank = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
+        out.append((x, y, rank >= best))
+    return tuple(np.concatenate([o[i] for o in out]) if out else np.empty(0, bool if i == 2 else np.int64) for i in range(3))
+
+
+def across(members: DataFrame, hot: DataFrame, hashes: int, rows: int, percent: int, best: int) -> DataFrame:
+    """(bucket, a, b): candidate pairs between different components of a bucket, the ``best`` ones of a class and a
+    component; a null pair marks a bucket in which others wait."""
+    least = (percent / 100 - SIGMAS * np.sqrt(percent / 100 * (1 - percent / 100) / hashes)) * hashes
+
+    def found(whole: pa.Table) -> pa.RecordBatch:
+        x, y, waits = meet(whole, least, rows, percent, best)
+        node, bucket = whole.column("node").to_numpy(), whole.column("bucket").to_numpy()
+        x, y, late = x[~waits], y[~waits], np.unique(bucket[x[waits]])
+        pad = pa.nulls(len(late), pa.int64())
+        pair = [pa.concat_arrays([pa.array(f(node[x], node[y])), pad]) for f in (np.minimum, np.maximum)]
+        return pa.RecordBatch.from_arrays([pa.array(np.append(bucket[x], late)), *pair], ["bucket", "a", "b"])
 
-    return blocked.groupBy("bucket", "kind", "i", "j").applyInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            key = [held.column(c).to_numpy() for c in ("bucket", "kind", "i", "j")]
+            last = np.ones(len(held), bool)
+            for k in key:
+                last &= k == k[-1]
+            whole = int(last.argmax())
+            if whole:
+                yield found(held.slice(0, whole))
+                held = held.slice(whole)
+        if held is not None:
+            yield found(held)
+
+    order = ["bucket", "kind", "i", "j"]
+    return cells(members, hot).repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "bucket long, a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS,
@@ -208,39 +277,70 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     """(doc_id, n_shingles, component_id, kept) of every row; kept marks the smallest id of each group."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = written(signatures(docs, size, bands * rows), "minhash-signed")
-    classes = written(signed.where("set_key is not null").groupBy("set_key")
-                      .agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "minhash-classes")
-    tagged = signed.join(classes, "set_key", "left").withColumn("node", F.coalesce("first", "doc_id"))
-
-    alone = tagged.where("set_key is not null and node = doc_id").select("node", "sig")
-    every = banded(alone, bands, rows)
-    shared = written(every.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("most")).where("lead < most").drop("most"), "minhash-buckets")
-    members = written(every.select("bucket", "band", "node").join(shared, "bucket"), "minhash-members")
-    texts = written(docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id"), "minhash-texts")
-
-    links = written(confirmed(members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), texts, size, percent), "minhash-links")
-    roots = written(components(links), "minhash-roots")
-    checked, best = links.limit(0), 2
-    while best < 64 * BLOCK:  # blocks have about BLOCK classes, so the last round takes whole blocks
-        # the best agreeing pairs first: what they join needs no other pair, and the rest goes on with more of them
-        rooted = written(members.select("bucket", "band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "minhash-rooted")
-        open_ = written(rooted.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("bucket"), "minhash-open")
+    # one class a set; its node is the smallest id that has it
+    classes = written(signed.where("set_key is not null and doc_id is not null").groupBy("set_key")
+                      .agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "minhash-classes")
+    copied = classes.where("n > 1").select("set_key", F.col("node").alias("first"))
+    tagged = signed.select("doc_id", "n_shingles", "set_key").join(copied, "set_key", "left").withColumn("node", F.coalesce("first", "doc_id")).drop("first")
+    alone = signed.join(classes.select("set_key", F.col("node").alias("doc_id")), ["set_key", "doc_id"], "left_semi").dropDuplicates(["set_key"])
+    alone = alone.select(F.col("doc_id").alias("node"), "n_shingles", "sig")
+
+    every = banded(alone, bands, rows).select("bucket", "band", "node")
+    shared = written(every.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("most"), F.count(F.lit(1)).alias("n"))
+                     .where("lead < most").drop("most"), "minhash-buckets")
+    hot = broadcast_if_small(shared.where(F.col("n") > HOT).select("bucket", F.ceil(F.col("n") / HOT).cast("int").alias("keys")))
+    members = written(dealt(every, hot).join(per_bucket(shared.drop("n"), hot), ["bucket", "salt"]).select("bucket", "band", "node", "lead"), "minhash-members")
+    texts = written(docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id", "text"]), "minhash-texts")
+
+    # ids with several sets are one node of all of them
+    several = tagged.where("node is not null and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").drop("b")
+    links = written(tagged.join(several, "doc_id").select("a", F.col("node").alias("b")).where("a < b").distinct(), "minhash-links")
+    checked, roots = links, written(components(links), "minhash-roots")
+
+    def confirm(found: DataFrame) -> None:
+        """Confirms what was not looked at before; links and components with what holds."""
+        nonlocal links, checked, roots
+        new = written(found.join(checked, ["a", "b"], "left_anti"), "minhash-pairs")
+        if new.isEmpty():
+            return
+        checked = checked.unionByName(new)
+        more = written(confirmed(new, texts, size, percent), "minhash-more")
+        links = written(links.unionByName(more).distinct(), "minhash-links")
+        roots = written(components(links), "minhash-roots")
+
+    def rooted(part: DataFrame) -> DataFrame:
+        return part.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    for begin, end in GROUPS:
+        part = members.where((F.col("band") >= begin) & (F.col("band") < min(end, bands)) & (F.col("node") > F.col("lead")))
+        far = rooted(part).join(roots.select(F.col("node").alias("lead"), F.col("root").alias("lead_root")), "lead", "left")
+        confirm(far.where(F.col("root") != F.coalesce("lead_root", "lead")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
+
+    todo, best = None, FIRST_BEST
+    while True:
+        part = members.drop("lead") if todo is None else dealt(members.drop("lead"), hot).join(per_bucket(todo, hot), ["bucket", "salt"]).drop("salt")
+        part = written(rooted(part), "minhash-rooted")
+        open_ = written(part.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("bucket"), "minhash-open")
         if open_.isEmpty():
             break
-        mixed = rooted.join(open_, "bucket").join(alone, "node")
-        found = written(across(mixed, bands * rows, rows, percent, best).distinct().join(checked, ["a", "b"], "left_anti"), "minhash-pairs")
-        if not found.isEmpty():
-            more = written(confirmed(found.join(links, ["a", "b"], "left_anti"), texts, size, percent), "minhash-more")
-            checked = checked.unionByName(found)
-            links = written(links.unionByName(more), "minhash-links")
-            roots = written(components(links), "minhash-roots")
-        best *= 16
+        mixed = dealt(part, hot).join(per_bucket(open_, hot), ["bucket", "salt"]).drop("salt").join(alone, "node")
+        found = written(across(mixed, hot, bands * rows, rows, percent, best), "minhash-found")
+        confirm(found.where("a is not null").select("a", "b").distinct())
+        forget(part, open_)
+        todo, best = written(found.where("a is null").select("bucket").distinct(), "minhash-todo"), 16 * best
+        if todo.isEmpty():
+            break
     return (tagged.select("doc_id", "n_shingles", "node").join(roots, "node", "left")
             .select("doc_id", "n_shingles", F.coalesce("root", "node", "doc_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.col("component_id").isNull())))
 
 
 def keep_first(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, the one of smallest id."""
-    kept = near_duplicates(docs, size, percent, doc_id=doc_id, text=text).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[doc_id].eqNullSafe(kept["_kept"]), "left_semi")
+    """``docs`` with one row of each near-duplicate group: that of the smallest id, of several the first; a row without
+    an id only where no other is."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = written(docs.select(row, F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).withColumn("number", F.monotonically_increasing_id()), "minhash-rows")
+    groups = near_duplicates(rows.select(F.col("number").alias("doc_id"), "text"), size, percent)
+    named = groups.select(F.col("doc_id").alias("number"), "component_id").join(rows.select("number", "id"), "number")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "number")).alias("first"))
+    return rows.join(first.select(F.col("first.number").alias("number")), "number", "left_semi").select("row.*")
