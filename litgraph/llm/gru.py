@@ -2,7 +2,8 @@
 
 Counts. Words of all training documents are counted in one shuffle. The ``HEAD`` most frequent ones form the model's
 vocabulary, whose size is bounded; of the rest, a document's words meet their counts in a join, so that no table of
-all words is ever in one place.
+all words is ever in one place. A second scan writes each document as its words' numbers, two bytes for most of them;
+topics, training and scoring read that table and no text.
 
 Model. A recurrent state of ``HIDDEN`` numbers is updated by each word (the ``INPUTS`` most frequent have weights of
 their own, others share their class's) and predicts the next one by a class-factored softmax: the class from the
@@ -33,10 +34,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import forget, slices, written
 
 HEAD = 1 << 17
 INPUTS = 2048
@@ -44,7 +46,9 @@ TOP, TOP_CLASS = 1024, 32
 HIDDEN = 16
 TOPICS, TOPIC_WORDS, TOPIC_DOCS = 6, 64, 4000
 BINS = 4
-SHARD_DOCS, ROUNDS, WINDOW, LANES = 1000, 2, 20, 96
+SHARD_DOCS, ROUNDS, WINDOW, LANES = 2500, 2, 20, 256
+SUM_FAN = 500  # shards whose weights one task adds up
+TAIL, WIDE = 65534, 65535  # codes of a word outside the head, and before the two halves of a greater head number
 STRETCH = 400
 RATE, WARM_STEPS = 0.15, 40  # the rate grows over the first steps, so that a few of them move little
 END = "\n"  # no word has white space
@@ -97,6 +101,13 @@ class Vocabulary:
     def tail_mass(self) -> float:
         return self.mass - float((self.counts + 0.5).sum())
 
+    @property
+    def end(self) -> int:
+        """Head number of the end token, -1 if nothing was learned."""
+        if not hasattr(self, "_end"):
+            self._end = self.words.index(END) if END in self.words else -1
+        return self._end
+
     def lookup(self, names: pa.Array) -> np.ndarray:
         """Head number of each word, -1 outside."""
         if not hasattr(self, "_table"):
@@ -119,16 +130,67 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary([words[i] for i in order], n[order].astype(np.float64), total, distinct)
 
 
-def topic_vectors(docs: DataFrame, voc: Vocabulary, text: str = "text") -> DataFrame:
-    """(h, vector) of each document: a hash, and shares of its most frequent vocabulary words."""
+def packed(head: np.ndarray, start: np.ndarray) -> pa.Array:
+    """Head numbers of each text (``start`` has n + 1 places) as bytes: 16 bits a word, or three times 16."""
+    wide = head >= TAIL
+    at = np.concatenate([[0], np.cumsum(1 + 2 * wide.astype(np.int64))])
+    out = np.empty(at[-1], "<u2")
+    out[at[:-1]] = np.where(wide, WIDE, np.where(head < 0, TAIL, head))
+    out[at[:-1][wide] + 1], out[at[:-1][wide] + 2] = head[wide] & 0x7FFF, head[wide] >> 15
+    return pa.Array.from_buffers(pa.binary(), len(start) - 1, [None, pa.py_buffer((2 * at[start]).astype(np.int32)), pa.py_buffer(out)])
+
+
+def unpacked(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(head number, text number) of each word of packed texts."""
+    code = np.frombuffer(b"".join(texts), "<u2").astype(np.int32)
+    own = np.ones(len(code), bool)
+    wide = np.flatnonzero(code == WIDE)
+    own[wide + 1] = own[wide + 2] = False
+    of = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) // 2 for t in texts])[own]
+    code[wide] = code[wide + 1] | code[wide + 2] << 15
+    head = code[own]
+    head[head == TAIL] = -1
+    if len(wide):  # a head number may be the code itself
+        real = np.zeros(len(code), bool)
+        real[wide[code[wide] == TAIL]] = True
+        head[real[own]] = TAIL
+    return head, of
+
+
+CODED = "doc_id long, held_out boolean, heads binary, tail array<struct<word: string, n: int>>"
+
+
+def coded(docs: DataFrame, voc, text: str = "text") -> DataFrame:
+    """(doc_id, held_out, heads, tail) of each document: its words' head numbers in order, packed, and its words
+    outside the head with their numbers. ``voc`` is a broadcast variable."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, _ in slices(batch.select(["h", text]), text, 5_000_000):
+            for part, _ in slices(batch, text, 5_000_000):
+                n = len(part)
                 which, of, names = tokens(part.column(text))
-                flat = shares(voc.lookup(names)[which], of, len(part)).ravel()
+                head_of = voc.value.lookup(names)
+                head = head_of[which]
+                rare = np.flatnonzero(head < 0)
+                pair, times = np.unique(of[rare].astype(np.int64) * max(1, len(names)) + which[rare], return_counts=True)
+                owner = pair // max(1, len(names))
+                tail = pa.ListArray.from_arrays(
+                    pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()),
+                    pa.StructArray.from_arrays([names.take(pa.array(pair % max(1, len(names)))).cast(pa.string()), pa.array(times, pa.int32())], ["word", "n"]))
+                start = np.searchsorted(of, np.arange(n + 1))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), packed(head, start), tail], ["doc_id", "held_out", "heads", "tail"])
+
+    return docs.select("doc_id", "held_out", text).mapInArrow(run, CODED)
+
+
+def topic_vectors(docs: DataFrame) -> DataFrame:
+    """(h, vector) of each coded document: a hash, and shares of its most frequent vocabulary words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, heads in slices(batch.select(["h", "heads"]), "heads", 4_000_000):
+                flat = shares(*unpacked(heads), len(part)).ravel()
                 yield pa.RecordBatch.from_arrays([part.column("h"), pa.FixedSizeListArray.from_arrays(pa.array(flat), TOPIC_WORDS).cast(pa.list_(pa.float32()))], ["h", "vector"])
 
-    return docs.select(F.xxhash64("doc_id", text, F.lit(29)).alias("h"), text).mapInArrow(run, "h long, vector array<float>")
+    return docs.select(F.xxhash64("doc_id", "heads", F.lit(29)).alias("h"), "heads").mapInArrow(run, "h long, vector array<float>")
 
 
 def shares(head: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
@@ -180,19 +242,20 @@ def settled(vectors: DataFrame, c: np.ndarray, rounds: int = 15) -> np.ndarray:
     return c
 
 
-def word_topics(docs: DataFrame, voc: Vocabulary, c: np.ndarray, text: str = "text") -> np.ndarray:
-    """Occurrences of each head word in the documents of each topic."""
+def word_topics(docs: DataFrame, n_words: int, c: np.ndarray) -> np.ndarray:
+    """Occurrences of each head word in the coded documents of each topic."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n_words * TOPICS, np.int64)
         for batch in batches:
-            for part, _ in slices(batch, text, 5_000_000):
-                which, of, names = tokens(part.column(text))
-                head = voc.lookup(names)[which]
+            for part, heads in slices(batch, "heads", 4_000_000):
+                head, of = unpacked(heads)
                 topic = (shares(head, of, len(part)) @ c.T).argmax(1)
-                key, n = np.unique(head[head >= 0] * np.int64(TOPICS) + topic[of[head >= 0]], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64())], ["key", "n"])
+                total += np.bincount(head[head >= 0] * np.int64(TOPICS) + topic[of[head >= 0]], minlength=len(total))
+        key = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(total[key], pa.int64())], ["key", "n"])
 
-    got = docs.select(text).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(len(voc.words) * TOPICS)
+    got = docs.select("heads").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(n_words * TOPICS)
     out[got.column("key").to_numpy()] = got.column("n").to_numpy()
     return out.reshape(-1, TOPICS)
 
@@ -308,7 +371,7 @@ def with_ends(voc: Vocabulary, head: np.ndarray, of: np.ndarray, n: int) -> tupl
     """Head numbers with an end token after each text, and where each text starts (n + 1 places)."""
     length = np.bincount(of, minlength=n)
     start = np.concatenate([[0], np.cumsum(length + 1)])
-    out = np.full(start[-1], voc.words.index(END) if END in voc.words else -1, np.int32)
+    out = np.full(start[-1], voc.end, np.int32)
     out[np.arange(len(head)) + of] = head
     return out, start
 
@@ -375,42 +438,67 @@ def train_shard(voc: Vocabulary, model: Gru, texts: list[tuple[np.ndarray, np.nd
     return int(load.sum())
 
 
-def train(docs: DataFrame, voc: Vocabulary, rounds: int = ROUNDS, text: str = "text") -> Gru:
-    """One pass over all documents. A round's shards start from the same weights, train alone, and are averaged by
-    their tokens; the next round goes on from there with other documents."""
-    model, chunk = Gru(voc), 2048
+def summed(each: DataFrame, shards: int) -> DataFrame:
+    """(at, n, w): weighted sums of the shards' weights (at, shard, n, w), ``SUM_FAN`` of them in a task at once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n, total = None, 0, np.empty(0)
+        for batch in batches:
+            for at, shard, k, w in zip(*(batch.column(c) for c in ("at", "shard", "n", "w")), strict=True):
+                if (at.as_py(), shard.as_py()) != key:
+                    if key is not None:
+                        yield row(key, n, total)
+                    key, n, total = (at.as_py(), shard.as_py()), 0, np.zeros(len(w))
+                n, total = n + k.as_py(), total + w.values.to_numpy()
+        if key is not None:
+            yield row(key, n, total)
+
+    def row(key: tuple, n: int, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]]), pa.array([n]), pa.array([total], pa.list_(pa.float64()))], ["at", "shard", "n", "w"])
+
+    while True:
+        shards = -(-shards // SUM_FAN)
+        dealt = each.withColumn("shard", F.pmod("shard", F.lit(shards))).repartition("at", "shard").sortWithinPartitions("at", "shard")
+        each = dealt.mapInArrow(run, "at long, shard long, n long, w array<double>")
+        if shards == 1:
+            return each
+
+
+def train(docs: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> Gru:
+    """One pass over all coded documents. A round's shards start from the same weights, train alone, and are averaged
+    by their tokens; the next round goes on from there with other documents."""
+    model, chunk, sc = Gru(voc), 8192, docs.sparkSession.sparkContext
     n = docs.count()
     shards = max(2, -(-n // (rounds * SHARD_DOCS)))
-    docs = docs.select("doc_id", text, F.pmod(F.xxhash64("doc_id", text, F.lit(23)), F.lit(rounds)).alias("turn"))
+    shared = sc.broadcast(voc)
+    docs = docs.select("doc_id", "heads", F.pmod(F.xxhash64("doc_id", "heads", F.lit(23)), F.lit(rounds)).alias("turn"))
     for turn in range(rounds if n else 0):
-        start = model.flat()
+        start = sc.broadcast(model.flat())
 
         def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            own, done = Gru(voc), 0
-            own.load(start)
+            own, done = Gru(shared.value), 0
+            own.load(start.value)
             for batch in batches:
-                for part, _ in slices(batch, text, 5_000_000):
+                for part, heads in slices(batch, "heads", 4_000_000):
                     texts = []
-                    which, of, names = tokens(part.column(text))
-                    head, begin = with_ends(voc, voc.lookup(names)[which], of, len(part))
-                    klass, place = classes_of(voc, head)
-                    x = inputs(voc, head, klass)
+                    head, begin = with_ends(shared.value, *unpacked(heads), len(part))
+                    klass, place = classes_of(shared.value, head)
+                    x = inputs(shared.value, head, klass)
                     for i in range(len(part)):
                         s = slice(begin[i], begin[i + 1])
                         texts.append((np.concatenate([[x[begin[i + 1] - 1]], x[s][:-1]]), klass[s], place[s]))
-                    done += train_shard(voc, own, texts)
+                    done += train_shard(shared.value, own, texts)
             if done:
-                flat = own.flat()
-                yield pa.RecordBatch.from_arrays([pa.array(range(0, len(flat), chunk), pa.int64()), pa.array([done] * len(range(0, len(flat), chunk)), pa.int64()),
-                                                  pa.array([flat[a:a + chunk] for a in range(0, len(flat), chunk)], pa.list_(pa.float32()))], ["at", "n", "w"])
-
-        dealt = (docs.where(F.col("turn") == turn).repartition(shards, F.xxhash64("doc_id", text, F.lit(turn)))
-                 .sortWithinPartitions(F.xxhash64("doc_id", text, F.lit(turn + 1))))
-        each = dealt.mapInArrow(run, "at long, n long, w array<float>").repartition("at").select("at", "n", F.posexplode("w").alias("i", "v"))
-        mean = each.groupBy("at", "i").agg((F.sum(F.col("v").cast("double") * F.col("n")) / F.sum("n")).alias("v"), F.sum("n").alias("n")).toArrow()
-        flat = start.astype(np.float64)
-        model.trained += int(pc.max(mean.column("n")).as_py() or 0)
-        flat[mean.column("at").to_numpy() + mean.column("i").to_numpy()] = mean.column("v").to_numpy()
+                flat = own.flat().astype(np.float64) * done
+                at = range(0, len(flat), chunk)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([TaskContext.get().partitionId()] * len(at), pa.int64()), pa.array([done] * len(at), pa.int64()),
+                                                  pa.array([flat[a:a + chunk] for a in at], pa.list_(pa.float64()))], ["at", "shard", "n", "w"])
+
+        dealt = (docs.where(F.col("turn") == turn).repartition(shards, F.xxhash64("doc_id", "heads", F.lit(turn)))
+                 .sortWithinPartitions(F.xxhash64("doc_id", "heads", F.lit(turn + 1))))
+        flat = start.value.astype(np.float64)
+        for r in summed(dealt.mapInArrow(run, "at long, shard long, n long, w array<double>"), shards).toLocalIterator():  # rows of one model's weights
+            model.trained += r["n"] if r["at"] == 0 else 0
+            flat[r["at"]:r["at"] + len(r["w"])] = np.array(r["w"]) / r["n"]
         model.load(flat)
     return model
 
@@ -452,60 +540,58 @@ def log_likelihoods(voc: Vocabulary, model: Gru, head: np.ndarray, start: np.nda
     return out
 
 
-PARTS = ("doc_id long, held_out boolean, n_tokens long, head_known long, head_base double, head_score double, "
-         "tail array<struct<word: string, n: int>>")
+PARTS = "row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_base double, head_score double"
 
 
-def score_parts(docs: DataFrame, voc: Vocabulary, model: Gru, text: str = "text") -> DataFrame:
-    """What the vocabulary and the model give of each document, and its words outside the vocabulary with numbers."""
+def score_parts(docs: DataFrame, voc, model) -> DataFrame:
+    """What the vocabulary and the model give of each coded document (row, doc_id, held_out, heads); both are broadcast
+    variables."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, m = voc.value, model.value
         for batch in batches:
-            for part, _ in slices(batch, text, 10_000_000):
-                n = len(part)
-                which, of, names = tokens(part.column(text))
-                head_of = voc.lookup(names)
-                rare = np.flatnonzero(head_of[which] < 0)
-                pair, times = np.unique(of[rare].astype(np.int64) * max(1, len(names)) + which[rare], return_counts=True)
-                owner = pair // max(1, len(names))
-                tail = pa.ListArray.from_arrays(
-                    pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()),
-                    pa.StructArray.from_arrays([names.take(pa.array(pair % max(1, len(names)))).cast(pa.string()), pa.array(times, pa.int32())], ["word", "n"]))
-                head, start = with_ends(voc, head_of[which], of, n)
+            for part, heads in slices(batch, "heads", 6_000_000):
+                head, start = with_ends(v, *unpacked(heads), len(part))
                 known = head >= 0
-                base = np.where(known, np.log10((voc.counts[head] if len(voc.counts) else 0) + 0.5), 0.0)
-                end = 0.0 if END in voc.words else float(np.log10(0.5))  # unknown only if nothing was learned
+                base = np.where(known, np.log10((v.counts[head] if len(v.counts) else 0) + 0.5), 0.0)
+                end = 0.0 if v.end >= 0 else float(np.log10(0.5))  # unknown only if nothing was learned
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), part.column("held_out"), pa.array(np.diff(start), pa.int64()),
+                    part.column("row"), part.column("doc_id"), part.column("held_out"), pa.array(np.diff(start), pa.int64()),
                     pa.array(np.add.reduceat(known, start[:-1]).astype(np.int64)), pa.array(np.add.reduceat(base, start[:-1]) + end),
-                    pa.array(log_likelihoods(voc, model, head, start) + end), tail],
-                    ["doc_id", "held_out", "n_tokens", "head_known", "head_base", "head_score", "tail"])
+                    pa.array(log_likelihoods(v, m, head, start) + end)],
+                    ["row", "doc_id", "held_out", "n_tokens", "head_known", "head_base", "head_score"])
 
-    return docs.select("doc_id", "held_out", text).mapInArrow(run, PARTS)
+    return docs.select("row", "doc_id", "held_out", "heads").mapInArrow(run, PARTS)
 
 
-def learn(docs: DataFrame) -> tuple[DataFrame, Vocabulary, Gru]:
-    """Word counts, vocabulary and weights, all of them from every document of (doc_id, text)."""
-    counts = written(count_words(docs), "lm-counts")
+def learn(docs: DataFrame) -> tuple[DataFrame, DataFrame, Vocabulary, Gru]:
+    """(word counts, the coded documents, vocabulary, weights) of (doc_id, held_out, text): counts and weights come
+    from every document that is not held out."""
+    counts = written(count_words(docs.where(~F.col("held_out"))), "lm-counts")
     voc = vocabulary(counts)
-    vectors = written(topic_vectors(docs, voc), "lm-vectors")
-    some = vectors.orderBy("h", "vector").limit(TOPIC_DOCS).toArrow()
+    rows = written(coded(docs, docs.sparkSession.sparkContext.broadcast(voc)).withColumn("row", F.monotonically_increasing_id()), "lm-coded")
+    own = rows.where(~F.col("held_out"))
+    vectors = written(topic_vectors(own), "lm-vectors")
+    # the start's documents are those of least hash; the bound lets about twice as many through to the sort
+    bound = int(min(1.0, 2 * TOPIC_DOCS / max(1, vectors.count())) * (1 << 64)) - (1 << 63) - 1
+    some = vectors.where(F.col("h") <= bound).orderBy("h", "vector").limit(TOPIC_DOCS).toArrow()
     c = settled(vectors, centres(np.array(some.column("vector").to_pylist(), np.float32).reshape(-1, TOPIC_WORDS)))
-    classify(voc, word_topics(docs, voc, c))
-    return counts, voc, train(docs, voc)
+    classify(voc, word_topics(own, len(voc.words), c))
+    forget(vectors)
+    return counts, rows, voc, train(own, voc)
 
 
 def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document, learned from those
     for which ``held_out`` does not hold."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"))
-    counts, voc, model = learn(docs.where(~F.col("held_out")))
+    sc = docs.sparkSession.sparkContext
+    counts, rows, voc, model = learn(docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text")))
 
-    parts = written(score_parts(docs, voc, model).withColumn("row", F.monotonically_increasing_id()), "lm-parts")
-    rare = parts.select("row", F.explode("tail").alias("t")).select("row", "t.word", F.col("t.n").alias("times"))
+    parts = score_parts(rows, sc.broadcast(voc), sc.broadcast(model))
+    rare = rows.select("row", F.explode("tail").alias("t")).select("row", "t.word", F.col("t.n").alias("times"))
     met = (rare.join(counts, "word", "left").groupBy("row")
            .agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare"), F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("known")))
     spread = F.coalesce("rare", F.lit(0.0))
-    return parts.drop("tail").join(met, "row", "left").select(
+    return parts.join(met, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("head_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(voc.total).cast("long").alias("train_tokens"),
         (F.col("head_base") + spread - F.col("n_tokens") * F.lit(float(np.log10(voc.mass)))).alias("base_score"),
         (F.col("head_score") + spread).alias("score"))

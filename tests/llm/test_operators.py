@@ -312,16 +312,16 @@ def test_language_model_probabilities(spark, docs, none):
 
 def test_language_model_learns_from_every_document(spark):
     df = spark.createDataFrame([(i, f"red w{i} green blue") for i in range(300)] + [(None, "no id"), (7, "again"), (7, None)], "doc_id long, text string").repartition(5)
-    _, voc, model = gru.learn(df)
+    _, _, voc, model = gru.learn(df.withColumn("held_out", F.lit(False)))
     assert model.trained == voc.total == 300 * 5 + 3 + 2 + 1
 
 
 def test_topics_come_from_every_document(spark):
     df = spark.createDataFrame([(i, f"the red w{i} w{i}" if i % 2 else f"of w{i} blue w{i}") for i in range(1500)], "doc_id long, text string").repartition(5)
-    _, voc, _ = gru.learn(df)
+    _, rows, voc, _ = gru.learn(df.withColumn("held_out", F.lit(False)))
     no_topic = 1 + gru.TOP // gru.TOP_CLASS + gru.TOPICS * gru.BINS
     assert len(voc.words) == 1505 and voc.klass.max() < no_topic
-    vectors = gru.topic_vectors(df, voc)
+    vectors = gru.topic_vectors(rows)
     flat = np.array([r["vector"] for r in vectors.collect()], np.float32)
     start = gru.centres(flat[:40])
     c = start
@@ -331,6 +331,21 @@ def test_topics_come_from_every_document(spark):
     assert np.abs(gru.settled(vectors, start) - c).max() < 1e-3
 
 
+def test_packed_heads_round_trip():
+    head = np.array([0, -1, 65533, 65534, 65535, 65536, 131071, 98303, 32767, 5, -1], np.int32)
+    start = np.array([0, 0, 3, 8, 11, 11])
+    got, of = gru.unpacked(gru.packed(head, start).to_pylist())
+    assert got.tolist() == head.tolist() and np.searchsorted(of, np.arange(6)).tolist() == start.tolist()
+
+
+def test_weights_of_many_shards_are_summed(spark, monkeypatch):
+    monkeypatch.setattr(gru, "SUM_FAN", 3)
+    each = spark.createDataFrame([(at, shard, shard + 1, [float(at + i) * (shard + 1) for i in range(3)]) for at in (0, 3) for shard in range(20)],
+                                 "at long, shard long, n long, w array<double>")
+    got = {r["at"]: (r["n"], r["w"]) for r in gru.summed(each, 20).collect()}
+    assert got == {at: (210, [210.0 * (at + i) for i in range(3)]) for at in (0, 3)}
+
+
 def test_tokens_of_a_slice():
     import pyarrow as pa
     texts = pa.array(["Aé b", "c D", None, "e"] * 500)
