@@ -20,10 +20,11 @@ def _filled(c: Column) -> Column:
     return F.when(F.length(c) > 0, c)
 
 
-def entity_text(etype: Column, name: Column, attrs: Column) -> Column:
+def entity_text(etype: Column, name: Column, attrs: Column, abstract_chars: int | None = None) -> Column:
+    """Name and attributes, one a line; ``abstract_chars`` bounds the part of an abstract that is taken."""
     out = F.when(F.lit(False), F.lit(""))
     for t, names in TEXT_ATTRS.items():
-        parts = [_filled(F.substring(attrs[a], 1, 1500) if a == "abstract" else attrs[a]) for a in names]
+        parts = [_filled(F.substring(attrs[a], 1, abstract_chars) if a == "abstract" and abstract_chars else attrs[a]) for a in names]
         out = out.when(etype == t, F.concat_ws("\n", _filled(name), *parts))
     return out.otherwise(name)
 

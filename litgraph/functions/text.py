@@ -22,6 +22,7 @@ STOPWORDS = (
     "again against before below between both during further here once out off our ours your yours its itself his "
     "hers him she himself her herself use used using via per data based import def return self none true false print"
 ).split()
+# The bounds of an interactive query.
 MAX_LATIN_TERMS = 12
 MAX_HAN_TERMS = 24
 
@@ -81,19 +82,21 @@ def char_ngrams(normed: Column, n: int = 3) -> Column:
     return windows(padded, n)
 
 
-def latin_terms(normed: Column) -> Column:
-    """The most specific Latin words of a query: no repeats, no stop words, three characters or more,
-    the twelve longest (earlier first among equals)."""
+def latin_terms(normed: Column, most: int | None = None) -> Column:
+    """The Latin words of a query: no repeats, no stop words, three characters or more; the longest come first (the
+    earlier one among equals), the first ``most`` if that is given."""
     words = F.array_distinct(F.regexp_extract_all(normed, F.lit("([a-z0-9]+)"), 1))
     kept = F.filter(F.array_except(words, F.array(*[F.lit(w) for w in STOPWORDS])), lambda w: F.length(w) >= 3)
     placed = F.transform(kept, lambda w, i: F.struct((-F.length(w)).alias("l"), i.alias("i"), w.alias("w")))
-    return F.transform(F.slice(F.array_sort(placed), 1, MAX_LATIN_TERMS), lambda s: s["w"])
+    ordered = F.array_sort(placed)
+    return F.transform(ordered if most is None else F.slice(ordered, 1, most), lambda s: s["w"])
 
 
-def han_terms(normed: Column) -> Column:
-    """Three-character windows of the Han runs, at most 24 different ones."""
+def han_terms(normed: Column, most: int | None = None) -> Column:
+    """Different three-character windows of the Han runs, the first ``most`` if that is given."""
     han = F.filter(runs(normed), lambda r: r.rlike(f"^[{HAN}]") & (F.length(r) >= 3))
-    return F.slice(F.array_distinct(F.flatten(F.transform(han, lambda r: windows(r, 3)))), 1, MAX_HAN_TERMS)
+    parts = F.array_distinct(F.flatten(F.transform(han, lambda r: windows(r, 3))))
+    return parts if most is None else F.slice(parts, 1, most)
 
 
 def han_pairs(normed: Column) -> Column:
@@ -106,8 +109,8 @@ def search_units(normed: Column) -> Column:
     return F.struct(F.concat(latin, han_terms(normed)).alias("terms"), han_pairs(normed).alias("pairs"))
 
 
-def query_terms(normed: Column) -> Column:
-    return F.concat(latin_terms(normed), han_terms(normed))
+def query_terms(normed: Column, max_latin: int | None = None, max_han: int | None = None) -> Column:
+    return F.concat(latin_terms(normed, max_latin), han_terms(normed, max_han))
 
 
 def has_han(c: Column) -> Column:

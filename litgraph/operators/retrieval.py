@@ -21,9 +21,9 @@ from . import rollups as ru
 from .filters import Filters, apply_filters, of_types
 from .graph import within_two_hops
 from .ranking import top_per
+from .vector_index import nearest
 
-MAX_PROBES = 2_000  # probe vectors sent to every task; more of them take the grid
-GRID_ROWS = 20_000  # rows of one grid cell side
+MAX_PROBES = 2_000  # probe vectors sent to every task; more of them go through inverted lists
 K1, B = 1.2, 0.75
 HIT_SCHEMA = "probe {0}, id {1}, sim double"
 
@@ -59,10 +59,11 @@ def _matrix(col: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in col])
 
 
-def top_similar(corpus: DataFrame, probes: DataFrame, k: int, floor: float = -2.0, max_probes: int = MAX_PROBES) -> DataFrame:
-    """(probe, id, sim, rank): exact cosine neighbours of unit vectors; corpus(id, vec), probes(id, vec),
-    a row is never its own neighbour; with cls and seq columns on both, only earlier rows of its class are. At most ``max_probes`` probes travel to the corpus partitions;
-    a larger set meets the corpus on a grid of bounded cells instead. Only top-k rows leave a block."""
+def top_similar(corpus: DataFrame, probes: DataFrame, k: int, floor: float = -2.0, max_probes: int = MAX_PROBES, exact: bool = True) -> DataFrame:
+    """(probe, id, sim, rank): cosine neighbours of unit vectors; corpus(id, vec), probes(id, vec), a row is never its
+    own neighbour; with cls and seq columns on both, only earlier rows of its class are. At most ``max_probes`` probes
+    travel to the corpus partitions and are answered exactly; a larger set goes through inverted lists, exactly by the
+    lists' bounds or, without ``exact``, in the nearest lists only. Only top-k rows leave a block."""
     cols = ["id", "vec"] + (["cls", "seq"] if "seq" in probes.columns else [])
     p = probes.select(*cols)
     head = p.limit(max_probes + 1).collect()
@@ -85,29 +86,10 @@ def top_similar(corpus: DataFrame, probes: DataFrame, k: int, floor: float = -2.
 
         hits = corpus.select(*cols).mapInPandas(scan, schema)
     else:
-        hits = _grid_hits(corpus.select(*cols), p, k, floor, schema)
+        return nearest(corpus.select(*cols), p, k, floor, exact=exact)
     return top_per(hits, ["probe"], [F.desc("sim"), F.col("id")], k, rank="rank")
 
 
-def _grid_hits(corpus: DataFrame, probes: DataFrame, k: int, floor: float, schema: str) -> DataFrame:
-    """Cells of the probe x corpus grid: large enough to keep the copies of each row few, small enough to
-    fit a task and to give every core some."""
-    n, m = corpus.count(), probes.count()
-    side = int(min(GRID_ROWS, max(500, (n * m / corpus.sparkSession.sparkContext.defaultParallelism) ** 0.5)))
-    cols, rows = max(1, -(-n // side)), max(1, -(-m // side))
-    c = corpus.select(*[F.col(x).alias(x) for x in corpus.columns]).withColumn("cx", F.pmod(F.xxhash64("id"), F.lit(cols))).withColumn(
-        "py", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
-    q = probes.withColumn("py", F.pmod(F.xxhash64("id"), F.lit(rows)).cast("int")).withColumn(
-        "cx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cols - 1).cast("long"))))
-
-    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"probe": left["id"], "id": right["id"], "sim": pd.Series(dtype=float)}).iloc[:0]
-        return _block_hits(left, right, k, floor)
-
-    return q.groupBy("cx", "py").cogroup(c.groupBy("cx", "py")).applyInPandas(cell, schema)
-
-
 # ---- keyword search ------------------------------------------------------------------
 
 def text_units(lower: Column) -> Column:
@@ -133,7 +115,7 @@ def term_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def keyword_search(docs: DataFrame, questions: DataFrame, k: int = 200, names: DataFrame | None = None) -> DataFrame:
-    """(q, id, score, rank): BM25 over the bounded terms of each question; docs(id, body), questions(q, text).
+    """(q, id, score, rank): BM25 over the terms of each question; docs(id, body), questions(q, text).
     ``names`` (id, body) are other names of the documents, a row each: they are searched like the text."""
     asked = questions.select("q", F.explode(tx.query_terms(tx.norm(F.col("text")))).alias("term")).distinct()
     asked = cut(asked)
@@ -151,10 +133,11 @@ def keyword_search(docs: DataFrame, questions: DataFrame, k: int = 200, names: D
     return top_per(scored, ["q"], [F.desc("score"), F.col("id")], k, rank="rank")
 
 
-def pair_search(lib: Library, questions: DataFrame, k: int = 200) -> DataFrame:
+def pair_search(lib: Library, questions: DataFrame, k: int = 200, max_terms: int | None = None) -> DataFrame:
     """(q, key, hits): entities by the number of two-character Han terms their names hold, which
-    trigrams cannot match; at most eight terms per question."""
-    asked = questions.select("q", F.explode(F.slice(tx.han_pairs(tx.norm(F.col("text"))), 1, 8)).alias("pair"))
+    trigrams cannot match; ``max_terms`` bounds the terms of a question."""
+    pairs = tx.han_pairs(tx.norm(F.col("text")))
+    asked = questions.select("q", F.explode(pairs if max_terms is None else F.slice(pairs, 1, max_terms)).alias("pair"))
     runs = F.filter(F.regexp_extract_all("norm", F.lit(f"([{tx.HAN}]+)"), 1), lambda r: F.length(r) >= 2)
     held = lib.alias.select("entity_key", "norm", F.explode(F.array_distinct(F.flatten(F.transform(runs, lambda r: tx.windows(r, 2))))).alias("pair"))
     hits = asked.join(held, "pair").groupBy("q", F.col("entity_key").alias("key")).agg(F.count("*").alias("hits"))
@@ -193,9 +176,11 @@ def indexed(lib: Library) -> DataFrame:
     return e.select("key", "type", entity_text(F.col("type"), F.col("canonical_name"), attrs).alias("text"))
 
 
-def names_of(lib: Library, keys: DataFrame, n: int = 20) -> DataFrame:
+def names_of(lib: Library, keys: DataFrame, n: int | None = None) -> DataFrame:
+    """(key, names): an entity's names in order, one a line; the first ``n`` if that is given."""
     a = lib.alias.select(F.col("entity_key").alias("key"), "alias").join(keys.select("key").distinct(), "key", "left_semi")
-    a = top_per(a, ["key"], [F.col("alias")], n)
+    if n is not None:
+        a = top_per(a, ["key"], [F.col("alias")], n)
     return a.groupBy("key").agg(F.array_join(F.array_sort(F.collect_list("alias")), "\n").alias("names"))
 
 

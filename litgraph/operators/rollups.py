@@ -113,7 +113,7 @@ def retrieval_metrics(ranked: DataFrame, expected: DataFrame) -> DataFrame:
 
 def term_hits(lib: Library, terms: list[str]) -> DataFrame:
     """(key, hits): how many of the short terms each entity's names contain."""
-    hits = sum((F.col("norm").contains(x).cast("int") for x in terms[:8]), F.lit(0))
+    hits = sum((F.col("norm").contains(x).cast("int") for x in terms), F.lit(0))
     return lib.alias.groupBy(F.col("entity_key").alias("key")).agg(F.sum(hits).alias("hits")).filter("hits > 0")
 
 

@@ -105,9 +105,9 @@ def _(t):
 
 @register("c09_retro_tag")
 def _(t):
-    from .q_retrieval import assets_library, vectors_of
+    from .q_retrieval import vectors_of
     from ..operators.retrieval import indexed
-    lib = assets_library(t)
+    lib = t.library
     tagged = ru.tagged(lib).filter("dst = 'topic:s3'").select(F.col("src").alias("key")).distinct()
     queue, left = rs.retro_tag("topic:s3", "red widget\nsmall metal parts", "red widget", indexed(lib), vectors_of(lib), tagged, star.queue(t).select("dedupe_key"))
     return queue.select("key", "score").unionByName(left.select(F.lit("remaining").alias("key"), F.col("remaining").cast("double").alias("score")))

@@ -10,10 +10,12 @@ from ..functions.embed import hash_features
 from ..operators import retrieval as rt
 from ..operators import ranking as rk
 from ..operators import rollups as ru
+from ..operators import vector_index as vi
+from ..model import SEARCH_TYPES
 from ..operators.filters import Filters
 from ..session import broadcast_if_small
 from ..sources import star
-from .q_joins import newest_works
+from .q_joins import probe_works
 from .registry import NORM, register
 
 DOT = "list_inner_product({0}::DOUBLE[], {1}::DOUBLE[])"
@@ -51,8 +53,16 @@ def _(t):
 
 @register("j22_vector_neighbour_grid", f"""WITH {KNN} SELECT probe, id, sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY sim DESC, id) AS rank FROM s) WHERE rank<=20""")
 def _(t):
-    """The same neighbours by the grid path, which serves probe sets too large to send around."""
-    return rt.top_similar(units(t, "vec_id"), label_probes(t), 20, max_probes=1)
+    """The same neighbours by inverted lists and their bounds, which serve probe sets too large to send around."""
+    return vi.nearest(units(t, "vec_id"), label_probes(t), 20, exact=True, lists=4, list_rows=50)
+
+
+@register("v18_index_recall", """SELECT count(*) AS probes, 10*count(*) AS wanted, true AS reached FROM embeddings""")
+def _(t):
+    """Whether the nearest lists hold nine of ten true neighbours, over every vector as a probe."""
+    u = units(t, "vec_id")
+    found = vi.nearest(u, u, 10, list_rows=25)
+    return vi.recall(found, vi.nearest(u, u, 10, exact=True)).select("probes", "wanted", (F.col("recall") >= 0.9).alias("reached"))
 
 
 @register("o03_top_k_types", f"""WITH {KNN} SELECT probe, id, sim, rank FROM (SELECT s.*, row_number() OVER (PARTITION BY probe ORDER BY sim DESC, id) AS rank
@@ -67,7 +77,7 @@ def _(t):
     SELECT src, other, sim FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY sim DESC, other) AS rn FROM s WHERE sim>=0.3) WHERE rn<=10 AND la<>lb""")
 def _(t):
     u = units(t, "vec_id")
-    hits = rt.top_similar(u, u, 10, 0.3)
+    hits = vi.nearest(u, u, 10, 0.3, exact=True)
     lab = u.select("id", "label")
     return (hits.join(lab, "id").join(lab.select(F.col("id").alias("probe"), F.col("label").alias("pl")), "probe").filter("label != pl")
             .select(F.col("probe").alias("src"), F.col("id").alias("other"), "sim"))
@@ -76,7 +86,7 @@ def _(t):
 STOP = ",".join(f"'{w}'" for w in tx.STOPWORDS)
 TERMS = f"""qs AS (SELECT item_id AS q, regexp_extract_all({NORM.format("replace(lower(text),'ß','ss')")}, '[a-z0-9]+') AS ws FROM benchmark),
     qw AS (SELECT q, unnest(ws) AS w, generate_subscripts(ws,1) AS i FROM qs), qd AS (SELECT q, w, min(i) AS i FROM qw GROUP BY 1,2),
-    qt AS (SELECT q, w AS term FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY length(w) DESC, i) AS r FROM qd WHERE length(w)>=3 AND w NOT IN ({STOP})) WHERE r<=12),
+    qt AS (SELECT q, w AS term FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY length(w) DESC, i) AS r FROM qd WHERE length(w)>=3 AND w NOT IN ({STOP}))),
     dw AS (SELECT id, w, count(*) AS c FROM (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text),'[a-z0-9]+')) AS w FROM documents) WHERE length(w)>=3 GROUP BY 1,2),
     vt AS (SELECT w, term, len(list_filter(generate_series(1,length(w)-length(term)+1), lambda i: substr(w,i,length(term))=term)) AS times
       FROM (SELECT DISTINCT w FROM dw) v JOIN (SELECT DISTINCT term FROM qt) x ON contains(v.w, x.term)),
@@ -92,10 +102,14 @@ def passages(t):
     return t.benchmark.select(F.col("item_id").alias("q"), "text"), t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
 
 
-@register("x06_query_terms", f"WITH {TERMS.split('dw AS')[0].rstrip().rstrip(',')} SELECT q, term FROM qt")
+@register("x06_query_terms", f"""WITH {TERMS.split('dw AS')[0].rstrip().rstrip(',')}, o AS (SELECT q, w, row_number() OVER (PARTITION BY q ORDER BY length(w) DESC, i) AS r
+    FROM qd WHERE length(w)>=3 AND w NOT IN ({STOP})) SELECT qt.q, term, r<={tx.MAX_LATIN_TERMS} AS bounded FROM qt JOIN o ON o.q=qt.q AND o.w=term""")
 def _(t):
+    """All terms of each question, and which of them an interactive query keeps."""
     q, _d = passages(t)
-    return q.select("q", F.explode(tx.query_terms(tx.norm(F.col("text")))).alias("term"))
+    n = tx.norm(F.col("text"))
+    q = q.select("q", tx.query_terms(n).alias("all"), tx.query_terms(n, tx.MAX_LATIN_TERMS, tx.MAX_HAN_TERMS).alias("first"))
+    return q.select("q", F.explode("all").alias("term"), "first").select("q", "term", F.array_contains("first", F.col("term")).alias("bounded"))
 
 
 @register("v05_keyword_search", f"WITH {TERMS} SELECT q, id, score FROM kw")
@@ -186,18 +200,13 @@ def vectors_of(lib):
     return rt.index_entities(lib, cache, "hash")[0].select("key", "vec")
 
 
-def assets_library(t):
-    lib = t.library
-    return lib.with_(entity=lib.entity.filter("type != 'work'"))
-
-
 def name_questions(t):
     return t.part.select(F.col("p_name").alias("q"), F.col("p_name").alias("text")).distinct()
 
 
-@register("v02_entity_indexing", """SELECT type, count(*) AS n FROM ent WHERE type IN ('dataset','method','idea','claim','topic') GROUP BY 1""")
+@register("v02_entity_indexing", """SELECT type, count(*) AS n FROM ent WHERE type IN ('work','dataset','method','idea','claim','topic') GROUP BY 1""")
 def _(t):
-    lib = assets_library(t)
+    lib = t.library
     return vectors_of(lib).filter(F.size("vec") == 1024).join(lib.entity.select("key", "type"), "key").groupBy("type").agg(F.count("*").alias("n"))
 
 
@@ -210,29 +219,27 @@ def _(t):
 
 @register("v09_hybrid_search")
 def _(t):
-    lib = assets_library(t)
-    return rt.search(lib, name_questions(t), vectors_of(lib), Filters(types=("dataset", "method", "idea", "claim", "topic")), limit=20)
+    lib = t.library
+    return rt.search(lib, name_questions(t), vectors_of(lib), Filters(types=SEARCH_TYPES), limit=20)
 
 
 @register("v10_recall")
 def _(t):
-    lib = assets_library(t)
-    return rt.recall(lib, name_questions(t), vectors_of(lib), ru.view_log(star.views_log(t)), F.expr("timestamp '2024-02-01 00:00:00'"),
-                     types=("dataset", "method", "idea", "claim"))
+    lib = t.library
+    return rt.recall(lib, name_questions(t), vectors_of(lib), ru.view_log(star.views_log(t)), F.expr("timestamp '2024-02-01 00:00:00'"))
 
 
 @register("v12_related_works")
 def _(t):
-    return rt.related_works(t.library, newest_works(t.library), vectors_of(assets_library(t)), ru.view_log(star.views_log(t)), F.expr("timestamp '2024-02-01 00:00:00'"))
+    return rt.related_works(t.library, probe_works(t.library), vectors_of(t.library), ru.view_log(star.views_log(t)), F.expr("timestamp '2024-02-01 00:00:00'"))
 
 
 @register("v13_related_entities")
 def _(t):
     """What is close to each topic's own text, itself left out."""
-    lib = assets_library(t)
+    lib = t.library
     q = lib.entity.filter("type = 'topic'").select(F.col("key").alias("q"), F.col("canonical_name").alias("text"))
-    types = ("dataset", "method", "idea", "claim", "topic")
-    hits = rt.recall(lib, q, vectors_of(lib), ru.view_log(star.views_log(t)), F.expr("timestamp '2024-02-01 00:00:00'"), limit=9, floor=0.0, types=types)
+    hits = rt.recall(lib, q, vectors_of(lib), ru.view_log(star.views_log(t)), F.expr("timestamp '2024-02-01 00:00:00'"), limit=9, floor=0.0, types=SEARCH_TYPES)
     return rk.top_per(hits.filter("q != key"), ["q"], [F.col("pos")], 8).select("q", "key", "score", "pos")
 
 

@@ -10,7 +10,7 @@ from ..operators import graph as gr
 from ..operators import lookups as lk
 from ..operators import rollups as ru
 from ..sources import star
-from .q_joins import NEWEST, newest_works
+from .q_joins import PROBED, probe_works
 from .registry import NORM, register
 
 SRC = "('proposes','uses','produces','evaluates','supports','contradicts')"
@@ -95,7 +95,7 @@ def _(t):
 
 
 SHARED = f"""mine AS (SELECT DISTINCT e.src AS probe, e.dst FROM edg e JOIN ent n ON n.key=e.dst WHERE e.status<>'rejected'
-       AND n.type IN ('topic','dataset','method') AND e.src IN {NEWEST}),
+       AND n.type IN ('topic','dataset','method') AND e.src IN {PROBED}),
     sh AS (SELECT probe, mine.dst, e.src AS other, e.type FROM mine JOIN edg e ON e.dst=mine.dst AND e.status<>'rejected' AND e.src<>probe)"""
 
 
@@ -104,7 +104,7 @@ SHARED = f"""mine AS (SELECT DISTINCT e.src AS probe, e.dst FROM edg e JOIN ent
     SELECT probe, other, round(sum(0.5/ln(2+d)),4) AS score FROM one JOIN deg USING (probe, dst) GROUP BY 1,2""")
 def _(t):
     lib = t.library
-    return ru.damped_sharing(lk.sharing_papers(lib, newest_works(lib))).select("probe", "other", F.round("score", 4).alias("score"))
+    return ru.damped_sharing(lk.sharing_papers(lib, probe_works(lib))).select("probe", "other", F.round("score", 4).alias("score"))
 
 
 @register("a11_best_per_dimension", """

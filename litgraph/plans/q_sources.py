@@ -221,8 +221,8 @@ def _(t):
     """Scripts that mention each part's name, and what they should remind of."""
     from ..operators import retrieval as rt
     from ..operators import rollups as ru
-    from .q_retrieval import assets_library, vectors_of
-    lib = assets_library(t)
+    from .q_retrieval import vectors_of
+    lib = t.library
     src = F.concat(F.lit("import numpy\n# about "), "p_name", F.lit("\n"))
     q = t.part.select("p_name").distinct().select(F.col("p_name").alias("q"), ex.code_context(src).alias("text"))
     return rt.recall(lib, q, vectors_of(lib), ru.view_log(star.views_log(t)), F.expr("timestamp '2024-02-01 00:00:00'"), types=("dataset", "method", "idea", "claim"))
