@@ -39,7 +39,7 @@ from ..session import broadcast_if_small
 from .common import forget, lowered_words, mix64, slices, written
 
 BANDS, ROWS = 40, 5
-GROUPS = ((0, 1), (1, 4), (4, BANDS))  # bands whose buckets are compared with their smallest class at once
+GROUPS = ((0, 2), (2, BANDS))  # bands whose buckets are compared with their smallest class at once
 BLOCK = 512  # classes of a bucket that meet another block in one task
 HOT = 2048  # classes of a bucket, from which on joins by bucket deal its rows over several keys
 FIRST_BEST = 4  # partners of a class in another component and block that go first
@@ -131,7 +131,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                         break
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -172,15 +172,19 @@ def per_bucket(df: DataFrame, hot: DataFrame) -> DataFrame:
     return df.join(hot, "bucket", "left").withColumn("salt", F.explode(keys)).drop("keys")
 
 
-def cells(members: DataFrame, hot: DataFrame) -> DataFrame:
-    """Members (bucket, band, node, root, ...) of the cells of their bucket. The classes outside a bucket's largest
-    component meet the blocks of that component, and each other; those inside it do not meet, so a large group of near
-    copies with a few strays travels once."""
+def open_buckets(members: DataFrame) -> DataFrame:
+    """(bucket, major, wide, tall) of the buckets of more than one component: the largest one, its blocks and those of
+    the other classes."""
     sizes = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(
-        F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"))
-    sizes = sizes.select("bucket", F.col("most.root").alias("major"), F.ceil(F.col("most.n") / BLOCK).cast("int").alias("wide"),
-                         F.ceil((F.col("all") - F.col("most.n")) / BLOCK).cast("int").alias("tall"))
+        F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all")).where("all > most.n")
+    return sizes.select("bucket", F.col("most.root").alias("major"), F.ceil(F.col("most.n") / BLOCK).cast("int").alias("wide"),
+                        F.ceil((F.col("all") - F.col("most.n")) / BLOCK).cast("int").alias("tall"))
 
+
+def cells(members: DataFrame) -> DataFrame:
+    """Members (bucket, major, wide, tall, band, node, root, n_shingles, sig) in the cells of their bucket. The classes
+    outside its largest component meet the blocks of that component, and each other; those inside it do not meet, so a
+    large group of near copies with a few strays travels once."""
     def block(n: str) -> Column:
         return F.pmod(F.xxhash64("node", F.lit(3)), F.col(n)).cast("int")
 
@@ -195,8 +199,7 @@ def cells(members: DataFrame, hot: DataFrame) -> DataFrame:
     own = block("tall")
     outside = F.concat(every("wide", lambda i: cell(0, i, own, F.lit(0))),
                        every("tall", lambda j: cell(1, F.least(own, j), F.greatest(own, j), F.when(own == j, F.lit(2)).otherwise((own > j).cast("int")))))
-    return (dealt(members, hot).join(per_bucket(sizes, hot), ["bucket", "salt"])
-            .withColumn("at", F.explode(F.when(F.col("root") == F.col("major"), inside).otherwise(outside)))
+    return (members.withColumn("at", F.explode(F.when(F.col("root") == F.col("major"), inside).otherwise(outside)))
             .select("bucket", "at.kind", "at.i", "at.j", "at.side", "band", "node", "root", "n_shingles", "sig"))
 
 
@@ -238,7 +241,7 @@ def meet(rows: pa.Table, least: float, per_band: int, percent: int, best: int) -
     return tuple(np.concatenate([o[i] for o in out]) if out else np.empty(0, bool if i == 2 else np.int64) for i in range(3))
 
 
-def across(members: DataFrame, hot: DataFrame, hashes: int, rows: int, percent: int, best: int) -> DataFrame:
+def across(members: DataFrame, hashes: int, rows: int, percent: int, best: int) -> DataFrame:
     """(bucket, a, b): candidate pairs between different components of a bucket, the ``best`` ones of a class and a
     component; a null pair marks a bucket in which others wait."""
     least = (percent / 100 - SIGMAS * np.sqrt(percent / 100 * (1 - percent / 100) / hashes)) * hashes
@@ -269,7 +272,7 @@ def across(members: DataFrame, hot: DataFrame, hashes: int, rows: int, percent:
             yield found(held)
 
     order = ["bucket", "kind", "i", "j"]
-    return cells(members, hot).repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "bucket long, a long, b long")
+    return cells(members).repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "bucket long, a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS,
@@ -288,7 +291,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     every = banded(alone, bands, rows).select("bucket", "band", "node")
     shared = written(every.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("most"), F.count(F.lit(1)).alias("n"))
                      .where("lead < most").drop("most"), "minhash-buckets")
-    hot = broadcast_if_small(shared.where(F.col("n") > HOT).select("bucket", F.ceil(F.col("n") / HOT).cast("int").alias("keys")))
+    hot = broadcast_if_small(written(shared.where(F.col("n") > HOT).select("bucket", F.ceil(F.col("n") / HOT).cast("int").alias("keys")), "minhash-hot"))
     members = written(dealt(every, hot).join(per_bucket(shared.drop("n"), hot), ["bucket", "salt"]).select("bucket", "band", "node", "lead"), "minhash-members")
     texts = written(docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id", "text"]), "minhash-texts")
 
@@ -305,8 +308,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
             return
         checked = checked.unionByName(new)
         more = written(confirmed(new, texts, size, percent), "minhash-more")
-        links = written(links.unionByName(more).distinct(), "minhash-links")
-        roots = written(components(links), "minhash-roots")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = written(components(links), "minhash-roots")
 
     def rooted(part: DataFrame) -> DataFrame:
         return part.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -320,14 +324,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     while True:
         part = members.drop("lead") if todo is None else dealt(members.drop("lead"), hot).join(per_bucket(todo, hot), ["bucket", "salt"]).drop("salt")
         part = written(rooted(part), "minhash-rooted")
-        open_ = written(part.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("bucket"), "minhash-open")
+        open_ = written(open_buckets(part), "minhash-open")
         if open_.isEmpty():
             break
         mixed = dealt(part, hot).join(per_bucket(open_, hot), ["bucket", "salt"]).drop("salt").join(alone, "node")
-        found = written(across(mixed, hot, bands * rows, rows, percent, best), "minhash-found")
+        found = written(across(mixed, bands * rows, rows, percent, best), "minhash-found")
         confirm(found.where("a is not null").select("a", "b").distinct())
         forget(part, open_)
-        todo, best = written(found.where("a is null").select("bucket").distinct(), "minhash-todo"), 16 * best
+        todo, best = found.where("a is null").select("bucket").distinct(), 16 * best
         if todo.isEmpty():
             break
     return (tagged.select("doc_id", "n_shingles", "node").join(roots, "node", "left")
