@@ -1,15 +1,11 @@
-"""Corrections: a log of human decisions replayed last over the derived tables.
-
-The replay is set-based. Merges become a redirect map; every other decision follows the map to the
-surviving key and then the last decision about a thing wins, which is what replaying the log in order
-does. No group of decisions is gathered anywhere."""
+"""Corrections: a log of human decisions, its checks, and what single decisions do; ``replay`` runs the whole log."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import card_id, free_key
+from ..functions.keys import card_id
 from ..functions.text import norm
 from ..model import EDGE_TYPES, STATUS_RANK, Library
 from ..session import cut
@@ -100,25 +96,6 @@ def merge_entities(lib: Library, redirects: DataFrame) -> Library:
     return Library(entity=e, edge=edge, alias=alias, work=work)
 
 
-def split_entities(lib: Library, splits: DataFrame) -> Library:
-    """splits(id, key, new_name, src, dst, type): the listed edges and the names of the new entity move to
-    it. A split none of whose edges exist changes nothing."""
-    s = splits.join(lib.entity.select("key", F.col("type").alias("etype")), "key").withColumn("new_key", free_key(F.col("etype"), norm(F.col("new_name"))))
-    hit = cut(s.join(lib.edge.select("src", "dst", "type"), ["src", "dst", "type"], "left_semi").filter("key = src or key = dst"))
-    mv = hit.groupBy("src", "dst", "type").agg(F.max_by(F.struct("key", "new_key"), "id").alias("m"))
-    e = lib.edge.join(mv, ["src", "dst", "type"], "left")
-    for end in ("src", "dst"):
-        e = e.withColumn(end, F.when(F.col("m.key") == F.col(end), F.col("m.new_key")).otherwise(F.col(end)))
-    new = hit.groupBy("new_key").agg(F.min_by(F.struct("key", "new_name"), "id").alias("n"))
-    born = lib.entity.join(new.select("new_key", F.col("n.key").alias("key"), F.col("n.new_name").alias("nn")), "key")
-    born = born.withColumn("key", F.col("new_key")).withColumn("canonical_name", F.col("nn")).drop("new_key", "nn").join(lib.entity.select("key"), "key", "left_anti")
-    go = hit.select(F.col("key").alias("entity_key"), norm(F.col("new_name")).alias("norm"), "new_key").distinct()
-    own = lib.entity.select(F.col("key").alias("entity_key"), norm(F.col("canonical_name")).alias("own"))
-    al = lib.alias.join(go, ["entity_key", "norm"], "left").join(own, "entity_key", "left")
-    al = al.withColumn("entity_key", F.when(F.col("new_key").isNotNull() & (F.col("norm") != F.col("own")), F.col("new_key")).otherwise(F.col("entity_key"))).drop("new_key", "own")
-    return lib.with_(entity=lib.entity.unionByName(born), edge=fold_edges(e.drop("m")), alias=al)
-
-
 def edge_decisions(decisions: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
     """(src, dst, type, status, adds, at, evidence): the last word on each edge; an explicit add confirms."""
     d = active(decisions).filter("op in ('edge_status','add_edge')").select(
@@ -141,49 +118,6 @@ def effective_edges(lib: Library, decided: DataFrame) -> DataFrame:
     return out.unionByName(new, allowMissingColumns=True)
 
 
-def apply_all(lib: Library, decisions: DataFrame) -> tuple[Library, DataFrame]:
-    """(library, skipped): every active decision replayed; stale ones are listed with the reason."""
-    d = cut(active(decisions))
-    merges, skipped = merges_of(lib, d)
-    red = cut(lk.redirect_map(merges))
-    lib = merge_entities(lib, red)
-    parts = d.filter("op = 'split'").select("id", field("key").alias("key"), field("new_name").alias("new_name"),
-                                            F.explode(F.from_json(field("edges"), "array<struct<src:string,dst:string,type:string>>")).alias("e")).select("id", "key", "new_name", "e.*")
-    lib = split_entities(lib, lk.follow(lk.follow(lk.follow(parts, red, "key"), red, "src"), red, "dst"))
-    lib = lib.with_(entity=cut(_created(lib, d, red)))
-    keyed = lk.follow(d.filter("op in ('confirm_topic','rename','add_alias','edit_text','reject_entity')").withColumn("key", field("key")), red, "key")
-    known = lib.entity.select("key", "type")
-    lost = keyed.join(known.select("key"), "key", "left_anti").select("id", "op", F.lit("not found").alias("reason"))
-    keyed = cut(keyed.join(known, "key"))
-    papers = keyed.filter("op = 'reject_entity' and type = 'work'").select("id", "op", F.lit("a paper is retracted, not rejected").alias("reason"))
-    state = keyed.filter("op = 'confirm_topic' or (op = 'reject_entity' and type != 'work')").groupBy("key").agg(
-        F.max_by(F.when(F.col("op") == "reject_entity", "rejected").otherwise("active"), "id").alias("_st"))
-    text = F.coalesce(field("name"), field("text"))
-    wording = keyed.filter("op in ('rename','edit_text')").groupBy("key").agg(F.max_by(text, "id").alias("_nm"))
-    names = (keyed.filter("op in ('rename','edit_text','add_alias')").select(F.col("key").alias("entity_key"), F.coalesce(field("alias"), text).alias("alias"))
-             .unionByName(wording.join(lib.entity, "key").select(F.col("key").alias("entity_key"), F.col("canonical_name").alias("alias"))))
-    fresh = names.withColumn("norm", norm(F.col("alias"))).filter(F.length("norm").between(1, 500)).join(lib.alias.select("entity_key", "norm"), ["entity_key", "norm"], "left_anti")
-    fresh = fresh.groupBy("entity_key", "norm").agg(F.min("alias").alias("alias")).withColumn("source", F.lit("user"))
-    entity = (lib.entity.join(state, "key", "left").join(wording, "key", "left").withColumn("status", F.coalesce("_st", "status"))
-              .withColumn("canonical_name", F.coalesce("_nm", "canonical_name")).drop("_st", "_nm"))
-    edge = effective_edges(lib, edge_decisions(d, red))
-    out = lib.with_(entity=entity, edge=edge, alias=lib.alias.unionByName(fresh, allowMissingColumns=True))
-    return out, skipped.unionByName(lost).unionByName(papers)
-
-
-def _created(lib: Library, d: DataFrame, red: DataFrame) -> DataFrame:
-    """The entities plus topics and ideas decisions created, dated by the decision."""
-    c = d.filter("op in ('create_topic','create_idea')").withColumn("type", F.when(F.col("op") == "create_topic", "topic").otherwise("idea"))
-    c = c.withColumn("name", F.coalesce(field("name"), field("text"))).withColumn("key", free_key(F.col("type"), norm(F.col("name"))))
-    c = lk.follow(c, red, "key")
-    one = c.groupBy("key").agg(F.min_by(F.struct("type", F.col("name").alias("canonical_name"), "created_at", F.when(F.col("op") == "create_idea", "user").alias("origin")), "id").alias("m"))
-    named = lib.alias.select("norm", "entity_key").join(lib.entity.select(F.col("key").alias("entity_key"), "type"), "entity_key").select("norm", "type")
-    new = one.join(lib.entity.select("key"), "key", "left_anti").select("key", "m.*").withColumn("norm", norm(F.col("canonical_name"))).join(named, ["norm", "type"], "left_anti").drop("norm")
-    up = c.filter("op = 'create_topic'").select("key", F.lit(True).alias("_up")).distinct()
-    old = lib.entity.join(up, "key", "left").withColumn("status", F.when(F.col("_up"), "active").otherwise(F.col("status"))).drop("_up")
-    return old.unionByName(new.withColumn("status", F.lit("active")), allowMissingColumns=True)
-
-
 def distinct_pairs(decisions: DataFrame) -> DataFrame:
     """(a, b) a <= b: pairs a person declared different; every split declares one."""
     d = active(decisions).filter("op in ('distinct','split')").select(F.coalesce(field("a"), field("key")).alias("x"), F.coalesce(field("b"), field("new_key")).alias("y"))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import HUB_TYPES, Library
-from ..session import cut
+from ..session import cut, stored
 
 
 def live(edge: DataFrame) -> DataFrame:
@@ -58,15 +58,21 @@ def neighbors(lib: Library, centers: DataFrame, hops: int = 1, edge_types: list[
 
 
 def within_two_hops(lib: Library, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) joined by an edge or by a shared non-hub neighbour. Each side of a pair is
-    expanded once and the two lists meet by an equi-join; no all-pairs list is formed."""
-    adj = both_ways(live(lib.edge)).distinct()
+    """The pairs (a, b) joined by an edge or by a shared non-hub neighbour. Only the end of lower degree is expanded;
+    whether its neighbours reach the other end is a semi-join on the edge itself, whatever the degree of that end."""
+    adj = cut(both_ways(live(lib.edge)).distinct())
     p = pairs.select("a", "b").distinct()
+    ends = p.select(F.col("a").alias("node")).unionByName(p.select(F.col("b").alias("node"))).distinct()
+    degree = cut(adj.join(ends, "node", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("d")))
+    p = (p.join(degree.select(F.col("node").alias("a"), F.col("d").alias("da")), "a")  # an end without an edge has no path
+         .join(degree.select(F.col("node").alias("b"), F.col("d").alias("db")), "b"))
+    low = F.col("da") <= F.col("db")
+    p = cut(p.select("a", "b", F.when(low, F.col("a")).otherwise(F.col("b")).alias("near"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("far")))
+    edge = adj.select(F.col("node").alias("mid"), F.col("other").alias("far"))
+    direct = p.join(edge.withColumnRenamed("mid", "near"), ["near", "far"], "left_semi").select("a", "b")
     hubs = lib.entity.filter(F.col("type").isin(*HUB_TYPES)).select(F.col("key").alias("mid"))
-    from_a = p.join(adj, F.col("a") == F.col("node")).select("a", "b", F.col("other").alias("mid"))
-    direct = from_a.filter(F.col("mid") == F.col("b")).select("a", "b")
-    from_b = p.join(adj, F.col("b") == F.col("node")).select("a", "b", F.col("other").alias("mid"))
-    shared = from_a.join(hubs, "mid", "left_anti").join(from_b, ["a", "b", "mid"], "left_semi").select("a", "b")
+    open_ = p.join(direct, ["a", "b"], "left_anti").join(adj.select(F.col("node").alias("near"), F.col("other").alias("mid")), "near").join(hubs, "mid", "left_anti")
+    shared = open_.join(edge, ["mid", "far"], "left_semi").select("a", "b")
     return direct.unionByName(shared).distinct()
 
 
@@ -107,27 +113,46 @@ def families(topics: DataFrame, is_a: DataFrame) -> DataFrame:
     return comp.join(number, "component", "left").select("key", F.col("number").alias("family"))
 
 
-def communities(lib: Library, rounds: int = 30) -> DataFrame:
-    """(key, community): synchronous label propagation without hubs. A node's own label counts one
-    vote and only half of the nodes move in a round (by hash), so two sides cannot swap for ever;
-    ties go to the smallest label. Communities are numbered by size."""
+def best_labels(adj: DataFrame, label: DataFrame, at: DataFrame | None = None) -> DataFrame:
+    """(key, best): the label most neighbours have, the smallest among equals; of the nodes ``at`` (key) only if given.
+    adj(node, other), label(key, label)."""
+    near = adj if at is None else adj.join(at.select(F.col("key").alias("node")), "node", "left_semi")
+    votes = (near.join(label.select(F.col("key").alias("other"), "label"), "other").groupBy(F.col("node").alias("key"), "label").agg(F.count(F.lit(1)).alias("v")))
+    return votes.groupBy("key").agg(F.min(F.struct((-F.col("v")).alias("v"), F.col("label").alias("l")))["l"].alias("best"))
+
+
+def settled_labels(adj: DataFrame, label: DataFrame) -> DataFrame:
+    """(key, label) after label propagation to its end: every node has the best label of its neighbours. Of the nodes
+    that want another label, a round moves those whose turn (a hash of node and round) comes before that of all their
+    neighbours who want one too. No two neighbours move together, so the number of edges inside a label grows, or labels
+    fall at the same number, and the rounds end. Only a moved node's neighbours look again."""
+    open_, r = best_labels(adj, label), 0
+    while True:
+        wish = stored(open_.join(label, "key").filter("best != label").select("key", "best", F.xxhash64("key", F.lit(r)).alias("turn")), "wish")
+        if wish.isEmpty():
+            return label
+        rival = (adj.join(wish.select(F.col("key").alias("node"), "turn"), "node").join(wish.select(F.col("key").alias("other"), F.col("turn").alias("theirs")), "other")
+                 .filter(F.struct("theirs", "other") < F.struct("turn", "node")).select(F.col("node").alias("key")).distinct())
+        moved = stored(wish.join(rival, "key", "left_anti").select("key", "best"), "moved")
+        label = stored(label.join(moved, "key", "left").select("key", F.coalesce("best", "label").alias("label")), "labels")
+        again = (adj.join(moved.select(F.col("key").alias("node")), "node", "left_semi").select(F.col("other").alias("key"))
+                 .unionByName(wish.join(moved.select("key"), "key", "left_anti").select("key")).distinct())
+        open_, r = best_labels(adj, label, again), r + 1
+
+
+def community_links(lib: Library) -> tuple[DataFrame, DataFrame]:
+    """(nodes, adj): the entities without hubs, and (node, other) for each live pair, from both ends."""
     nodes = lib.entity.filter(~F.col("type").isin(*HUB_TYPES)).select("key").distinct()
-    inside = (live(lib.edge).select("src", "dst").distinct()
+    inside = (live(lib.edge).filter("src != dst").select("src", "dst").distinct()
               .join(nodes.withColumnRenamed("key", "src"), "src", "left_semi")
               .join(nodes.withColumnRenamed("key", "dst"), "dst", "left_semi"))
-    adj = cut(both_ways(inside))
-    label = cut(nodes.withColumn("label", F.col("key")))
-    for r in range(rounds):
-        votes = (adj.join(label.withColumnRenamed("key", "other"), "other").select(F.col("node").alias("key"), "label")
-                 .unionByName(label).groupBy("key", "label").agg(F.count("*").alias("v")))
-        best = votes.groupBy("key").agg(F.min(F.struct((-F.col("v")).alias("v"), F.col("label").alias("l")))["l"].alias("best"))
-        moves = F.pmod(F.xxhash64("key") + r, F.lit(2)) == 0
-        nxt = cut(label.join(best, "key").select("key", F.when(moves, F.col("best")).otherwise(F.col("label")).alias("label"),
-                                                 (F.col("best") != F.col("label")).alias("open")))
-        settled = nxt.filter("open").isEmpty()
-        label = nxt.select("key", "label")
-        if settled:
-            break
+    return nodes, both_ways(inside)
+
+
+def communities(lib: Library) -> DataFrame:
+    """(key, community): label propagation without hubs, numbered by size. An edge in both directions counts twice."""
+    nodes, adj = community_links(lib)
+    label = settled_labels(stored(adj, "adjacent"), stored(nodes.withColumn("label", F.col("key")), "labels"))
     number = numbered_by_size(label, label="label")
     return label.join(number, "label").select("key", F.col("number").alias("community"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import corrections as co
 from ..operators import filters as fl
 from ..operators import lookups as lk
+from ..operators import replay
 from ..session import cut
 from ..sources import star
 from .q_sources import once
@@ -31,7 +32,7 @@ def replayed(t):
 
 
 def _replay(t):
-    lib, skipped = co.apply_all(t.library.with_(), log(t))
+    lib, skipped = replay.apply_all(t.library.with_(), log(t))
     return lib.with_(entity=cut(lib.entity), edge=cut(lib.edge)), cut(skipped)
 
 

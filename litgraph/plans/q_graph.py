@@ -8,6 +8,7 @@ from ..operators import filters as fl
 from ..operators import graph as gr
 from ..operators import lookups as lk
 from ..operators import rollups as ru
+from ..session import cut
 from ..sources import star
 from .q_joins import CITES
 from .registry import register
@@ -74,15 +75,35 @@ def _(t):
     return fam.select("key", F.coalesce("family", F.lit(-1)).cast("long").alias("family"))
 
 
-@register("g05_communities")
-def _(t):
-    """Papers linked by citations, and the topic tree: label propagation over both."""
+def cited_library(t):
+    """Papers linked by citations, and the topic tree."""
     lib = t.library
     tree = lib.edge.filter("type = 'is_a'")
     cites = lk.citations(t.events.selectExpr("cast(user_id as string) id", "array(get_json_object(props, '$.k')) referenced_works"),
                          t.events.selectExpr("cast(user_id as string) metadata_id", "concat('work:', user_id) key").distinct())
-    e = tree.select("src", "dst", "status").unionByName(cites.withColumn("status", F.lit("auto")))
-    return gr.communities(lib.with_(edge=e))
+    return lib.with_(edge=tree.select("src", "dst", "status").unionByName(cites.withColumn("status", F.lit("auto"))))
+
+
+CITED = f"""{CITES}, nd AS (SELECT key FROM ent WHERE type NOT IN ('organism','modality')),
+    ce AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM edg WHERE type='is_a' AND status<>'rejected' UNION ALL SELECT 'work:'||a, 'work:'||b FROM cit)
+      WHERE src<>dst AND src IN (SELECT key FROM nd) AND dst IN (SELECT key FROM nd))"""
+
+
+@register("g05_communities", f"""WITH {CITED}, an AS (SELECT src AS key FROM ce UNION SELECT dst FROM ce)
+    SELECT (SELECT count(*) FROM nd) AS nodes, (SELECT count(*) FROM an) AS linked, (SELECT count(*) FROM an) AS settled, (SELECT count(*) FROM nd WHERE key NOT IN (SELECT key FROM an)) AS alone""")
+def _(t):
+    """The certificate of the communities: every linked node is in one that most of its neighbours are in, and every
+    other node is in one of its own."""
+    lib = cited_library(t)
+    found = cut(gr.communities(lib))
+    _, adj = gr.community_links(lib)
+    adj = cut(adj)
+    inside = adj.join(found.select(F.col("key").alias("other"), "community"), "other").groupBy(F.col("node").alias("key"), "community").agg(F.count("*").alias("v"))
+    most = inside.groupBy("key").agg(F.max("v").alias("most"))
+    size = found.groupBy("community").agg(F.count("*").alias("n"))
+    checked = found.join(most, "key", "left").join(inside, ["key", "community"], "left").join(size, "community")
+    return checked.agg(F.count("*").alias("nodes"), F.count("most").alias("linked"), F.count_if(F.col("v") == F.col("most")).alias("settled"),
+                       F.count_if(F.col("most").isNull() & (F.col("n") == 1)).alias("alone"))
 
 
 @register("g06_components", f"""

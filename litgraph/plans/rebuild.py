@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import Library
 from ..operators import corrections as co
+from ..operators import replay
 from ..operators import retrieval as rt
 from ..operators import rollups as ru
 from ..operators.graph import communities
@@ -36,7 +37,7 @@ def rebuild(extractions: DataFrame, unreadable: DataFrame, decisions: DataFrame,
     g = ingest.materialize(live, apart=apart, th=th)
     lib = Library(entity=g.entity, edge=g.edge.drop("attrs", "records").join(live.select(F.col("eid").alias("extraction_id"), "created_at"), "extraction_id", "left"),
                   alias=g.alias, work=g.work)
-    lib, skipped = co.apply_all(lib, decisions)
+    lib, skipped = replay.apply_all(lib, decisions)
     entity = cut(ru.promote(lib, th.topic_promote_works))
     old = old_ids if old_ids is not None else entity.limit(0).select("key", F.lit(0).cast("long").alias("id"))
     entity = entity.join(co.stable_ids(entity, old), "key")

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from litgraph.model import Library
-from litgraph.operators import corrections as co
+from litgraph.operators import corrections as co, replay
 
 ENT = "id long, key string, type string, canonical_name string, status string, origin string, created_at timestamp"
 EDGE = "src string, dst string, type string, status string, confidence double, evidence string, created_at timestamp"
@@ -37,7 +37,7 @@ def edges(lib):
 
 
 def test_merge_folds_edges_and_drops_self_loops(spark):
-    out, skipped = co.apply_all(library(spark), decided(spark, ("merge", {"from": "topic:grn", "into": "topic:gene network"})))
+    out, skipped = replay.apply_all(library(spark), decided(spark, ("merge", {"from": "topic:grn", "into": "topic:gene network"})))
     e = edges(out)
     assert e[("work:p", "topic:gene network", "about")] == ("confirmed", 0.9) and ("work:q", "topic:gene network", "about") in e
     assert not any("topic:grn" in k for k in e) and skipped.isEmpty()
@@ -45,20 +45,20 @@ def test_merge_folds_edges_and_drops_self_loops(spark):
 
 
 def test_user_wording_survives_a_merge(spark):
-    out, _ = co.apply_all(library(spark), decided(spark, ("merge", {"from": "idea:mine", "into": "idea:model"})))
+    out, _ = replay.apply_all(library(spark), decided(spark, ("merge", {"from": "idea:mine", "into": "idea:model"})))
     r = out.entity.filter("key = 'idea:model'").first()
     assert (r["canonical_name"], r["origin"]) == ("mine", "user")
 
 
 def test_stale_and_revoked_decisions(spark):
-    out, skipped = co.apply_all(library(spark), decided(
+    out, skipped = replay.apply_all(library(spark), decided(
         spark, ("merge", {"from": "topic:grn", "into": "claim:x"}), ("rename", {"key": "topic:nowhere", "name": "x"}), ("reject_entity", {"key": "claim:x"}, "revoked"), ("reject_entity", {"key": "work:p"})))
     assert {(r["op"], r["reason"]) for r in skipped.collect()} == {("merge", "different types"), ("rename", "not found"), ("reject_entity", "a paper is retracted, not rejected")}
     assert out.entity.filter("status = 'rejected'").isEmpty()
 
 
 def test_last_word_on_an_edge_wins_and_missing_ones(spark):
-    out, _ = co.apply_all(library(spark), decided(
+    out, _ = replay.apply_all(library(spark), decided(
         spark, ("edge_status", {"src": "work:p", "dst": "topic:grn", "type": "about", "status": "rejected"}), ("add_edge", {"src": "work:p", "dst": "topic:grn", "type": "about"}),
         ("edge_status", {"src": "work:q", "dst": "topic:c", "type": "about", "status": "rejected"}), ("add_edge", {"src": "topic:c", "dst": "topic:grn", "type": "is_a"})))
     e = edges(out)
@@ -66,7 +66,7 @@ def test_last_word_on_an_edge_wins_and_missing_ones(spark):
 
 
 def test_split_moves_listed_edges(spark):
-    out, _ = co.apply_all(library(spark), decided(spark, ("split", {"key": "topic:grn", "new_name": "GRN in plants", "edges": [{"src": "work:q", "dst": "topic:grn", "type": "about"}]}),
+    out, _ = replay.apply_all(library(spark), decided(spark, ("split", {"key": "topic:grn", "new_name": "GRN in plants", "edges": [{"src": "work:q", "dst": "topic:grn", "type": "about"}]}),
                                                   ("split", {"key": "topic:c", "new_name": "nothing", "edges": [{"src": "work:q", "dst": "topic:c", "type": "about"}]})))
     e = edges(out)
     assert ("work:q", "topic:grn in plants", "about") in e and ("work:q", "topic:grn", "about") not in e
@@ -74,7 +74,7 @@ def test_split_moves_listed_edges(spark):
 
 
 def test_created_and_renamed(spark):
-    out, _ = co.apply_all(library(spark), decided(spark, ("create_topic", {"name": "New One"}), ("create_topic", {"name": "grn"}), ("rename", {"key": "topic:c", "name": "Sea"}), ("confirm_topic", {"key": "topic:grn"})))
+    out, _ = replay.apply_all(library(spark), decided(spark, ("create_topic", {"name": "New One"}), ("create_topic", {"name": "grn"}), ("rename", {"key": "topic:c", "name": "Sea"}), ("confirm_topic", {"key": "topic:grn"})))
     r = {x["key"]: x for x in out.entity.collect()}
     assert r["topic:new one"]["status"] == "active" and str(r["topic:new one"]["created_at"]).startswith("2024-02-01")
     assert r["topic:grn"]["status"] == "active" and r["topic:c"]["canonical_name"] == "Sea" and out.alias.filter("norm = 'sea'").count() == 1
