@@ -183,14 +183,16 @@ def coded(docs: DataFrame, voc, text: str = "text") -> DataFrame:
 
 
 def topic_vectors(docs: DataFrame) -> DataFrame:
-    """(h, vector) of each coded document: a hash, and shares of its most frequent vocabulary words."""
+    """(h, vector) of each coded document: a hash, and shares of its most frequent vocabulary words as 32-bit floats."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, heads in slices(batch.select(["h", "heads"]), "heads", 4_000_000):
-                flat = shares(*unpacked(heads), len(part)).ravel()
-                yield pa.RecordBatch.from_arrays([part.column("h"), pa.FixedSizeListArray.from_arrays(pa.array(flat), TOPIC_WORDS).cast(pa.list_(pa.float32()))], ["h", "vector"])
+                flat = shares(*unpacked(heads), len(part)).astype("<f4").tobytes()
+                size = 4 * TOPIC_WORDS
+                yield pa.RecordBatch.from_arrays([part.column("h"), pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(
+                    np.arange(0, size * (len(part) + 1), size, dtype=np.int32)), pa.py_buffer(flat)])], ["h", "vector"])
 
-    return docs.select(F.xxhash64("doc_id", "heads", F.lit(29)).alias("h"), "heads").mapInArrow(run, "h long, vector array<float>")
+    return docs.select(F.xxhash64("doc_id", "heads", F.lit(29)).alias("h"), "heads").mapInArrow(run, "h long, vector binary")
 
 
 def shares(head: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
@@ -217,12 +219,16 @@ def centres(vectors: np.ndarray, k: int = TOPICS, seed: int = 3) -> np.ndarray:
     return c
 
 
+def floats(vectors: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(vectors.to_pylist()), "<f4").reshape(-1, TOPIC_WORDS)
+
+
 def settled(vectors: DataFrame, c: np.ndarray, rounds: int = 15) -> np.ndarray:
     """Centres after rounds of k-means over all vectors. Sums are of whole numbers, so that their order does not matter."""
     def run(batches: Iterator[pa.RecordBatch], c: np.ndarray) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(c.shape, np.int64)
         for batch in batches:
-            v = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, TOPIC_WORDS)
+            v = floats(batch.column("vector"))
             v = v[v.any(1)]
             near, whole = (v @ c.T).argmax(1), np.round(v * (1 << 20)).astype(np.int64)
             for i in range(len(c)):
@@ -304,56 +310,85 @@ class Gru:
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
         n = HIDDEN
         a, u = self.p["x"][x], h @ self.p["u"]
-        zr = 1 / (1 + np.exp(-(a[:, :2 * n] + u[:, :2 * n])))
-        z, r = zr[:, :n], zr[:, n:]
-        m = 2 / (1 + np.exp(-2 * (a[:, 2 * n:] + r * u[:, 2 * n:]))) - 1
-        return m + z * (h - m), (x, h, z, r, m, u[:, 2 * n:])
+        zr = a[:, :2 * n] + u[:, :2 * n]
+        np.negative(zr, zr)
+        np.exp(zr, zr)
+        zr += 1
+        np.reciprocal(zr, zr)
+        z, r, un = zr[:, :n], zr[:, n:], u[:, 2 * n:]
+        m = r * un
+        m += a[:, 2 * n:]
+        np.tanh(m, m)
+        new = h - m
+        new *= z
+        new += m
+        return new, (x, h, z, r, m, un)
 
     def output(self, h: np.ndarray, klass: np.ndarray, place: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log-likelihood of each class and, for frequent words, place; with ``grad`` also d loss / d h."""
+        """Natural log-likelihood of each class and, for frequent words, place; with ``grad`` also d loss / d h. Scores
+        stand class by row, so that sums over classes run along whole rows of memory."""
         rows = np.arange(len(h))
-        logit = h @ self.p["wc"] + self.p["bc"]
-        logit -= logit.max(1, keepdims=True)
-        prob = np.exp(logit)
-        norm = prob.sum(1)
-        out = logit[rows, klass] - np.log(norm)
+        prob = self.p["wc"].T @ h.T
+        prob += self.p["bc"][:, None]
+        prob -= prob.max(0)
+        out = prob[klass, rows]
+        np.exp(prob, prob)
+        norm = prob.sum(0)
+        out -= np.log(norm)
         dh = None
         if grad is not None:
-            prob /= norm[:, None]
-            prob[rows, klass] -= 1
-            grad["wc"] += h.T @ prob
-            grad["bc"] += prob.sum(0)
-            dh = prob @ self.p["wc"].T
+            prob /= norm
+            prob[klass, rows] -= 1
+            grad["wc"] += (prob @ h).T
+            grad["bc"] += prob.sum(1)
+            dh = np.ascontiguousarray((self.p["wc"] @ prob).T)
         inner = np.flatnonzero(place >= 0)
-        inner = inner[np.argsort(klass[inner], kind="stable")]
+        inner = inner[np.argsort(klass[inner].astype(np.int16), kind="stable")]
         cuts = np.searchsorted(klass[inner], np.arange(1, self.n_top + 2))
+        hi, pi, found = h[inner], place[inner], np.empty(len(inner), np.float32)
+        back = np.empty_like(hi) if grad is not None else None
         for k in range(self.n_top):
-            at = inner[cuts[k]:cuts[k + 1]]
-            if not len(at):
+            at = slice(cuts[k], cuts[k + 1])
+            n = cuts[k + 1] - cuts[k]
+            if not n:
                 continue
-            mine = np.arange(len(at))
-            e = h[at] @ self.p["v"][k].T + self.p["d"][k]
-            e -= e.max(1, keepdims=True)
-            q = np.exp(e)
-            total = q.sum(1)
-            out[at] += e[mine, place[at]] - np.log(total)
+            e = self.p["v"][k] @ hi[at].T
+            e += self.p["d"][k][:, None]
+            e -= e.max(0)
+            mine = np.arange(n)
+            picked = e[pi[at], mine]
+            np.exp(e, e)
+            total = e.sum(0)
+            found[at] = picked - np.log(total)
             if grad is not None:
-                q /= total[:, None]
-                q[mine, place[at]] -= 1
-                grad["v"][k] += q.T @ h[at]
-                grad["d"][k] += q.sum(0)
-                dh[at] += q @ self.p["v"][k]
+                e /= total
+                e[pi[at], mine] -= 1
+                grad["v"][k] += e @ hi[at]
+                grad["d"][k] += e.sum(1)
+                back[at] = e.T @ self.p["v"][k]
+        out[inner] += found
+        if grad is not None:
+            dh[inner] += back
         return out, dh
 
     def back(self, kept: tuple, dh: np.ndarray, grad: dict) -> tuple[np.ndarray, np.ndarray]:
         x, h, z, r, m, un = kept
-        dz = dh * (h - m) * z * (1 - z)
-        dm = dh * (1 - z) * (1 - m * m)
-        dr = dm * un * r * (1 - r)
-        da = np.concatenate([dz, dr, dm], 1)
-        du = np.concatenate([dz, dr, dm * r], 1)
+        n = HIDDEN
+        da = np.empty((len(dh), 3 * n), np.float32)
+        dz, dr, dm = da[:, :n], da[:, n:2 * n], da[:, 2 * n:]
+        left = dh * (1 - z)  # what passes into the new part
+        np.multiply(h - m, left, dz)
+        dz *= z
+        np.multiply(left, 1 - m * m, dm)
+        np.multiply(dm, un, dr)
+        dr *= r
+        dr *= 1 - r
+        du = da.copy()
+        du[:, 2 * n:] *= r
         grad["u"] += h.T @ du
-        return dh * z + du @ self.p["u"].T, da
+        out = du @ self.p["u"].T
+        out += dh * z
+        return out, da
 
 
 def inputs(voc: Vocabulary, head: np.ndarray, klass: np.ndarray) -> np.ndarray:
@@ -388,44 +423,48 @@ def train_shard(voc: Vocabulary, model: Gru, texts: list[tuple[np.ndarray, np.nd
         lanes[at].append(x)
         load[at] += len(x[0])
     steps = int(load.max()) if texts else 0
-    x, klass, place = (np.full((LANES, steps), -1) for _ in range(3))
-    fresh = np.zeros((LANES, steps), bool)
+    x, klass, place = (np.full((steps, LANES), fill, np.int32) for fill in (0, -1, -1))
+    fresh = np.zeros((steps, LANES), bool)
     for i, lane in enumerate(lanes):
         if lane:
             n = load[i]
             for to, c in ((x, 0), (klass, 1), (place, 2)):
-                to[i, :n] = np.concatenate([t[c] for t in lane])
-            fresh[i, np.cumsum([0, *(len(t[0]) for t in lane[:-1])])] = True
+                to[:n, i] = np.concatenate([t[c] for t in lane])
+            fresh[np.cumsum([0, *(len(t[0]) for t in lane[:-1])]), i] = True
     seen = {k: np.zeros_like(v) for k, v in model.p.items()}
     state = np.zeros((LANES, HIDDEN), np.float32)
     for begin in range(0, steps, WINDOW):
-        on = np.flatnonzero(load > begin)
-        h, tapes, outs, marks = state[on], [], [], []
-        for t in range(begin, min(begin + WINDOW, steps)):
-            h = np.where(fresh[on, t, None], 0, h)
-            h, tape = model.step(np.maximum(x[on, t], 0), h)
+        on, span = np.flatnonzero(load > begin), slice(begin, min(begin + WINDOW, steps))
+        xs, news, h, tapes, outs = x[span, on], fresh[span, on], state[on], [], []
+        some_new = news.any(1)
+        for t in range(len(xs)):
+            if some_new[t]:
+                h = np.where(news[t, :, None], np.float32(0), h)
+            h, tape = model.step(xs[t], h)
             tapes.append(tape)
             outs.append(h)
-            marks.append(load[on] > t)
         state[on] = h
-        real = np.concatenate(marks)
-        rows = np.flatnonzero(real)
+        rows = np.flatnonzero((load[on] > np.arange(span.start, span.stop)[:, None]).ravel())
         grad = {k: np.zeros_like(v) for k, v in model.p.items() if k != "x"}
-        span = slice(begin, begin + len(tapes))
-        _, some = model.output(np.concatenate(outs)[rows], klass[on, span].T.ravel()[rows], place[on, span].T.ravel()[rows], grad)
-        dout = np.zeros((len(real), HIDDEN), np.float32)
-        dout[rows] = some
+        flat = np.concatenate(outs)
+        whole = len(rows) == len(flat)
+        _, dout = model.output(flat if whole else flat[rows], *(c[span, on].ravel()[rows] for c in (klass, place)), grad)
+        if not whole:
+            dout, some = np.zeros((len(flat), HIDDEN), np.float32), dout
+            dout[rows] = some
         dout = dout.reshape(len(tapes), len(on), HIDDEN)
-        dh, dx = np.zeros((len(on), HIDDEN), np.float32), []
+        dh, dx = np.zeros((len(on), HIDDEN), np.float32), np.empty((len(tapes), len(on), 3 * HIDDEN), np.float32)
         for t in range(len(tapes) - 1, -1, -1):
-            dh, da = model.back(tapes[t], dh + dout[t], grad)
-            dx.append(da)
-            dh = np.where(fresh[on, begin + t, None], 0, dh)
-        which = np.maximum(x[on, span].T[::-1].ravel(), 0)
-        touched, to = np.unique(which, return_inverse=True)
-        gx = np.zeros((len(touched), 3 * HIDDEN), np.float32)
-        order = np.argsort(to, kind="stable")
-        gx += np.add.reduceat(np.concatenate(dx)[order], np.searchsorted(to[order], np.arange(len(touched))))
+            dh += dout[t]
+            dh, dx[t] = model.back(tapes[t], dh, grad)
+            if some_new[t]:
+                dh = np.where(news[t, :, None], np.float32(0), dh)
+        which = xs.ravel()
+        order = np.argsort(which.astype(np.int16), kind="stable")  # there are less than 2^15 rows of inputs
+        ordered = which[order]
+        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        touched = ordered[first]
+        gx = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], first)
         scale = 1 / np.sqrt(LANES * WINDOW)  # the same for all windows: a few long texts left over weigh little
         rate = RATE * min(1.0, (1 + begin // WINDOW) / WARM_STEPS)
         for k, g in grad.items():
@@ -466,7 +505,7 @@ def summed(each: DataFrame, shards: int) -> DataFrame:
 def train(docs: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> Gru:
     """One pass over all coded documents. A round's shards start from the same weights, train alone, and are averaged
     by their tokens; the next round goes on from there with other documents."""
-    model, chunk, sc = Gru(voc), 8192, docs.sparkSession.sparkContext
+    model, chunk, sc = Gru(voc), 1024, docs.sparkSession.sparkContext
     n = docs.count()
     shards = max(2, -(-n // (rounds * SHARD_DOCS)))
     shared = sc.broadcast(voc)
@@ -500,6 +539,8 @@ def train(docs: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> Gru:
             model.trained += r["n"] if r["at"] == 0 else 0
             flat[r["at"]:r["at"] + len(r["w"])] = np.array(r["w"]) / r["n"]
         model.load(flat)
+        start.unpersist()
+    shared.unpersist()
     return model
 
 
@@ -549,7 +590,7 @@ def score_parts(docs: DataFrame, voc, model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, m = voc.value, model.value
         for batch in batches:
-            for part, heads in slices(batch, "heads", 6_000_000):
+            for part, heads in slices(batch, "heads", 4_000_000):
                 head, start = with_ends(v, *unpacked(heads), len(part))
                 known = head >= 0
                 base = np.where(known, np.log10((v.counts[head] if len(v.counts) else 0) + 0.5), 0.0)
@@ -568,13 +609,15 @@ def learn(docs: DataFrame) -> tuple[DataFrame, DataFrame, Vocabulary, Gru]:
     from every document that is not held out."""
     counts = written(count_words(docs.where(~F.col("held_out"))), "lm-counts")
     voc = vocabulary(counts)
-    rows = written(coded(docs, docs.sparkSession.sparkContext.broadcast(voc)).withColumn("row", F.monotonically_increasing_id()), "lm-coded")
+    shared = docs.sparkSession.sparkContext.broadcast(voc)
+    rows = written(coded(docs, shared).withColumn("row", F.monotonically_increasing_id()), "lm-coded")
+    shared.unpersist()
     own = rows.where(~F.col("held_out"))
     vectors = written(topic_vectors(own), "lm-vectors")
     # the start's documents are those of least hash; the bound lets about twice as many through to the sort
     bound = int(min(1.0, 2 * TOPIC_DOCS / max(1, vectors.count())) * (1 << 64)) - (1 << 63) - 1
     some = vectors.where(F.col("h") <= bound).orderBy("h", "vector").limit(TOPIC_DOCS).toArrow()
-    c = settled(vectors, centres(np.array(some.column("vector").to_pylist(), np.float32).reshape(-1, TOPIC_WORDS)))
+    c = settled(vectors, centres(floats(some.column("vector"))))
     classify(voc, word_topics(own, len(voc.words), c))
     forget(vectors)
     return counts, rows, voc, train(own, voc)

@@ -322,7 +322,7 @@ def test_topics_come_from_every_document(spark):
     no_topic = 1 + gru.TOP // gru.TOP_CLASS + gru.TOPICS * gru.BINS
     assert len(voc.words) == 1505 and voc.klass.max() < no_topic
     vectors = gru.topic_vectors(rows)
-    flat = np.array([r["vector"] for r in vectors.collect()], np.float32)
+    flat = gru.floats(vectors.toArrow().column("vector"))
     start = gru.centres(flat[:40])
     c = start
     for _ in range(15):
