@@ -8,7 +8,7 @@
    full sets, unless the links so far have joined both: a large group of near copies costs about one text a member.
 5. Buckets that are not of one component after that are searched for the links between their components: blocks of
    minima are compared inside tasks, and only pairs whose minima agree as a similar pair's do (five standard
-   deviations), whose sizes allow the similarity, and that meet in this band first are confirmed on full sets. The best
+   deviations), whose sketches and sizes allow the similarity, and that meet in this band first are confirmed on full sets. The best
    agreeing ones of each class and component go first; buckets in which any pair had to wait are searched again with
    more of them, until none had.
 6. Components of the confirmed links by alternating large-star and small-star, until nothing changes.
@@ -44,6 +44,7 @@ BLOCK = 512  # classes of a bucket that meet another block in one task
 HOT = 2048  # classes of a bucket, from which on joins by bucket deal its rows over several keys
 FIRST_BEST = 4  # partners of a class in another component and block that go first
 PAIRS = 40_000  # pairs whose minima are compared at once
+BINS = 1024  # of the sketch that pairs must agree in as well
 HUB_ROWS = 32  # texts that share one copy of their hub's text
 SIGMAS = 5.0
 
@@ -77,12 +78,34 @@ def minima(shingle: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return least.astype("<u2")
 
 
+def sketch(shingle: np.ndarray) -> bytes:
+    """One byte for each of BINS ranges of the hashes: of the least one in it, 255 where there is none. A set of few
+    shingles is nearly all in it."""
+    bins = (shingle >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, bins[1:] != bins[:-1])[:len(bins)])
+    out = np.full(BINS, 255, np.uint8)
+    out[bins[first]] = (shingle[first] & np.uint64(0xFFFF)) % np.uint64(255)
+    return out.tobytes()
+
+
+def alike(one: np.ndarray, two: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sketches (rows) can be of sets of the similarity; ``n`` is the sum of the sets' sizes. Of sets that similar
+    the bins are a sample of the union, drawn without putting back; it may be off by ``SIGMAS``."""
+    held = (one != 255) | (two != 255)
+    size = np.maximum(held.sum(1), 1)
+    share = percent / 100
+    drawn = np.minimum(1.0, size * (1 + share) / np.maximum(n, 1))
+    off = SIGMAS * np.sqrt(share * (1 - share) / size * (1 - drawn)) + 1.5 / size
+    return ((one == two) & held).sum(1) / size >= share - off
+
+
 SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()),
-                       T.StructField("set_key", T.StringType()), T.StructField("sig", T.BinaryType())])
+                       T.StructField("set_key", T.StringType()), T.StructField("sig", T.BinaryType()),
+                       T.StructField("sketch", T.BinaryType())])
 
 
 def signatures(docs: DataFrame, size: int, hashes: int = BANDS * ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, set_key, sig): key and minima are null for an empty set."""
+    """(doc_id, n_shingles, set_key, sig, sketch): key, minima and sketch are null for an empty set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = families(hashes)
         for batch in batches:
@@ -91,7 +114,8 @@ def signatures(docs: DataFrame, size: int, hashes: int = BANDS * ROWS, doc_id: s
                 yield pa.RecordBatch.from_arrays([
                     part.column(doc_id), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets], pa.string()),
-                    pa.array([minima(s, a, b).tobytes() if len(s) else None for s in sets], pa.binary())], SIGNED.names)
+                    pa.array([minima(s, a, b).tobytes() if len(s) else None for s in sets], pa.binary()),
+                    pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())], SIGNED.names)
 
     return docs.select(F.col(doc_id).cast("long").alias(doc_id), text).mapInArrow(run, SIGNED)
 
@@ -200,7 +224,7 @@ def cells(members: DataFrame) -> DataFrame:
     outside = F.concat(every("wide", lambda i: cell(0, i, own, F.lit(0))),
                        every("tall", lambda j: cell(1, F.least(own, j), F.greatest(own, j), F.when(own == j, F.lit(2)).otherwise((own > j).cast("int")))))
     return (members.withColumn("at", F.explode(F.when(F.col("root") == F.col("major"), inside).otherwise(outside)))
-            .select("bucket", "at.kind", "at.i", "at.j", "at.side", "band", "node", "root", "n_shingles", "sig"))
+            .select("bucket", "at.kind", "at.i", "at.j", "at.side", "band", "node", "root", "n_shingles", "sig", "sketch"))
 
 
 def meet(rows: pa.Table, least: float, per_band: int, percent: int, best: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,6 +233,7 @@ def meet(rows: pa.Table, least: float, per_band: int, percent: int, best: int) -
     key = [rows.column(c).to_numpy() for c in ("bucket", "kind", "i", "j")]
     node, root, band, n, side = (rows.column(c).to_numpy() for c in ("node", "root", "band", "n_shingles", "side"))
     sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), "<u2").reshape(len(node), -1)
+    bins = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
     new = np.zeros(len(node), bool)
     new[:1] = True
     for k in key:
@@ -233,6 +258,10 @@ def meet(rows: pa.Table, least: float, per_band: int, percent: int, best: int) -
         x, y, near, same = x[ok], y[ok], near[ok], same[ok]
         ok = same.reshape(len(x), -1, per_band).all(2).argmax(1) == band[x] if len(x) else ok[:0]
         x, y, near = x[ok], y[ok], near[ok]
+        for at in range(0, len(x), PAIRS // 4):
+            part = slice(at, at + PAIRS // 4)
+            ok[:len(x)][part] = alike(bins[x[part]], bins[y[part]], n[x[part]] + n[y[part]], percent)
+        x, y, near = (c[ok[:len(x)]] for c in (x, y, near))
         order = np.lexsort((node[y], -near, root[y], x))
         x, y = x[order], y[order]
         first = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (root[y][1:] != root[y][:-1]))[:len(x)])
@@ -286,7 +315,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     copied = classes.where("n > 1").select("set_key", F.col("node").alias("first"))
     tagged = signed.select("doc_id", "n_shingles", "set_key").join(copied, "set_key", "left").withColumn("node", F.coalesce("first", "doc_id")).drop("first")
     alone = signed.join(classes.select("set_key", F.col("node").alias("doc_id")), ["set_key", "doc_id"], "left_semi").dropDuplicates(["set_key"])
-    alone = alone.select(F.col("doc_id").alias("node"), "n_shingles", "sig")
+    alone = alone.select(F.col("doc_id").alias("node"), "n_shingles", "sig", "sketch")
 
     every = banded(alone, bands, rows).select("bucket", "band", "node")
     shared = written(every.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("most"), F.count(F.lit(1)).alias("n"))

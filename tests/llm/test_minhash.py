@@ -59,8 +59,8 @@ def test_pairs_of_cells_are_all_pairs():
     for cell in range(4):
         kind = cell % 2
         for node in range(12):
-            rows.append((cell // 2, kind, 0, 0, 2 if kind else node % 2, 0, 100 * cell + node, 100 * cell + node // 3, 50 + node, pool[rng.integers(30)].tobytes()))
-    names = ["bucket", "kind", "i", "j", "side", "band", "node", "root", "n_shingles", "sig"]
+            rows.append((cell // 2, kind, 0, 0, 2 if kind else node % 2, 0, 100 * cell + node, 100 * cell + node // 3, 50 + node, pool[rng.integers(30)].tobytes(), bytes(minhash.BINS)))
+    names = ["bucket", "kind", "i", "j", "side", "band", "node", "root", "n_shingles", "sig", "sketch"]
     table = pa.table({n: [r[k] for r in rows] for k, n in enumerate(names)})
 
     def brute():
@@ -77,3 +77,20 @@ def test_pairs_of_cells_are_all_pairs():
     x, y, waits = minhash.meet(table, 12, per, 80, 1)
     assert set(zip(x.tolist(), y.tolist())) == want
     assert max(collections.Counter((i, rows[j][7]) for i, j in zip(x[~waits].tolist(), y[~waits].tolist())).values()) == 1
+
+
+def test_sketches_let_every_similar_pair_pass():
+    rng = np.random.default_rng(8)
+    passed = collections.Counter()
+    for size in (1, 2, 5, 9, 40, 170, 600, 3000):
+        for trial in range(150):
+            union = np.unique(rng.integers(0, 1 << 63, size, np.uint64) * np.uint64(2))
+            for share in (0.8, 0.6):
+                both = -(-len(union) * int(100 * share) // 100)
+                mixed = rng.permutation(union)
+                half = both + rng.integers(0, len(union) - both + 1)
+                one, two = np.sort(np.concatenate([mixed[:both], mixed[both:half]])), np.sort(np.concatenate([mixed[:both], mixed[half:]]))
+                ok = minhash.alike(*(np.frombuffer(minhash.sketch(s), np.uint8)[None] for s in (one, two)), np.array([len(one) + len(two)]), 80)[0]
+                passed[size, share] += ok
+    assert all(n == 150 for (_, share), n in passed.items() if share == 0.8)
+    assert all(n <= 1 for (size, share), n in passed.items() if share == 0.6 and size >= 40)
