@@ -307,9 +307,10 @@ class Gru:
             self.p[k] = flat[at:at + v.size].astype(np.float32).reshape(v.shape)
             at += v.size
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
+    def step(self, x: np.ndarray, h: np.ndarray, given: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
+        """The next state and what led to it; ``given`` are the inputs' rows if they were looked up before."""
         n = HIDDEN
-        a, u = self.p["x"][x], h @ self.p["u"]
+        a, u = self.p["x"][x] if given is None else given, h @ self.p["u"]
         zr = a[:, :2 * n] + u[:, :2 * n]
         np.negative(zr, zr)
         np.exp(zr, zr)
@@ -398,8 +399,8 @@ def inputs(voc: Vocabulary, head: np.ndarray, klass: np.ndarray) -> np.ndarray:
 def classes_of(voc: Vocabulary, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Class and place of each token; rare and unknown ones are of the last class."""
     if not len(voc.words):
-        return np.full(len(head), voc.n_classes - 1, np.int32), np.full(len(head), -1, np.int32)
-    return (np.where(head >= 0, voc.klass[head], voc.n_classes - 1).astype(np.int32), np.where(head >= 0, voc.place[head], -1).astype(np.int32))
+        return np.full(len(head), voc.n_classes - 1, np.int16), np.full(len(head), -1, np.int16)
+    return (np.append(voc.klass, voc.n_classes - 1).astype(np.int16)[head], np.append(voc.place, -1).astype(np.int16)[head])  # -1 takes the last
 
 
 def with_ends(voc: Vocabulary, head: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -557,25 +558,24 @@ def log_likelihoods(voc: Vocabulary, model: Gru, head: np.ndarray, start: np.nda
     length, begin = length[order], start[:-1][order]
     last = x[start[1:] - 1][order]  # the end token's row stands before the first word
     total = np.add.reduceat(fixed, start[:-1])[order] if len(length) else np.zeros(0)
+    longest = int(length[0]) if len(length) else 0
+    alive = len(length) - np.searchsorted(length[::-1], np.arange(longest), "right")  # texts that have a token at each step
     h, t = np.zeros((len(length), HIDDEN), np.float32), 0
-    while True:
-        n = int(np.searchsorted(-length, -t, "left"))
-        if not n:
-            break
-        outs, rows = [], []
-        for s in range(t, t + max(8, min(256, 40_000 // n))):
-            n = int(np.searchsorted(-length, -s, "left"))
-            if not n:
-                break
-            h, _ = model.step(x[begin[:n] + s - 1] if s else last[:n], h[:n])
-            outs.append(h)
-            rows.append(begin[:n] + s)
-        sizes = [len(r) for r in rows]
-        rows_ = np.concatenate(rows)
-        got, _ = model.output(np.concatenate(outs), klass[rows_], place[rows_])
-        total[:sizes[0]] += np.bincount(np.concatenate([np.arange(k) for k in sizes]), got, sizes[0])
+    while t < longest:
+        sizes = alive[t:t + max(8, min(2048, 40_000 // alive[t]))]
+        of = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # place among the texts that go on
+        rows = begin[of] + np.repeat(np.arange(t, t + len(sizes)), sizes)
+        before = x[rows - 1]
+        if t == 0:
+            before[:sizes[0]] = last[:sizes[0]]
+        given, outs, at = model.p["x"][before], np.empty((len(rows), HIDDEN), np.float32), 0
+        for n in sizes.tolist():
+            h, _ = model.step(None, h[:n], given[at:at + n])
+            outs[at:at + n] = h
+            at += n
+        got, _ = model.output(outs, klass[rows], place[rows])
+        total[:sizes[0]] += np.bincount(of, got, sizes[0])
         t += len(sizes)
-        h = h[:n] if n else h
     out = np.empty(len(length))
     out[order] = total / np.log(10)
     return out
@@ -590,7 +590,7 @@ def score_parts(docs: DataFrame, voc, model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, m = voc.value, model.value
         for batch in batches:
-            for part, heads in slices(batch, "heads", 4_000_000):
+            for part, heads in slices(batch, "heads", 8_000_000):
                 head, start = with_ends(v, *unpacked(heads), len(part))
                 known = head >= 0
                 base = np.where(known, np.log10((v.counts[head] if len(v.counts) else 0) + 0.5), 0.0)
