@@ -124,15 +124,16 @@ def best_labels(adj: DataFrame, label: DataFrame, at: DataFrame | None = None) -
 def settled_labels(adj: DataFrame, label: DataFrame) -> DataFrame:
     """(key, label) after label propagation to its end: every node has the best label of its neighbours. Of the nodes
     that want another label, a round moves those whose turn (a hash of node and round) comes before that of all their
-    neighbours who want one too. No two neighbours move together, so the number of edges inside a label grows, or labels
-    fall at the same number, and the rounds end. Only a moved node's neighbours look again."""
+    neighbours who want a different one. Neighbours who move together move to one label, so the number of edges inside a
+    label grows, or labels fall at the same number, and the rounds end. Only a moved node's neighbours look again."""
     open_, r = best_labels(adj, label), 0
     while True:
         wish = stored(open_.join(label, "key").filter("best != label").select("key", "best", F.xxhash64("key", F.lit(r)).alias("turn")), "wish")
         if wish.isEmpty():
             return label
-        rival = (adj.join(wish.select(F.col("key").alias("node"), "turn"), "node").join(wish.select(F.col("key").alias("other"), F.col("turn").alias("theirs")), "other")
-                 .filter(F.struct("theirs", "other") < F.struct("turn", "node")).select(F.col("node").alias("key")).distinct())
+        other = wish.select(F.col("key").alias("other"), F.col("best").alias("wanted"), F.col("turn").alias("theirs"))
+        rival = (adj.join(wish.select(F.col("key").alias("node"), "best", "turn"), "node").join(other, "other")
+                 .filter((F.col("wanted") != F.col("best")) & (F.struct("theirs", "other") < F.struct("turn", "node"))).select(F.col("node").alias("key")).distinct())
         moved = stored(wish.join(rival, "key", "left_anti").select("key", "best"), "moved")
         label = stored(label.join(moved, "key", "left").select("key", F.coalesce("best", "label").alias("label")), "labels")
         again = (adj.join(moved.select(F.col("key").alias("node")), "node", "left_semi").select(F.col("other").alias("key"))

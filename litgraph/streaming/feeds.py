@@ -3,6 +3,8 @@ so a restarted query repeats no work and loses none."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -24,30 +26,43 @@ def inbox(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
     return (spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("maxFilesPerTrigger", max_files).load(folder))
 
 
-def ingest_batch(out: str):
-    """A ``foreachBatch`` step: valid documents, problems and known contents go to three tables. A batch
-    writes its own partition and overwrites it when it is repeated."""
+TABLES = ("documents", "quarantine", "objects")
+
+
+def ingest_batch(out: str, watch: Callable[[int, str], None] | None = None):
+    """A ``foreachBatch`` step: valid documents, problems and known contents go to three tables, and a row of the ledger
+    last. A batch counts from that row on; one that failed before it is repeated and overwrites its own partitions, and
+    readers (``ingested``) do not see what it left. ``watch`` is called with batch and table before each write."""
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = docs.candidates(batch).withColumn("sha256", F.sha2("content", 256)).dropDuplicates(["sha256"])
-        if _exists(spark, f"{out}/objects"):
-            known = spark.read.parquet(f"{out}/objects").filter(F.col("batch") != batch_id).select("sha256")
+        if _exists(spark, f"{out}/ledger"):
+            known = ingested(spark, out, "objects").filter(F.col("batch") != batch_id).select("sha256")
             fresh = fresh.join(known, "sha256", "left_anti")
         loaded = docs.load(fresh.select("path", "content"))
-        opts = {"partitionOverwriteMode": "dynamic"}
 
         def write(df: DataFrame, name: str) -> None:
-            df.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").options(**opts).partitionBy("batch").parquet(f"{out}/{name}")
+            if watch:
+                watch(batch_id, name)
+            df.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{out}/{name}")
 
-        write(loaded.good, "documents")
-        write(loaded.problems, "quarantine")
-        write(loaded.parsed.select("sha256", "path"), "objects")
+        for name, df in zip(TABLES, (loaded.good, loaded.problems, loaded.parsed.select("sha256", "path")), strict=True):
+            write(df, name)
+        write(loaded.parsed.agg(F.count("*").alias("files")), "ledger")
     return run
 
 
-def ingest_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, max_files: int = 1000) -> StreamingQuery:
-    return (inbox(spark, folder, max_files).writeStream.foreachBatch(ingest_batch(out)).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+def ingested(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """A table as far as its batches are complete."""
+    done = spark.read.parquet(f"{out}/ledger").select("batch")
+    return spark.read.parquet(f"{out}/{name}").join(F.broadcast(done), "batch", "left_semi")  # a row a batch
+
+
+def ingest_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, max_files: int = 1000, source: DataFrame | None = None,
+                  watch: Callable[[int, str], None] | None = None) -> StreamingQuery:
+    """The inbox (or a ``source`` of path and content) drained into the tables of ``out``."""
+    rows = inbox(spark, folder, max_files) if source is None else source
+    return rows.writeStream.foreachBatch(ingest_batch(out, watch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def view_counts(views: DataFrame) -> DataFrame:

@@ -3,12 +3,13 @@
 import datetime as dt
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from litgraph.operators import resolution as rs
 from litgraph.plans import ingest, rebuild
 from litgraph.sources import documents as d
-from litgraph.streaming import feeds
+from litgraph.streaming import cards, feeds
 
 DEEP = """rxf_version: 1
 depth: deep
@@ -153,3 +154,47 @@ def test_inbox_stream_routes_and_ignores_repeats(spark, tmp_path):
     feeds.ingest_stream(spark, str(box), out, str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(f"{out}/documents").count() == 2 and spark.read.parquet(f"{out}/quarantine").count() == 1
     assert spark.read.parquet(f"{out}/objects").count() == 3
+
+
+def test_failed_batch_is_repeated_and_unseen(spark, tmp_path):
+    box, out = tmp_path / "in", str(tmp_path / "out")
+    box.mkdir()
+    (box / "a.yaml").write_text(DEEP)
+    feeds.ingest_stream(spark, str(box), out, str(tmp_path / "cp")).awaitTermination()
+    (box / "b.yaml").write_text("rxf_version: 9\n")
+    (box / "c.yaml").write_text(LIGHT)
+    calls = []
+
+    def stop(batch, table):
+        calls.append((batch, table))
+        if calls == [(1, "documents"), (1, "quarantine")]:
+            raise RuntimeError("stopped")
+
+    with pytest.raises(StreamingQueryException):
+        feeds.ingest_stream(spark, str(box), out, str(tmp_path / "cp"), watch=stop).awaitTermination()
+    assert feeds.ingested(spark, out, "documents").count() == 1  # the half-written batch is not seen
+    feeds.ingest_stream(spark, str(box), out, str(tmp_path / "cp"), watch=stop).awaitTermination()
+    assert [feeds.ingested(spark, out, n).count() for n in feeds.TABLES] == [2, 1, 3]
+    feeds.ingest_stream(spark, str(box), out, str(tmp_path / "cp")).awaitTermination()
+    assert spark.read.parquet(f"{out}/ledger").count() == 2
+
+
+def test_card_states_with_late_reviews_and_lost_state(spark, tmp_path):
+    def review(name, rows):
+        spark.createDataFrame(rows, "card_id string, rating int, at string").selectExpr("card_id", "rating", "cast(at as timestamp) reviewed_at").coalesce(1).write.mode(
+            "append").parquet(str(tmp_path / "log"))
+
+    def drain():
+        schema = "card_id string, rating int, reviewed_at timestamp"
+        n = cards.drain(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log")), str(tmp_path))
+        return n, {r["card_id"]: (r["reviews"], r["lapses"], r["last_rating"]) for r in cards.cards(spark, str(tmp_path)).collect()}
+
+    review("one", [("a", 3, "2024-01-05"), ("a", 1, "2024-01-03"), ("b", 2, "2024-01-01")])
+    assert drain() == (0, {"a": (2, 1, 3), "b": (1, 0, 2)})
+    review("late", [("a", 1, "2024-01-01"), ("b", 4, "2024-01-09")])  # the first is older than what the state has
+    assert drain() == (0, {"a": (3, 2, 3), "b": (2, 0, 4)})
+    for f in (tmp_path / "checkpoint-0" / "state").rglob("*"):
+        if f.is_file() and f.suffix in (".zip", ".changelog", ".delta", ".snapshot"):
+            f.write_bytes(b"no state")
+    review("after", [("c", 1, "2024-01-10"), ("a", 2, "2024-01-11")])
+    assert drain() == (1, {"a": (4, 2, 2), "b": (2, 0, 4), "c": (1, 1, 1)})
