@@ -1,4 +1,11 @@
-"""A corpus from raw documents to packed training sequences: quality, toxicity, near-duplicates, packing."""
+"""A corpus from raw documents to packed training sequences: quality, toxicity, near-duplicates, packing.
+
+Every stage works on all rows that the one before it kept, and returns them with all their columns, whatever their names
+(the last one returns pieces). Cases: null and empty texts fail the base rules and go; very long texts pass whole;
+repeated rows are judged each and are one group of near-duplicates, of which one row stays; of rows of several ids that
+of the smallest stays, a row without an id only where no other is; ties in labels count as toxic. An empty table gives
+no pieces, one without labels loses nothing to toxicity.
+"""
 
 from __future__ import annotations
 
@@ -38,7 +45,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality_rules), ("toxicity", toxicity_filter), ("near-duplicates", near_duplicates), ("packing", packed)]
 
-# A learned stage has no SQL; the tests compare each stage with a brute-force version.
+# A learned stage has no SQL; tests/llm/test_pipeline.py compares each stage with a brute-force version.
 ORACLE_SQL = None
 
 
