@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.keys import card_id
 from ..functions.text import norm
 from ..model import EDGE_TYPES, STATUS_RANK, Library
-from ..session import cut
+from ..session import cut, global_row_number
 from . import lookups as lk
-from .graph import rank_in
 
 # The operations and the fields each needs.
 REQUIRED = {
@@ -140,16 +139,12 @@ def current(extractions: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def stable_ids(new: DataFrame, old: DataFrame) -> DataFrame:
-    """(key, id): known keys keep their id, new ones get ids above every id ever used, in hash order. The
-    hash prefix is the partition of the numbering, so no task sees all keys. old(key, id)."""
+    """(key, id): known keys keep their id, new ones get ids above every id ever used, in hash order. The order is cut
+    into ranges that are numbered each, so no task sees all keys. old(key, id)."""
     kept = new.select("key").join(old.select("key", "id"), "key")
-    fresh = new.select("key").join(old.select("key"), "key", "left_anti").withColumn("_h", F.md5("key")).withColumn("_p", F.substring("_h", 1, 3))
-    from pyspark.sql import Window
-    sizes = fresh.groupBy("_p").agg(F.count("*").alias("_n"))  # at most 4096 rows
-    off = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    fresh = new.select("key").join(old.select("key"), "key", "left_anti").withColumn("_h", F.md5("key"))
     top = old.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    numbered = fresh.withColumn("_r", rank_in(["_p"], [F.col("_h"), F.col("key")])).join(off, "_p").select("key", (top + F.col("_o") + F.col("_r")).alias("id"))
-    return kept.unionByName(numbered)
+    return kept.unionByName(global_row_number(fresh, [F.col("_h"), F.col("key")], "id", start=top).select("key", "id"))
 
 
 def restamped(extractions: DataFrame, paper_of: DataFrame) -> DataFrame:

@@ -34,14 +34,28 @@ def topic_page(lib: Library, root: str, per_column: int = 150, role: str | None
                        F.coalesce("year", F.lit(-1)).alias("year"), "contested")
 
 
-def without_repeats(log: DataFrame, order: str, values: list[str], bucket: int = 1_000_000) -> DataFrame:
-    """The log rows that differ from the row before them in the whole log. The order column is cut
-    into buckets: inside one the previous row is a lag, across buckets it is the last row of the
-    nearest earlier bucket, so only one row per bucket meets in one place."""
+def carried(rows: DataFrame, key: str, value: str, fan: int = 1000) -> DataFrame:
+    """(key, before): the value of the row with the next smaller whole number ``key``, by a tree of buckets of ``fan`` keys:
+    inside a bucket it is a lag, before its first row the last one of the nearest earlier bucket, found the same way. No
+    window has more than ``fan`` rows."""
+    lo, hi = rows.agg(F.min(key), F.max(key)).first()
+    if lo is None or hi - lo < fan:
+        return rows.select(key, F.lag(value).over(Window.orderBy(key)).alias("before"))
+    b = rows.select(key, value, F.floor(F.col(key) / fan).alias("_g"))
+    lasts = b.groupBy("_g").agg(F.max_by(value, key).alias("_last"))
+    outer = carried(cut(lasts), "_g", "_last", fan).withColumnRenamed("before", "_outer")
+    first = F.row_number().over(Window.partitionBy("_g").orderBy(key)) == 1
+    inner = b.withColumn("_lag", F.lag(value).over(Window.partitionBy("_g").orderBy(key))).withColumn("_first", first)
+    return inner.join(outer, "_g", "left").select(key, F.when(F.col("_first"), F.col("_outer")).otherwise(F.col("_lag")).alias("before"))
+
+
+def without_repeats(log: DataFrame, order: str, values: list[str], bucket: int = 1000) -> DataFrame:
+    """The log rows that differ from the row before them in the whole log. The order column is cut into buckets: inside
+    one the previous row is a lag, across buckets it is the last row of the nearest earlier one, found in a tree."""
     b = log.withColumn("_b", F.floor(F.col(order) / bucket))
     val = F.struct(*values)
-    lasts = b.groupBy("_b").agg(F.max_by(val, order).alias("_last"))
-    edge = lasts.select("_b", F.lag("_last").over(Window.orderBy("_b")).alias("_before"))
+    lasts = cut(b.groupBy("_b").agg(F.max_by(val, order).alias("_last")))
+    edge = carried(lasts, "_b", "_last", bucket).withColumnRenamed("before", "_before")
     inside = b.withColumn("_lag", F.lag(val).over(Window.partitionBy("_b").orderBy(order)))
     prev = inside.join(edge, "_b").withColumn("_prev", F.coalesce("_lag", "_before"))
     return prev.filter(F.col("_prev").isNull() | (F.col("_prev") != val)).drop("_b", "_lag", "_before", "_prev")

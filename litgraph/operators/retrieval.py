@@ -15,11 +15,12 @@ from ..functions import text as tx
 from ..functions.embed import hash_embedder
 from ..functions.entity import entity_text
 from ..model import ASSET_TYPES, SEARCH_TYPES, Library
-from ..session import broadcast_if_small, cut
+from ..session import broadcast_if_small, cut, stored
 from . import lookups as lk
 from . import rollups as ru
 from .filters import Filters, apply_filters, of_types
 from .graph import within_two_hops
+from .judging import Reranker
 from .ranking import top_per
 from .vector_index import nearest
 
@@ -157,16 +158,24 @@ def fuse(*ranked: DataFrame) -> DataFrame:
 Embed = Callable[[Column], Column]
 
 
-def lexical_scores(pairs: DataFrame, a: str, b: str, embed: Embed | None = None) -> Column | DataFrame:
-    """``pairs`` with ``rel``: the lexical score of the texts in columns ``a`` and ``b``."""
+def lexical_scores(pairs: DataFrame, a: str, b: str, embed: Embed | None = None) -> DataFrame:
+    """``pairs`` with ``rel``: the lexical score of the texts in columns ``a`` and ``b``. Each different text is normalised
+    and embedded once, whatever the number of its pairs."""
     e = embed or hash_embedder(512)
-    p = pairs.withColumn("_na", tx.norm(F.col(a))).withColumn("_nb", tx.norm(F.col(b)))
-    p = p.withColumn("_va", e(F.col(a))).withColumn("_vb", e(F.col(b)))
-    ta, ga = sc.sides(F.col("_na"))
-    tb, gb = sc.sides(F.col("_nb"))
-    p = p.withColumn("_ta", ta).withColumn("_tb", tb).withColumn("_ga", ga).withColumn("_gb", gb)
-    rel = sc.lexical(F.col("_ta"), F.col("_tb"), F.col("_ga"), F.col("_gb"), sc.cosine(F.col("_va"), F.col("_vb")))
-    return p.withColumn("rel", F.round(rel, 4)).drop("_na", "_nb", "_va", "_vb", "_ta", "_tb", "_ga", "_gb")
+    texts = pairs.select(F.col(a).alias("t")).unionByName(pairs.select(F.col(b).alias("t"))).distinct()
+    words, grams = sc.sides(F.col("n"))
+    known = texts.select("t", tx.norm(F.col("t")).alias("n"), e(F.col("t")).alias("vec")).select("t", F.struct(words.alias("t"), grams.alias("g"), F.col("vec").alias("v")).alias("f"))
+    known = stored(known, "texts")
+    p = pairs
+    for side, c in (("_a", a), ("_b", b)):
+        p = p.join(known.select(F.col("t").alias(f"{side}t"), F.col("f").alias(side)), F.col(c).eqNullSafe(F.col(f"{side}t")), "left").drop(f"{side}t")
+    rel = sc.lexical(F.col("_a.t"), F.col("_b.t"), F.col("_a.g"), F.col("_b.g"), sc.cosine(F.col("_a.v"), F.col("_b.v")))
+    return p.withColumn("rel", F.round(rel, 4)).drop("_a", "_b")
+
+
+def lexical(embed: Embed | None = None) -> Reranker:
+    """The built-in reranker."""
+    return lambda pairs, a, b: lexical_scores(pairs, a, b, embed)
 
 
 def indexed(lib: Library) -> DataFrame:
@@ -185,10 +194,10 @@ def names_of(lib: Library, keys: DataFrame, n: int | None = None) -> DataFrame:
 
 
 def search(lib: Library, questions: DataFrame, vectors: DataFrame, f: Filters = Filters(), limit: int = 20, offset: int = 0,
-           rerank_top: int = 50, embed: Embed | None = None, lists: int = 200) -> DataFrame:
+           rerank_top: int = 50, embed: Embed | None = None, lists: int = 200, rerank: Reranker | None = None) -> DataFrame:
     """(q, key, score, relevance, pos): vector, keyword and two-character Han lists fused, the head reranked. The
     filters apply to the corpus, so a narrow one loses no hit; ``lists`` and ``rerank_top`` are ranking depths. Keywords
-    are looked for in the texts and in all names. vectors(key, vec)."""
+    are looked for in the texts and in all names. ``rerank`` scores the head's pairs. vectors(key, vec)."""
     e = embed or hash_embedder()
     texts = indexed(lib).filter(F.col("type").isin(*f.types))
     keep = apply_filters(lib, lib.entity, f).select("key")
@@ -207,7 +216,7 @@ def search(lib: Library, questions: DataFrame, vectors: DataFrame, f: Filters =
     pairs = (head.filter(F.col("place") <= rerank_top).join(texts, "key").join(names_of(lib, head), "key", "left")
              .join(questions.select("q", F.col("text").alias("qtext")), "q")
              .withColumn("doc", F.concat_ws("\n", "text", "names")))
-    rel = lexical_scores(pairs, "qtext", "doc", embed).select("q", "key", "rel")
+    rel = (rerank or lexical(embed))(pairs, "qtext", "doc").select("q", "key", "rel")
     scored = head.join(rel, ["q", "key"], "left").withColumn(
         "score", F.round(F.when(F.col("rel").isNotNull(), 1 + F.col("rel")).otherwise(F.col("fused")), 4))
     out = top_per(scored, ["q"], [F.desc("score"), F.desc("fused"), F.col("key")], limit, offset, rank="pos")
@@ -215,11 +224,11 @@ def search(lib: Library, questions: DataFrame, vectors: DataFrame, f: Filters =
 
 
 def recall(lib: Library, contexts: DataFrame, vectors: DataFrame, views: DataFrame, now: Column, limit: int = 5, floor: float = 0.25,
-           types: tuple[str, ...] = ASSET_TYPES + ("work",), embed: Embed | None = None) -> DataFrame:
+           types: tuple[str, ...] = ASSET_TYPES + ("work",), embed: Embed | None = None, rerank: Reranker | None = None) -> DataFrame:
     """(q, key, relevance, forgetting, score, pos): what is relevant to each context and not looked at
     for long. Blank contexts give nothing. contexts(q, text), views(entity_key, last_seen_at)."""
     asked = contexts.filter(F.length(F.trim("text")) > 0).select("q", "text")
-    hits = search(lib, asked, vectors, Filters(types=types, include_candidates=False), limit=50, embed=embed)
+    hits = search(lib, asked, vectors, Filters(types=types, include_candidates=False), limit=50, embed=embed, rerank=rerank)
     hits = hits.filter(F.coalesce("relevance", F.lit(0.0)) >= floor)
     seen = views.select(F.col("entity_key").alias("key"), "last_seen_at")
     rows = hits.join(lib.entity.select("key", "origin", "created_at"), "key").join(seen, "key", "left")
@@ -292,31 +301,27 @@ def synthesis_candidates(lib: Library, vectors: DataFrame, community: DataFrame,
 
 
 def tuned_delta(feedback: DataFrame, start: float = 0.0, step: float = 0.02, target: float = 0.2, bound: float = 0.15,
-                bucket: int = 100_000) -> DataFrame:
-    """(model, delta): the offset feedback has taught, in order, clamped after every step. A clamped
-    step is x -> min(high, max(low, x + c)), and such functions compose to one of the same form, so
-    each run of ``bucket`` rows folds on its own and the runs fold after. feedback(model, id, useful)."""
+                fan: int = 1000) -> DataFrame:
+    """(model, delta): the offset feedback has taught, in order, clamped after every step. A clamped step is
+    x -> min(high, max(low, x + c)), and such functions compose to one of the same form, so they are folded in a tree: a
+    list holds the ``fan`` functions of one stretch of ids, or of stretches, at most. feedback(model, id, useful)."""
     move = F.when(F.col("useful"), -step * (1 - target)).otherwise(step * target)
-
-    def clamp(x: Column) -> Column:
-        return F.least(F.lit(bound), F.greatest(F.lit(-bound), x))
-
     wide = F.lit(1e9)
-    rows = feedback.select("model", "id", F.floor(F.col("id") / bucket).alias("pos"), move.alias("c"),
-                           F.lit(-bound).alias("lo"), F.lit(bound).alias("hi"))
     ident = F.struct(F.lit(0.0).alias("c"), (-wide).alias("lo"), wide.alias("hi"))
 
     def then(f: Column, g: Column) -> Column:
         inner = lambda x: F.least(g["hi"], F.greatest(g["lo"], x + g["c"]))
         return F.struct((f["c"] + g["c"]).alias("c"), inner(f["lo"]).alias("lo"), inner(f["hi"]).alias("hi"))
 
-    def fold(df: DataFrame, group: list[str], order: str) -> DataFrame:
-        steps = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "c", "lo", "hi")))
-        return df.groupBy(*group).agg(F.aggregate(steps, ident, then).alias("f")).select(*group, "f.c", "f.lo", "f.hi")
-
-    runs = fold(rows, ["model", "pos"], "id")
-    whole = fold(runs, ["model"], "pos")
-    return whole.select("model", F.round(F.least("hi", F.greatest("lo", F.lit(start) + F.col("c"))), 4).alias("delta"))
+    rows = feedback.select("model", F.col("id").alias("pos"), move.alias("c"), F.lit(-bound).alias("lo"), F.lit(bound).alias("hi"))
+    lo, hi = feedback.agg(F.min("id"), F.max("id")).first()
+    while lo is not None:
+        steps = F.array_sort(F.collect_list(F.struct(F.col("pos").alias("o"), "c", "lo", "hi")))
+        rows = rows.groupBy("model", F.floor(F.col("pos") / fan).alias("pos")).agg(F.aggregate(steps, ident, then).alias("f")).select("model", "pos", "f.c", "f.lo", "f.hi")
+        lo, hi = lo // fan, hi // fan
+        if lo == hi:
+            break
+    return rows.select("model", F.round(F.least("hi", F.greatest("lo", F.lit(start) + F.col("c"))), 4).alias("delta"))
 
 
 def prune_vector_cache(cache: DataFrame, texts: DataFrame, model: str) -> DataFrame:

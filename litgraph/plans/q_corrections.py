@@ -47,6 +47,29 @@ def _(t):
     return lib.entity.groupBy("type", "status").agg(F.count("*").alias("n"))
 
 
+@register("d01_edge_lineages", """
+    WITH mg AS (SELECT 'asset:'||a AS f, arg_min('asset:'||b, d.id) AS i, min(d.id) AS mid FROM dec d JOIN ent x ON x.key='asset:'||a JOIN ent y ON y.key='asset:'||b
+      WHERE op='merge' AND revoked_at IS NULL AND a%2=1 AND b%2=0 AND x.type=y.type GROUP BY 1),
+    oa AS (SELECT d.id, coalesce(CASE WHEN d.id>mg.mid THEN mg.i END, 'asset:'||a) AS src, 'topic:s'||b AS dst, CASE WHEN value>50 THEN 'rejected' ELSE 'confirmed' END AS st
+      FROM dec d LEFT JOIN mg ON mg.f='asset:'||a WHERE op='edge_status' AND revoked_at IS NULL),
+    lv AS (SELECT src||'|'||dst AS lid, src, dst, status, -1::BIGINT AS since FROM edg WHERE type='applicable_to'
+      UNION ALL SELECT 'd'||id, src, dst, 'confirmed', id FROM oa WHERE st='confirmed' AND src IN (SELECT key FROM ent) AND dst IN (SELECT key FROM ent)),
+    pc AS (SELECT lid, dst, src AS k, since AS a, coalesce(mg.mid, 9000000000000000000) AS z FROM lv LEFT JOIN mg ON mg.f=lv.src AND mg.mid>since
+      UNION ALL SELECT lid, dst, mg.i, mg.mid, 9000000000000000000 FROM lv JOIN mg ON mg.f=lv.src AND mg.mid>since),
+    lw AS (SELECT lid, arg_max(st, oa.id) AS st FROM pc JOIN oa ON oa.src=pc.k AND oa.dst=pc.dst AND oa.id>pc.a AND oa.id<=pc.z GROUP BY lid),
+    fin AS (SELECT coalesce(mg.i, lv.src) AS src, lv.dst, coalesce(lw.st, lv.status) AS st FROM lv LEFT JOIN mg ON mg.f=lv.src AND mg.mid>lv.since LEFT JOIN lw USING (lid))
+    SELECT src, dst, CASE max(CASE st WHEN 'rejected' THEN 2 WHEN 'confirmed' THEN 1 ELSE 0 END) WHEN 2 THEN 'rejected' WHEN 1 THEN 'confirmed' ELSE 'auto' END AS status FROM fin GROUP BY 1,2""")
+def _(t):
+    """Statuses of asset-topic edges, decided before and after merges of their assets."""
+    d = star.decisions(t)
+    asset = F.concat(F.lit("asset:"), "a")
+    merge = F.to_json(F.struct(asset.alias("from"), F.concat(F.lit("asset:"), "b").alias("into")))
+    said = F.to_json(F.struct(asset.alias("src"), F.concat(F.lit("topic:s"), "b").alias("dst"), F.lit("applicable_to").alias("type"), F.when(F.col("value") > 50, "rejected").otherwise("confirmed").alias("status")))
+    d = d.filter("(op = 'merge' and a % 2 = 1 and b % 2 = 0) or op = 'edge_status'").withColumn("payload", F.when(F.col("op") == "merge", merge).otherwise(said))
+    lib, _skipped = replay.apply_all(t.library.with_(), d)
+    return lib.edge.filter("type = 'applicable_to'").select("src", "dst", "status")
+
+
 @register("d01_rejected_entities", f"""WITH {MERGES}, rj AS (SELECT DISTINCT 'asset:'||(a+b) AS key FROM dec WHERE op='reject_entity' AND revoked_at IS NULL)
     SELECT key FROM ent WHERE key IN (SELECT key FROM rj) AND key NOT IN (SELECT f FROM mg WHERE ft=it AND f<>i) AND key NOT IN (SELECT i FROM mg WHERE ft=it AND f<>i)""")
 def _(t):

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.keys import card_id, free_key
+from ..operators import judging as jd
 from ..operators import resolution as rs
+from ..operators.ranking import top_per
 from ..operators import rollups as ru
 from ..sources import star
 from . import ingest
@@ -103,14 +105,72 @@ def _(t):
     return ru.fold_statements(rows).select("src", "dst", "type")
 
 
-@register("c09_retro_tag")
-def _(t):
+def retro(t, **kw):
+    """The topic 'red widget' looked for in every paper and asset."""
     from .q_retrieval import vectors_of
     from ..operators.retrieval import indexed
     lib = t.library
     tagged = ru.tagged(lib).filter("dst = 'topic:s3'").select(F.col("src").alias("key")).distinct()
-    queue, left = rs.retro_tag("topic:s3", "red widget\nsmall metal parts", "red widget", indexed(lib), vectors_of(lib), tagged, star.queue(t).select("dedupe_key"))
-    return queue.select("key", "score").unionByName(left.select(F.lit("remaining").alias("key"), F.col("remaining").cast("double").alias("score")))
+    return rs.retro_tag("topic:s3", "red widget\nsmall metal parts", "red widget", indexed(lib), vectors_of(lib), tagged, star.queue(t).select("dedupe_key"), **kw)
+
+
+@register("c09_retro_tag")
+def _(t):
+    found = retro(t)
+    return found.queue.select("key", "score").unionByName(found.remaining.select(F.lit("remaining").alias("key"), F.col("remaining").cast("double").alias("score")))
+
+
+@register("c09_retro_judged", """
+    WITH tg AS (SELECT DISTINCT src FROM edg WHERE type IN ('about','applicable_to') AND status<>'rejected' AND dst='topic:s3'),
+    c AS (SELECT key, type, list_distinct(regexp_extract_all(lower(canonical_name),'[a-z0-9]+')) AS w FROM ent WHERE type IN ('work','dataset','method','idea') AND key NOT IN (SELECT src FROM tg)),
+    j AS (SELECT key, type, CASE WHEN list_contains(w,'red') AND list_contains(w,'widget') THEN 'assign' WHEN list_contains(w,'red') OR list_contains(w,'widget') THEN 'ask' END AS way FROM c)
+    SELECT way, CASE WHEN way='assign' THEN key ELSE '' END AS key, CASE WHEN way='assign' THEN CASE type WHEN 'work' THEN 'about' ELSE 'applicable_to' END ELSE '' END AS relation, count(*) AS n FROM j WHERE way IS NOT NULL GROUP BY 1,2,3
+    UNION ALL SELECT 'asked again', '', '', 0""")
+def _(t):
+    """Every candidate judged by rules: sure ones become statements, unsure ones questions, and a second run on the
+    remembered verdicts asks nobody about what was sure."""
+    th = rs.Thresholds(retro_k=10**9, retro_rerank_min=-1.0, retro_queue_max=10**9)
+    rules = jd.rule_relation()
+    found = retro(t, th=th, judge=rules)
+    made = rs.retro_statements(found.assigned, 7, rules.name)
+    again = retro(t, th=th, judge=rules, memo=found.memo, at=1)
+    one = ru.fold_statements(made).select(F.lit("assign").alias("way"), F.col("src").alias("key"), F.col("type").alias("relation"), F.lit(1).cast("long").alias("n"))
+    asks = found.queue.agg(F.lit("ask").alias("way"), F.lit("").alias("key"), F.lit("").alias("relation"), F.count("*").alias("n"))
+    return one.unionByName(asks).unionByName(again.memo.agg(F.lit("asked again").alias("way"), F.lit("").alias("key"), F.lit("").alias("relation"), F.count("*").alias("n")))
+
+
+NEAR_CLAIMS = """cl AS (SELECT p_partkey AS k, p_name, p_name||CASE WHEN p_size%5=0 THEN ' not ' ELSE ' ' END||lower(p_type) AS txt, p_size%5=0 AS neg,
+      list_distinct(string_split(p_name||' '||lower(p_type),' ')) AS w, list_distinct(string_split(p_name||CASE WHEN p_size%5=0 THEN ' not ' ELSE ' ' END||lower(p_type),' ')) AS full FROM part),
+    nr AS (SELECT * FROM (SELECT a.k AS key, b.k AS cand, row_number() OVER (PARTITION BY a.k ORDER BY b.k DESC) AS rank, a.neg<>b.neg AS opp, len(list_intersect(a.w,b.w))=len(b.w) AS ab,
+      len(list_intersect(a.w,b.w))=len(a.w) AS ba, round(len(list_intersect(a.full,b.full))/(len(a.full)+len(b.full)-len(list_intersect(a.full,b.full))),4) AS p
+      FROM cl a JOIN cl b ON a.p_name=b.p_name AND b.k<a.k) WHERE rank<=5),
+    st AS (SELECT key, min(rank) AS stop FROM nr WHERE NOT opp AND ab AND ba GROUP BY 1),
+    vd AS (SELECT key, cand, CASE WHEN NOT opp AND ab AND ba THEN 'same' WHEN NOT opp AND ab THEN 'supports' WHEN opp THEN 'contradiction' END AS verdict, p FROM nr LEFT JOIN st USING (key) WHERE stop IS NULL OR rank<=stop)"""
+
+
+def claim_neighbours(t):
+    """Each part's claim and the five parts of its name before it."""
+    c = t.part.select(F.col("p_partkey").alias("k"), "p_name", F.concat("p_name", F.when(F.col("p_size") % 5 == 0, " not ").otherwise(" "), F.lower("p_type")).alias("x"))
+    pairs = c.select(F.col("k").alias("key"), "p_name", F.col("x").alias("a")).join(c.select(F.col("k").alias("cand"), "p_name", F.col("x").alias("b")), "p_name").filter("cand < key")
+    return top_per(pairs, ["key"], [F.desc("cand")], 5, rank="rank").select("key", "cand", "rank", "a", "b")
+
+
+@register("c03_staged_entailment", f"WITH {NEAR_CLAIMS} SELECT key, cand, verdict, p FROM vd WHERE verdict IS NOT NULL")
+def _(t):
+    return jd.staged_entailment(claim_neighbours(t), jd.rule_entailment())[0]
+
+
+@register("n05_verdict_memory", f"""WITH {NEAR_CLAIMS}, q AS (SELECT nr.key, nr.cand, a.txt AS x, b.txt AS y FROM nr LEFT JOIN st USING (key) JOIN cl a ON a.k=nr.key JOIN cl b ON b.k=nr.cand WHERE stop IS NULL OR rank<=stop)
+    SELECT 'first' AS run, count(*) AS asked FROM (SELECT x, y FROM q UNION SELECT y, x FROM q) UNION ALL SELECT 'second', 0 UNION ALL SELECT 'another judge', count(*) FROM (SELECT x, y FROM q UNION SELECT y, x FROM q)""")
+def _(t):
+    """How many different questions each run asks: the first all, the second none, another judge all again."""
+    near = claim_neighbours(t)
+    rules = jd.rule_entailment()
+    _, memo = jd.staged_entailment(near, rules)
+    _, more = jd.staged_entailment(near, rules, memo, at=1)
+    _, other = jd.staged_entailment(near, jd.Judge("others", rules.ask), memo, at=1)
+    count = lambda df, run: df.agg(F.lit(run).alias("run"), F.count_distinct("digest").alias("asked"))
+    return count(memo, "first").unionByName(count(more, "second")).unionByName(count(other, "another judge"))
 
 
 @register("j10_acronyms", """

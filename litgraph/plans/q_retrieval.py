@@ -269,7 +269,7 @@ def _(t):
     FROM (SELECT event_id AS id, event_type AS model, value>90 AS useful FROM events) GROUP BY 1""")
 def _(t):
     fb = t.events.selectExpr("concat('m', event_type) model", "event_id id", "value > 90 useful")
-    return rt.tuned_delta(fb, bucket=1000)
+    return rt.tuned_delta(fb)
 
 
 @register("v16_weekly_digest", """

@@ -76,7 +76,7 @@ def test_threshold_folds_like_a_loop(spark):
     x = 0.0
     for _m, _i, useful in rows:
         x = max(-0.15, min(0.15, x + (-0.016 if useful else 0.004)))
-    got = rt.tuned_delta(spark.createDataFrame(rows, "model string, id long, useful boolean"), bucket=37).first()["delta"]
+    got = rt.tuned_delta(spark.createDataFrame(rows, "model string, id long, useful boolean"), fan=37).first()["delta"]
     assert abs(got - round(x, 4)) < 1e-9
 
 

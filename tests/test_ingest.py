@@ -122,12 +122,6 @@ def test_an_acronym_is_a_question(spark):
     assert {(r["kind"], r["a"], r["b"], r["score"]) for r in res.queue.collect()} == {("merge", "method:srdm", "method:spatially resolved domain mapper", 0.6)}
 
 
-def test_entailment_verdicts(spark):
-    p = spark.createDataFrame([("k", "a", 1, "entailment", "neutral", .9), ("k", "b", 2, "entailment", "entailment", .9), ("k", "c", 3, "contradiction", "neutral", .8),
-                               ("z", "a", 1, "neutral", "contradiction", .7)], "key string, cand string, rank int, forward string, backward string, p double")
-    assert {(r["key"], r["cand"], r["verdict"]) for r in rs.same_by_entailment(p).collect()} == {("k", "b", "same"), ("z", "a", "contradiction")}
-
-
 def test_rebuild_twice_keeps_ids_and_publishes(spark, docs, tmp_path):
     ex = docs.withColumn("is_current", F.lit(True))
     none = spark.createDataFrame([], "id long, reason string")
