@@ -54,10 +54,11 @@ def fold(events: DataFrame) -> DataFrame:
     ordered = Window.partitionBy("conv_id").orderBy("seq", "_rank", "turn", "text")
     later = Window.partitionBy("conv_id").orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, -1)
     of_turn = Window.partitionBy("conv_id", "turn")
+    place = F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 63)))  # a null turn stands before all others
     placed = (events.select("conv_id", "seq", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), kind.alias("_kind"), rank.alias("_rank"))
               .withColumn("_at", F.row_number().over(ordered))
-              .withColumn("_dropped", F.min(F.when(F.col("_kind") == "regenerate", F.col("turn"))).over(later))
-              .where("_dropped is null or turn <= _dropped")
+              .withColumn("_dropped", F.min(F.when(F.col("_kind") == "regenerate", place)).over(later))
+              .where(F.col("_dropped").isNull() | (place <= F.col("_dropped")))
               .withColumn("role", F.max_by("role", F.when(F.col("role").isNotNull(), F.col("_at"))).over(of_turn))
               .withColumn("_reset", F.max(F.when(F.col("_kind") != "delta", F.col("_at"))).over(of_turn))
               .where("_reset is null or _at >= _reset"))

@@ -264,7 +264,11 @@ ARROW_FOUND = pa.list_(pa.struct([("paragraph", pa.int32()), ("family", pa.strin
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MAX_UNKNOWN) -> Model:
     """A model whose unknown class comes from the corpus: one paragraph each, chosen by hash, of ``most`` documents."""
     lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(r"\w"))
-    chosen = (docs.select(F.xxhash64(doc_id).alias("_h"), F.col(doc_id).alias("_id"), lines.alias("_lines")).where("size(_lines) > 0")
+    # the documents of least hash: of those with a line, about four times as many as are wanted pass the bound to the sort
+    hashed = docs.select(F.xxhash64(doc_id).alias("_h"), F.col(doc_id).alias("_id"), F.col(text).alias(text))
+    n = hashed.where(F.col(text).rlike(r"\w")).count()
+    bound = int(min(1.0, 4 * most / max(1, n)) * (1 << 64)) - (1 << 63) - 1
+    chosen = (hashed.where(F.col("_h") <= bound).select("_h", "_id", lines.alias("_lines")).where("size(_lines) > 0")
               .select("_h", "_id", F.element_at("_lines", (F.pmod("_h", F.size("_lines")) + 1).cast("int")).alias("line"))
               .orderBy("_h", "_id", "line").limit(most))
     got = [spoken(r["line"])[:PARAGRAPH_WORDS] for r in chosen.select("line").collect()]

@@ -78,7 +78,8 @@ def pack(docs: DataFrame, tokenizer: str, seq_len: int = 2048, end_id: int = 1,
     the piece's estimated attention cost."""
     groups = max(1, -(-docs.count() // group_rests))
     whole = pieces(docs, tokenizer, seq_len, end_id, doc_id, text)
-    group = F.pmod(F.xxhash64("doc_id", F.when(F.col("length") == seq_len, F.col("start"))), F.lit(groups))
+    # by place in its partition as well, so that rows that repeat an id, or have none, do not gather in one group
+    group = F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(groups))
     dealt = (whole.withColumn("_group", group).repartition("_group")
              .sortWithinPartitions("_group", F.desc("length"), "doc_id", "start", "doc_tokens"))
 

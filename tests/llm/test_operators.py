@@ -191,6 +191,21 @@ def test_chat_fold_and_round_trip(spark):
     assert chat.digests(chat.render(chat.fold(log.limit(0)))).count() == 0
 
 
+def test_null_turns_stand_first(spark):
+    e = [(1, 1, "message", None, "system", "rules"), (1, 2, "message", 1, "user", "q"), (1, 3, "message", 2, "assistant", "old"), (1, 4, "regenerate", 1, None, ""), (1, 5, "delta", 1, None, "new"),
+         (2, 1, "message", None, "user", "a"), (2, 2, "message", 0, "user", "gone"), (2, 3, "regenerate", None, None, ""), (2, 4, "delta", None, None, "b")]
+    log = spark.createDataFrame(e, "conv_id long, seq long, kind string, turn long, role string, text string")
+    got = sorted(((r["conv_id"], r["turn"], r["text"]) for r in chat.fold(log).collect()), key=repr)
+    assert got == sorted([(1, None, "rules"), (1, 1, "new"), (2, None, "b")], key=repr)
+
+
+def test_rests_of_one_id_are_spread(spark):
+    df = spark.createDataFrame([(7 if i % 3 else i, f"text of row {i}") for i in range(600)], "doc_id long, text string").repartition(4)
+    rows = packing.pack(df, local_tokenizer(), seq_len=64, group_rests=20).collect()
+    sizes = collections.Counter(r["sequence_id"] >> 32 for r in rows)
+    assert max(sizes.values()) < 80 and sum(r["length"] for r in rows) == sum({(i): r["doc_tokens"] for i, r in enumerate(rows) if r["start"] == 0}.values())
+
+
 def test_shards_are_even_and_gapless(spark, docs, none):
     rows = [(i, int(h), 8 + i % 50) for i in range(4000) for h in [hash(str(i)) % 1000 if i % 3 else 7]]
     df = spark.createDataFrame(rows + [(None, None, None)] * 2, "id long, key long, size long")
