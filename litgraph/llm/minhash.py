@@ -42,9 +42,10 @@ BANDS, ROWS = 40, 5
 GROUPS = ((0, 2), (2, BANDS))  # bands whose buckets are compared with their smallest class at once
 BLOCK = 512  # classes of a bucket that meet another block in one task
 HOT = 2048  # classes of a bucket, from which on joins by bucket deal its rows over several keys
-FIRST_BEST = 4  # partners of a class in another component and block that go first
+FIRST_BEST = 64  # partners of a class in another component and block that go first
 PAIRS = 40_000  # pairs whose minima are compared at once
 BINS = 1024  # of the sketch that pairs must agree in as well
+SMALL = 256  # shingles of a set that its sketch holds whole
 HUB_ROWS = 32  # texts that share one copy of their hub's text
 SIGMAS = 5.0
 
@@ -79,13 +80,27 @@ def minima(shingle: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sketch(shingle: np.ndarray) -> bytes:
-    """One byte for each of BINS ranges of the hashes: of the least one in it, 255 where there is none. A set of few
-    shingles is nearly all in it."""
-    bins = (shingle >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    """Of a set of up to SMALL shingles all of them, 32 bits each (the first and last 16 of the hash, in its order); of
+    a larger one its ``binned`` sketch."""
+    if len(shingle) <= SMALL:
+        return (shingle >> np.uint64(48) << np.uint64(16) | shingle & np.uint64(0xFFFF)).astype("<u4").tobytes()
+    return binned(shingle >> np.uint64(64 - BINS.bit_length() + 1), shingle & np.uint64(0xFFFF)).tobytes()
+
+
+def binned(bins: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """One byte for each of BINS ranges of the hashes: of the least one in it, 255 where there is none."""
     first = np.flatnonzero(np.append(True, bins[1:] != bins[:-1])[:len(bins)])
     out = np.full(BINS, 255, np.uint8)
-    out[bins[first]] = (shingle[first] & np.uint64(0xFFFF)) % np.uint64(255)
-    return out.tobytes()
+    out[bins[first].astype(np.int64)] = low[first] % 255
+    return out
+
+
+def bins_of(held: bytes, n: int) -> np.ndarray:
+    """The binned sketch of a set of ``n`` shingles."""
+    if n > SMALL:
+        return np.frombuffer(held, np.uint8)
+    short = np.frombuffer(held, "<u4")
+    return binned(short >> np.uint32(33 - BINS.bit_length()), short & np.uint32(0xFFFF))
 
 
 def alike(one: np.ndarray, two: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
@@ -233,7 +248,8 @@ def meet(rows: pa.Table, least: float, per_band: int, percent: int, best: int) -
     key = [rows.column(c).to_numpy() for c in ("bucket", "kind", "i", "j")]
     node, root, band, n, side = (rows.column(c).to_numpy() for c in ("node", "root", "band", "n_shingles", "side"))
     sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), "<u2").reshape(len(node), -1)
-    bins = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
+    held = rows.column("sketch").to_pylist()
+    bins = np.stack([bins_of(h, k) for h, k in zip(held, n.tolist(), strict=True)])
     new = np.zeros(len(node), bool)
     new[:1] = True
     for k in key:
@@ -261,6 +277,9 @@ def meet(rows: pa.Table, least: float, per_band: int, percent: int, best: int) -
         for at in range(0, len(x), PAIRS // 4):
             part = slice(at, at + PAIRS // 4)
             ok[:len(x)][part] = alike(bins[x[part]], bins[y[part]], n[x[part]] + n[y[part]], percent)
+        for at in np.flatnonzero(ok[:len(x)] & (n[x] <= SMALL) & (n[y] <= SMALL)).tolist():  # at least as many are common as in fact
+            both = int(np.isin(np.frombuffer(held[x[at]], "<u4"), np.frombuffer(held[y[at]], "<u4")).sum())
+            ok[at] = 100 * both >= percent * (n[x[at]] + n[y[at]] - both)
         x, y, near = (c[ok[:len(x)]] for c in (x, y, near))
         order = np.lexsort((node[y], -near, root[y], x))
         x, y = x[order], y[order]
@@ -360,7 +379,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         found = written(across(mixed, bands * rows, rows, percent, best), "minhash-found")
         confirm(found.where("a is not null").select("a", "b").distinct())
         forget(part, open_)
-        todo, best = found.where("a is null").select("bucket").distinct(), 16 * best
+        todo, best = found.where("a is null").select("bucket").distinct(), 64 * best
         if todo.isEmpty():
             break
     return (tagged.select("doc_id", "n_shingles", "node").join(roots, "node", "left")

@@ -56,10 +56,11 @@ def test_pairs_of_cells_are_all_pairs():
     rows, bands, per = [], 8, 5
     pool = rng.integers(0, 3, (30, bands * per)).astype("<u2")
     pool[:, :per] = 1  # all share the first band, whose bucket they are in
+    same = np.arange(60, dtype=np.uint64) << np.uint64(57)
     for cell in range(4):
         kind = cell % 2
         for node in range(12):
-            rows.append((cell // 2, kind, 0, 0, 2 if kind else node % 2, 0, 100 * cell + node, 100 * cell + node // 3, 50 + node, pool[rng.integers(30)].tobytes(), bytes(minhash.BINS)))
+            rows.append((cell // 2, kind, 0, 0, 2 if kind else node % 2, 0, 100 * cell + node, 100 * cell + node // 3, 50 + node, pool[rng.integers(30)].tobytes(), minhash.sketch(same)))
     names = ["bucket", "kind", "i", "j", "side", "band", "node", "root", "n_shingles", "sig", "sketch"]
     table = pa.table({n: [r[k] for r in rows] for k, n in enumerate(names)})
 
@@ -90,7 +91,9 @@ def test_sketches_let_every_similar_pair_pass():
                 mixed = rng.permutation(union)
                 half = both + rng.integers(0, len(union) - both + 1)
                 one, two = np.sort(np.concatenate([mixed[:both], mixed[both:half]])), np.sort(np.concatenate([mixed[:both], mixed[half:]]))
-                ok = minhash.alike(*(np.frombuffer(minhash.sketch(s), np.uint8)[None] for s in (one, two)), np.array([len(one) + len(two)]), 80)[0]
+                ok = minhash.alike(*(minhash.bins_of(minhash.sketch(s), len(s))[None] for s in (one, two)), np.array([len(one) + len(two)]), 80)[0]
                 passed[size, share] += ok
+    some = np.unique(rng.integers(0, 1 << 63, 250, np.uint64) * np.uint64(2))
+    assert (minhash.bins_of(minhash.sketch(some), len(some)) == minhash.binned(some >> np.uint64(54), some & np.uint64(0xFFFF))).all()
     assert all(n == 150 for (_, share), n in passed.items() if share == 0.8)
     assert all(n <= 1 for (size, share), n in passed.items() if share == 0.6 and size >= 40)
