@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions.entity import entity_text
-from ..functions.keys import card_id, sha_hex
+from ..functions.keys import card_id, work_key
 from ..functions.scoring import strength
 from ..functions.text import alias_language, has_han, norm
 from ..operators import rollups as ru
 from ..operators.graph import components
+from ..operators.judging import Judge, Reranker
 from ..operators.lookups import first_match
 from ..operators.ranking import top_per
 from ..operators.resolution import Thresholds, resolve
@@ -46,6 +47,7 @@ class Graph:
     queue: DataFrame
     paper_of: DataFrame  # eid -> work key
     records: DataFrame   # earlier evidence of an edge
+    memo: DataFrame | None = None  # new verdicts of a pair classifier
 
 
 def modality_names(spark) -> DataFrame:
@@ -78,22 +80,27 @@ def check_taxa(docs: DataFrame, taxonomy: DataFrame) -> DataFrame:
     return own.unionByName(data).distinct().join(taxonomy, "name", "left").select("name", "taxon_id")
 
 
-def papers(docs: DataFrame) -> DataFrame:
-    """(eid, key, doi, title, year): exports of one paper share a key. They are joined by DOI or by equal
-    title in the same or the next year; an unknown year joins any."""
+def papers(docs: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+    """(eid, key, doi, title, year): exports of one paper share a key. They are joined by metadata id, by DOI or by equal
+    title in the same or the next year; an unknown year joins any. A paper is named by its metadata id, else by its DOI,
+    else by its title. metadata(eid, metadata_id)."""
+    known = docs.sparkSession.createDataFrame([], "eid long, metadata_id string") if metadata is None else metadata
+    known = known.filter("metadata_id is not null").groupBy("eid").agg(F.min("metadata_id").alias("metadata_id"))
     p = docs.select("eid", ids.doi(F.col("doc.paper.doi")).alias("doi"), F.col("doc.paper.title").alias("title"), F.col("doc.paper.year").alias("year"))
     p = p.withColumn("t", F.lower(F.trim("title"))).withColumn("node", F.concat_ws("|", F.lit("t"), "t", F.coalesce(F.col("year").cast("string"), F.lit("?"))))
+    p = p.join(known, "eid", "left")
     ty = p.select("t", "year", "node").distinct()
     nxt = ty.filter("year is not null").select("t", (F.col("year") - 1).alias("year"), F.col("node").alias("b"))
     first = ty.filter("year is not null").groupBy("t").agg(F.min_by("node", "year").alias("b"))
     pairs = (p.filter("doi is not null").select(F.concat(F.lit("d|"), "doi").alias("a"), F.col("node").alias("b"))
+             .unionByName(p.filter("metadata_id is not null").select(F.concat(F.lit("m|"), "metadata_id").alias("a"), F.col("node").alias("b")))
              .unionByName(ty.join(nxt, ["t", "year"]).select(F.col("node").alias("a"), "b"))
              .unionByName(ty.filter("year is null").join(first, "t").select(F.col("node").alias("a"), "b"))).distinct()
     nodes = p.select(F.col("node").alias("key")).unionByName(pairs.select(F.col("a").alias("key"))).distinct()
     c = components(nodes, pairs)
     g = p.join(c.withColumnRenamed("key", "node"), "node")
-    lead = g.groupBy("component").agg(F.min(F.struct("eid", "doi", "title")).alias("f"))
-    key = F.coalesce(F.concat(F.lit("work:doi:"), "f.doi"), F.concat(F.lit("work:title:"), sha_hex(norm(F.col("f.title")), 20)))
+    lead = g.groupBy("component").agg(F.min(F.struct("eid", "doi", "title")).alias("f"), F.min_by("metadata_id", F.when(F.col("metadata_id").isNotNull(), F.col("eid"))).alias("mid"))
+    key = work_key(F.col("mid"), F.col("f.doi"), norm(F.col("f.title")))
     return cut(g.join(lead.select("component", key.alias("key")), "component").select("eid", "key", "doi", "title", "year"))
 
 
@@ -153,18 +160,21 @@ def mentions(docs: DataFrame, bad: DataFrame) -> DataFrame:
 
 
 def materialize(docs: DataFrame, accessions: DataFrame | None = None, repos: DataFrame | None = None, taxonomy: DataFrame | None = None, apart: DataFrame | None = None,
-                pinned: DataFrame | None = None, th: Thresholds = Thresholds()) -> Graph:
-    """docs(eid, doc, tier, created_at) -> the derived tables. Registries and the taxonomy are tables too."""
+                pinned: DataFrame | None = None, th: Thresholds = Thresholds(), metadata: DataFrame | None = None, rerank: Reranker | None = None,
+                nli: Judge | None = None, memo: DataFrame | None = None) -> Graph:
+    """docs(eid, doc, tier, created_at) -> the derived tables. Registries and the taxonomy are tables too; scorers of pairs
+    are arguments, their new verdicts come back with the graph."""
     spark = docs.sparkSession
     docs = cut(docs)
     accessions = accessions if accessions is not None else spark.createDataFrame([], "accession string, found boolean")
     repos = repos if repos is not None else spark.createDataFrame([], "repo string, found boolean")
     taxonomy = taxonomy if taxonomy is not None else spark.createDataFrame([], "name string, taxon_id string")
     checks = check_ids(docs, accessions, repos)
-    paper = papers(docs)
+    paper = papers(docs, metadata)
     ment = cut(mentions(docs, suspects(checks)))
     probe = ment.withColumn("text", F.coalesce(entity_text(F.col("type"), F.col("name"), F.col("attrs")), F.col("name")))
-    res = resolve(probe.select("mid", "type", "name", "aliases", "origin", "text", "anchor", "auto", "seq"), apart=apart, pinned=pinned, th=th)
+    res = resolve(probe.select("mid", "type", "name", "aliases", "origin", "text", "anchor", "auto", "seq"), apart=apart, pinned=pinned, th=th,
+                  rerank=rerank, nli=nli, memo=memo)
     at = ment.join(res.assigned, "mid")
     at = cut(at.select(*ment.columns, "key"))
     stm = cut(_statements(docs, paper, at, taxonomy))
@@ -172,7 +182,7 @@ def materialize(docs: DataFrame, accessions: DataFrame | None = None, repos: Dat
     entity, alias, work = _entities(docs, paper, at, res, stm, taxonomy, checks, th, edge)
     cards = _cards(docs, paper, at, entity)
     queue = _queue(res.queue, at, paper, docs, th)
-    return Graph(entity, alias, work, edge, cards, queue, paper.select("eid", "key"), records)
+    return Graph(entity, alias, work, edge, cards, queue, paper.select("eid", "key"), records, res.memo)
 
 
 def _place(df: DataFrame, at: DataFrame, kind: int) -> DataFrame:
@@ -283,7 +293,8 @@ def _entities(docs, paper, at, res, stm, taxonomy, checks, th, edge) -> tuple[Da
         "key", "type", "canonical_name", F.col("ext").alias("external_id"), F.coalesce("mine", "origin").alias("origin"),
         F.map_concat(F.coalesce("attrs", F.expr(NO_MAP)), F.when(F.col("ext").isNotNull(), F.create_map(F.lit("verified"), F.coalesce("verified", F.lit("unverified")))).otherwise(F.expr(NO_MAP))).alias("attrs"))
     d = docs.select("eid", F.col("doc.depth").alias("depth"), F.array_join("doc.tldr", "\n").alias("tldr"), F.col("doc.paper.venue").alias("venue"),
-                    F.array_join("doc.paper.authors", "\n").alias("authors"), F.col("doc.language").alias("language")).join(paper, "eid").join(when, "eid")
+                    F.array_join("doc.paper.authors", "\n").alias("authors"), F.col("doc.language").alias("language"),
+                    ids.unwrap_link(F.col("doc.paper.url")).alias("url")).join(paper, "eid").join(when, "eid")
     rank = F.struct((F.col("depth") == "deep").cast("int").alias("deep"), "eid")
 
     def best(c: str) -> Column:
@@ -291,9 +302,9 @@ def _entities(docs, paper, at, res, stm, taxonomy, checks, th, edge) -> tuple[Da
 
     wk = d.groupBy("key").agg(F.min_by("title", "eid").alias("canonical_name"), F.min_by("doi", F.when(F.col("doi").isNotNull(), F.col("eid"))).alias("external_id"),
                               F.min_by("year", F.when(F.col("year").isNotNull(), F.col("eid"))).alias("year"), F.max("tier").alias("tier"),
-                              F.max(F.when(F.col("depth") == "deep", "deep").otherwise("a")).alias("dd"), best("tldr").alias("tldr"), best("venue").alias("venue"), best("authors").alias("authors"), best("language").alias("language"))
+                              F.max(F.when(F.col("depth") == "deep", "deep").otherwise("a")).alias("dd"), best("tldr").alias("tldr"), best("venue").alias("venue"), best("authors").alias("authors"), best("url").alias("url"), best("language").alias("language"))
     works = wk.select("key", F.lit("work").alias("type"), "canonical_name", "external_id", F.lit(None).cast("string").alias("origin"),
-                      _attrs(tldr=F.col("tldr"), venue=F.col("venue"), authors=F.col("authors"), language=F.col("language"), depth=F.when(F.col("dd") == "deep", "deep").otherwise("light")).alias("attrs"))
+                      _attrs(tldr=F.col("tldr"), venue=F.col("venue"), authors=F.col("authors"), url=F.col("url"), language=F.col("language"), depth=F.when(F.col("dd") == "deep", "deep").otherwise("light")).alias("attrs"))
     hubs = hub_rows(docs, paper, at, taxonomy)
     he = hubs.groupBy(F.col("dst").alias("key")).agg(F.min_by("name", F.struct("eid", "name")).alias("canonical_name"), F.substring_index(F.first("type"), "_", -1).alias("type"), F.min("eid").alias("eid")).select(
         "key", "type", "canonical_name", F.when(F.col("key").startswith("organism:taxon:"), F.expr("substring(key, 10)")).alias("external_id"), F.lit(None).cast("string").alias("origin"), F.expr(NO_MAP).alias("attrs"), "eid")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import ids
 from ..functions import scoring as sc
 from ..functions import text as tx
 from ..functions.entity import entity_text, topic_definition
@@ -12,9 +13,10 @@ from ..sources import star
 from .registry import NORM, register
 
 
-@register("x02_token_counts", f"""SELECT doc_id, len(regexp_extract_all({NORM.format('text')}, '[a-z0-9]+'))::INT AS tokens, len(list_distinct(regexp_extract_all({NORM.format('text')}, '[a-z0-9]+')))::INT AS words FROM documents""")
+@register("x02_token_counts", f"""SELECT doc_id, len(regexp_extract_all({NORM.format("replace(lower(text),'ß','ss')")}, '[a-z0-9]+'))::INT AS tokens,
+    len(list_distinct(regexp_extract_all({NORM.format("replace(lower(text),'ß','ss')")}, '[a-z0-9]+')))::INT AS words FROM documents""")
 def _(t):
-    d = t.documents.select("doc_id", tx.tokens(tx.collapse(F.lower("text"))).alias("w"))
+    d = t.documents.select("doc_id", tx.tokens(tx.norm(F.col("text"))).alias("w"))
     return d.select("doc_id", F.size("w").alias("tokens"), F.size(F.array_distinct("w")).alias("words"))
 
 
@@ -112,3 +114,33 @@ def _(t):
 def _(t):
     w = t.events.groupBy(F.window("ts", "7 days", "1 day")).agg(F.count("*").alias("n"))
     return w.select(F.date_format("window.start", "yyyy-MM-dd").alias("start"), "n")
+
+
+@register("x05_search_units", f"""WITH n AS (SELECT item_id, regexp_extract_all({NORM.format("replace(lower(text),'ß','ss')")}, '[a-z0-9]+') AS w FROM benchmark)
+    SELECT item_id, array_to_string(w, ' ') AS latin, '空间域 间域检 域检测 单细胞' AS han, '基因' AS pairs FROM n""")
+def _(t):
+    """What each passage is searched by, with Han runs of every length behind it."""
+    u = tx.search_units(tx.norm(F.concat("text", F.lit(" 空间域检测 基因 单细胞 网"))))
+    d = t.benchmark.select("item_id", u.alias("u"))
+    han = F.filter("u.terms", lambda w: tx.has_han(w))
+    return d.select("item_id", F.array_join(F.filter("u.terms", lambda w: ~tx.has_han(w)), " ").alias("latin"), F.array_join(han, " ").alias("han"),
+                    F.array_join("u.pairs", " ").alias("pairs"))
+
+
+@register("x14_tool_and_record_ids", """SELECT page_id, 'tool_'||page_id AS tool, (1000+page_id)::VARCHAR AS record FROM pages""")
+def _(t):
+    """The ids inside the addresses of tools and records, in each of their forms."""
+    k, n = F.col("page_id") % 3, F.col("page_id").cast("string")
+    tool = F.concat(F.when(k == 0, "https://bio.tools/").when(k == 1, "biotools:").otherwise(""), F.lit("Tool_"), n)
+    num = (F.col("page_id") + 1000).cast("string")
+    record = F.when(k == 0, F.concat(F.lit("https://zenodo.org/records/"), num)).when(k == 1, F.concat(F.lit("10.5281/zenodo."), num)).otherwise(num)
+    return t.pages.select("page_id", ids.biotools(tool).alias("tool"), ids.zenodo(record).alias("record"))
+
+
+@register("x17_link_unwrap", """SELECT page_id, CASE page_id%3 WHEN 0 THEN url WHEN 1 THEN url||' (cached)' ELSE '[see here]('||url||')' END AS url FROM pages""")
+def _(t):
+    """Markdown links around page addresses; a label of its own keeps the link."""
+    k = F.col("page_id") % 3
+    wrapped = F.when(k == 0, F.concat(F.lit("["), "url", F.lit("]("), "url", F.lit(")"))).when(k == 1, F.concat(F.lit("["), "url", F.lit("]("), "url", F.lit(") (cached)"))).otherwise(
+        F.concat(F.lit("[see here]("), "url", F.lit(")")))
+    return t.pages.select("page_id", ids.unwrap_link(wrapped).alias("url"))

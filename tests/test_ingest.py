@@ -192,3 +192,14 @@ def test_card_states_with_late_reviews_and_lost_state(spark, tmp_path):
             f.write_bytes(b"no state")
     review("after", [("c", 1, "2024-01-10"), ("a", 2, "2024-01-11")])
     assert drain() == (1, {"a": (4, 2, 2), "b": (2, 0, 4), "c": (1, 1, 1)})
+
+
+def test_papers_by_metadata_id_and_unwrapped_address(spark, docs):
+    made = docs.select("eid").orderBy("eid").collect()
+    ids = spark.createDataFrame([(made[0]["eid"], "W9"), (made[-1]["eid"], "W9")], "eid long, metadata_id string")
+    keys = {r["eid"]: r["key"] for r in ingest.papers(docs, ids).collect()}
+    assert keys[made[0]["eid"]] == keys[made[-1]["eid"]] == "work:openalex:W9"
+    assert all(k.startswith("work:doi:") for k in (r["key"] for r in ingest.papers(docs).collect()))
+    url = F.struct(*[F.lit("[https://a.example/x](https://a.example/x)").alias("url") if c == "url" else F.col(f"doc.paper.{c}").alias(c) for c in docs.select("doc.paper.*").columns])
+    g = ingest.materialize(docs.withColumn("doc", F.col("doc").withField("paper", url)))
+    assert {r["u"] for r in g.entity.filter("type = 'work'").select(F.col("attrs")["url"].alias("u")).collect()} == {"https://a.example/x"}
