@@ -33,8 +33,10 @@ def test_tokens_and_windows(spark):
 
 def test_query_terms_keep_the_twelve_longest(spark):
     s = "the and " + " ".join("w" + "x" * i for i in range(2, 20)) + " 空间域检测"
-    got = one(spark, tx.query_terms(tx.norm(F.col("s"))), s=s)[0]
-    assert got[:12] == ["w" + "x" * i for i in range(19, 7, -1)] and got[12:] == ["空间域", "间域检", "域检测"]
+    n = tx.norm(F.col("s"))
+    every, first = one(spark, tx.query_terms(n), tx.query_terms(n, tx.MAX_LATIN_TERMS, tx.MAX_HAN_TERMS), s=s)
+    assert first[:12] == ["w" + "x" * i for i in range(19, 7, -1)] and first[12:] == ["空间域", "间域检", "域检测"]
+    assert every == ["w" + "x" * i for i in range(19, 1, -1)] + first[12:]
 
 
 @pytest.mark.parametrize("raw,want", [
