@@ -80,3 +80,20 @@ def test_a_hot_list_is_dealt_to_cells(frame, monkeypatch):
     late = df.filter("id >= 500").select("id", F.concat(F.array(F.lit(1.0).cast("float")), F.transform("vec", lambda x: x * 0)).alias("vec"))
     hits = vi.search(vi.build(late, list_rows=100), late.filter("id % 100 = 0"), 4)
     assert answers(hits) == sorted((p, i, r) for p in range(500, 1500, 100) for r, i in enumerate([i for i in range(500, 506) if i != p][:4], 1))
+
+
+def test_recall_does_not_fall_with_the_number_of_lists(spark):
+    v = np.random.default_rng(5).normal(size=(3000, 64))
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([(i, v[i].tolist()) for i in range(len(v))], "id long, vec array<float>").repartition(4).cache()
+    probes = df.filter("id % 10 = 0")
+    truth = spark.createDataFrame([(int(p), int(i)) for p, i, _ in brute(v, range(0, len(v), 10), 10)], "probe long, id long")
+    assert vi.recall(vi.nearest(df, probes, 10, list_rows=10), truth).first()["recall"] >= 0.9
+
+
+def test_a_probe_goes_to_a_pack_once(frame):
+    _, df = frame
+    index = vi.build(df.select("id", "vec").filter("id >= 500"), list_rows=10)
+    routed = vi._routed(index, index.rows.select("id", "vec", F.lit(-2.0).alias("least")), 2, 5, "exact")
+    assert len(index.sizes) == 100 and routed.count() == 1000 * len(set(index.pack.tolist())) == 1000
+    assert routed.agg(F.min(F.size("lists"))).first()[0] >= len(index.sizes) - 2 - int((index.sizes == 0).sum())
