@@ -17,13 +17,14 @@ from pyspark.sql import functions as F
 from ..functions.keys import free_key
 from ..functions.text import norm
 from ..model import STATUS_RANK, Library
-from ..session import cut, stored
+from ..session import broadcast_if_small, cut, stored
 from . import lookups as lk
 from .corrections import active, field, merge_entities
 from .graph import components
 
 FOREVER = (1 << 63) - 1
 BEFORE = -1
+LOG_KEYS = 500_000  # different keys of a log that may travel to the edges, within the bytes of ``broadcast_if_small``
 
 
 # ---- merges as paths ---------------------------------------------------------------------
@@ -154,13 +155,28 @@ def last_words(pieces: DataFrame, said: DataFrame) -> DataFrame:
     return held.groupBy("lid").agg(F.max("last").alias("m")).select("lid", F.col("m.status").alias("said"))
 
 
+def concerned(edge: DataFrame, decided: DataFrame, path: DataFrame, splits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges the log may touch, all others). An edge keeps its keys and its status if no merge or split took or made one
+    of its ends and no decision names its source: then no other edge ends on its keys either. The keys of the log are
+    few beside the edges; where they are counted to be, the edges are not shuffled for it."""
+    ends = path.select("key").unionByName(path.select(F.col("at").alias("key"))).unionByName(splits.select("key")).unionByName(splits.select(F.col("new_key").alias("key")))
+    sources = decided.select(F.col("src").alias("key")).unionByName(splits.select(F.col("src").alias("key")))
+    out = edge
+    for end, keys in (("src", ends.unionByName(sources)), ("dst", ends)):
+        keys = broadcast_if_small(stored(keys.filter("key is not null").distinct(), "ends"), LOG_KEYS)
+        out = out.join(keys.select(F.col("key").alias(end), F.lit(True).alias(f"_{end}")), end, "left")
+    near = F.coalesce("_src", "_dst").isNotNull()
+    return out.filter(near).select(*edge.columns), out.filter(~near).select(*edge.columns)
+
+
 def replayed_edges(lib: Library, decided: DataFrame, path: DataFrame, splits: DataFrame, there: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges, split hits). decided(id, src, dst, type, status, evidence, created_at): statuses with keys of their time;
     a confirmation of an edge that is not there adds it. there(key, since): the entities."""
     rank = F.create_map(*[x for k, v in STATUS_RANK.items() for x in (F.lit(k), F.lit(v))])
     names = F.create_map(*[x for k, v in STATUS_RANK.items() for x in (F.lit(v), F.lit(k))])
     edge = ["src", "dst", "type"]
-    base = lib.edge.filter("src != dst").withColumn("lid", F.concat_ws("\x1f", F.lit("e"), *edge)).withColumn("since", F.lit(BEFORE).cast("long"))
+    touched, rest_of = concerned(lib.edge.filter("src != dst"), decided, path, splits)
+    base = touched.withColumn("lid", F.concat_ws("\x1f", F.lit("e"), *edge)).withColumn("since", F.lit(BEFORE).cast("long"))
     known = there.groupBy("key").agg(F.min("since").alias("since"))
     adds = decided.filter("status = 'confirmed' and src != dst")
     for end in edge[:2]:
@@ -185,7 +201,7 @@ def replayed_edges(lib: Library, decided: DataFrame, path: DataFrame, splits: Da
         F.min_by("evidence", F.when(F.col("evidence").isNotNull(), order)).alias("evidence"),
         F.when(some, F.min(F.when(own, F.col("created_at")))).otherwise(F.min("created_at")).alias("created_at"),
         *[F.min_by(c, order).alias(c) for c in rest])
-    return folded.select(*lib.edge.columns), hits
+    return folded.select(*lib.edge.columns).unionByName(rest_of), hits
 
 
 # ---- the whole log -------------------------------------------------------------------------
@@ -223,7 +239,7 @@ def apply_all(lib: Library, decisions: DataFrame) -> tuple[Library, DataFrame]:
     known = there.withColumn("since", F.lit(BEFORE).cast("long")).unionByName(fresh.select("key", "type", F.col("id").cast("long").alias("since")))
     halves = parts.join(known.select("key", F.col("type").alias("etype")).distinct(), "key").withColumn("new_key", F.coalesce("new_key", free_key(F.col("etype"), norm(F.col("new_name")))))
     halves = cut(halves)
-    known = cut(known.unionByName(halves.select(F.col("new_key").alias("key"), F.col("etype").alias("type"), F.col("id").cast("long").alias("since")).distinct()))
+    known = stored(known.unionByName(halves.select(F.col("new_key").alias("key"), F.col("etype").alias("type"), F.col("id").cast("long").alias("since")).distinct()), "known")
     merges, skipped = usable_merges(known, d)
     path = stored(paths(forest(merges)), "paths")
     red = cut(targets(path))
@@ -242,7 +258,7 @@ def apply_all(lib: Library, decisions: DataFrame) -> tuple[Library, DataFrame]:
     halved = halved.join(when, "id").join(there.select("key"), "key", "left_anti").join(fresh.select("key"), "key", "left_anti")
     add = fresh.select("key", "type", F.col("name").alias("canonical_name"), "created_at", "origin").withColumn("status", F.lit("active")).unionByName(
         halved.select("key", "type", "canonical_name", "created_at").withColumn("status", F.lit("active")), allowMissingColumns=True)
-    entity = cut(lib.entity.unionByName(add, allowMissingColumns=True))
+    entity = stored(lib.entity.unionByName(add, allowMissingColumns=True), "entities")
     alias = _moved_names(lib, halves, hits, path).unionByName(add.select(F.col("key").alias("entity_key"), F.col("canonical_name").alias("alias"))
                                                               .withColumn("norm", norm(F.col("alias"))).withColumn("source", F.lit("user")), allowMissingColumns=True)
 
@@ -258,7 +274,7 @@ def apply_all(lib: Library, decisions: DataFrame) -> tuple[Library, DataFrame]:
     out = lib.with_(entity=entity, alias=alias)
     out = _said_of_entities(out, keyed.filter("gone"))
     whole = merge_entities(out.with_(edge=out.edge.limit(0)), red)
-    whole = _said_of_entities(whole.with_(entity=cut(whole.entity)), keyed.filter("gone is null"))
+    whole = _said_of_entities(whole.with_(entity=stored(whole.entity, "entities")), keyed.filter("gone is null"))
     return whole.with_(edge=edge), skipped.unionByName(lost).unionByName(papers)
 
 

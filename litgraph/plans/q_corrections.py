@@ -8,7 +8,7 @@ from ..operators import corrections as co
 from ..operators import filters as fl
 from ..operators import lookups as lk
 from ..operators import replay
-from ..session import cut
+from ..session import cut, stored
 from ..sources import star
 from .q_sources import once
 from .registry import register
@@ -33,7 +33,7 @@ def replayed(t):
 
 def _replay(t):
     lib, skipped = replay.apply_all(t.library.with_(), log(t))
-    return lib.with_(entity=cut(lib.entity), edge=cut(lib.edge)), cut(skipped)
+    return lib.with_(entity=stored(lib.entity, "entities")), cut(skipped)
 
 
 MERGES = """mg AS (SELECT d.id, 'asset:'||a AS f, 'asset:'||b AS i, x.type AS ft, y.type AS it FROM dec d LEFT JOIN ent x ON x.key='asset:'||a LEFT JOIN ent y ON y.key='asset:'||b
@@ -66,8 +66,8 @@ def _(t):
     merge = F.to_json(F.struct(asset.alias("from"), F.concat(F.lit("asset:"), "b").alias("into")))
     said = F.to_json(F.struct(asset.alias("src"), F.concat(F.lit("topic:s"), "b").alias("dst"), F.lit("applicable_to").alias("type"), F.when(F.col("value") > 50, "rejected").otherwise("confirmed").alias("status")))
     d = d.filter("(op = 'merge' and a % 2 = 1 and b % 2 = 0) or op = 'edge_status'").withColumn("payload", F.when(F.col("op") == "merge", merge).otherwise(said))
-    lib, _skipped = replay.apply_all(t.library.with_(), d)
-    return lib.edge.filter("type = 'applicable_to'").select("src", "dst", "status")
+    lib, _skipped = replay.apply_all(t.library.with_(edge=t.library.edge.filter("type = 'applicable_to'")), d)  # the log names no other type
+    return lib.edge.select("src", "dst", "status")
 
 
 @register("d01_rejected_entities", f"""WITH {MERGES}, rj AS (SELECT DISTINCT 'asset:'||(a+b) AS key FROM dec WHERE op='reject_entity' AND revoked_at IS NULL)

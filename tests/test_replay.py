@@ -225,3 +225,13 @@ def test_paths_of_a_long_chain(spark):
             while at < 40 and (1000 - at if at % 2 else at + 1) < time:
                 at += 1
             assert [r["at"] for r in path if r["key"] == f"k{k:03}" and r["start"] < time <= r["stop"]] == [f"k{at:03}"]
+
+
+def test_only_concerned_edges_are_replayed(spark):
+    edge = spark.createDataFrame([("a", "x", "about"), ("b", "x", "about"), ("c", "x", "about"), ("d", "m", "about"), ("e", "n", "about"), ("f", "p", "about"), ("g", "q", "about")], "src string, dst string, type string")
+    path = spark.createDataFrame([("m", "m", -1, 5), ("m", "n", 5, 9)], "key string, at string, start long, stop long")
+    decided = spark.createDataFrame([("a", "y")], "src string, dst string")
+    splits = spark.createDataFrame([("p", "q", "f")], "key string, new_key string, src string")
+    near, others = replay.concerned(edge, decided, path, splits)
+    assert sorted(r["src"] for r in near.collect()) == ["a", "d", "e", "f", "g"]
+    assert sorted(r["src"] for r in others.collect()) == ["b", "c"]
