@@ -20,7 +20,7 @@ ISA = "isa AS (SELECT src, dst FROM edg WHERE type='is_a' AND status<>'rejected'
     WITH RECURSIVE {ISA}, w(root, key, depth) AS (SELECT key, key, 0 FROM ent WHERE type='topic'
       UNION SELECT w.root, isa.src, w.depth+1 FROM w JOIN isa ON isa.dst=w.key) SELECT root, key, depth FROM w""")
 def _(t):
-    lib = t.library
+    lib = t.library.with_(edge=t.library.edge_of("is_a"))
     return gr.topic_subtree(lib, lib.entity.filter("type = 'topic'").select("key"))
 
 
@@ -70,7 +70,7 @@ def _(t):
     SELECT key, coalesce(family,-1) AS family FROM c LEFT JOIN z USING (comp)""")
 def _(t):
     lib = t.library
-    is_a = gr.live(lib.edge).filter("type = 'is_a'")
+    is_a = gr.live(lib.edge_of("is_a"))
     fam = gr.families(lib.entity.filter("type = 'topic' and status = 'active'").select("key"), is_a.select("src", "dst"))
     return fam.select("key", F.coalesce("family", F.lit(-1)).cast("long").alias("family"))
 
@@ -78,7 +78,7 @@ def _(t):
 def cited_library(t):
     """Papers linked by citations, and the topic tree."""
     lib = t.library
-    tree = lib.edge.filter("type = 'is_a'")
+    tree = lib.edge_of("is_a")
     cites = lk.citations(t.events.selectExpr("cast(user_id as string) id", "array(get_json_object(props, '$.k')) referenced_works"),
                          t.events.selectExpr("cast(user_id as string) metadata_id", "concat('work:', user_id) key").distinct())
     return lib.with_(edge=tree.select("src", "dst", "status").unionByName(cites.withColumn("status", F.lit("auto"))))
@@ -136,7 +136,7 @@ def _(t):
 @register("g10_parents_children", """SELECT 'parent' AS what, src AS key, dst AS other FROM edg WHERE type='is_a' AND status<>'rejected'
     UNION ALL SELECT 'child', dst, src FROM edg WHERE type='is_a' AND status<>'rejected'""")
 def _(t):
-    lib = t.library
+    lib = t.library.with_(edge=t.library.edge_of("is_a"))
     return (gr.one_hop(lib, "is_a", True).select(F.lit("parent").alias("what"), "key", "other")
             .unionByName(gr.one_hop(lib, "is_a", False).select(F.lit("child").alias("what"), "key", "other")))
 
