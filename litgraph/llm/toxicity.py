@@ -324,16 +324,31 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, doc_id: str = "doc_
                 bags = [sorted({p for p in split_long([w for w in set(plain(t).split()) if len(w) >= 3])[0]}) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column("_y").cast(pa.int32()), pa.array(bags, pa.list_(pa.string()))], ["y", "words"])
 
-    sample = docs.select(doc_id, text).join(F.broadcast(chosen), doc_id).select("_y", text).mapInArrow(run, "y int, words array<string>").toArrow()
-    if sample.num_rows == 0 or len(set(sample.column("y").to_pylist())) < 2:
-        return None
-    lists = sample.column("words").combine_chunks()
+    sample = docs.select(doc_id, text).join(F.broadcast(chosen), doc_id).select("_y", text).mapInArrow(run, "y int, words array<string>")
+    # fitted in one task, not in the driver; in the order of the sample, as which words are drawn depends on it
+    row = (sample.withColumn("at", F.monotonically_increasing_id()).repartition(1).sortWithinPartitions("at").select("y", "words")
+           .mapInArrow(fitted, "weights binary, bias double, slope double, middle double").first())
+    return None if row is None else Model(np.frombuffer(row["weights"], np.float32), row["bias"], row["slope"], row["middle"])
+
+
+def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of a whole sample (y, words) as one row; no row without both labels."""
+    sample = [b for b in batches if len(b)]
+    if not sample:
+        return
+    sample = pa.Table.from_batches(sample)
+    toxic, lists = np.array(sample.column("y").to_pylist()), sample.column("words").combine_chunks()
+    if len(set(toxic.tolist())) < 2:
+        return
+    del sample
     coded = lists.flatten().dictionary_encode()
     if len(coded) == 0:
-        return None
+        return
     offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
     bags = np.split(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), offsets[1:-1])
-    return fit(bags, np.array(sample.column("y").to_pylist()), coded.dictionary.to_pylist())
+    model = fit(bags, toxic, coded.dictionary.to_pylist())
+    yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), *(pa.array([float(x)]) for x in (model.bias, model.slope, model.middle))],
+                                     ["weights", "bias", "slope", "middle"])
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

@@ -280,6 +280,17 @@ def insults(n: int, seed: int):
         yield i, " ".join(words), int(toxic)
 
 
+def test_toxicity_is_not_fitted_in_the_driver(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("fitted in the driver")
+
+    rows = [(i, f"quiet words of text number{i % 7}" + (" grobian" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    monkeypatch.setattr(toxicity, "fit", refuse)
+    model = toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.lit(True))
+    assert model.weights.shape == (toxicity.CODES,) and np.isfinite([model.bias, model.slope, model.middle]).all()
+
+
 def test_toxicity_on_held_out_texts(spark, docs, none):
     rows = list(insults(900, 3))
     df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").withColumn("score", F.lit("clash"))
