@@ -328,20 +328,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     """(doc_id, n_shingles, component_id, kept) of every row; kept marks the smallest id of each group."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = written(signatures(docs, size, bands * rows), "minhash-signed")
-    # one class a set; its node is the smallest id that has it
+    # one class a set; its node is the smallest id that has it. Copies are folded before the only shuffle of minima and sketches
     classes = written(signed.where("set_key is not null and doc_id is not null").groupBy("set_key")
-                      .agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "minhash-classes")
+                      .agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"), F.min_by(F.struct("n_shingles", "sig", "sketch"), "doc_id").alias("held")), "minhash-classes")
     copied = classes.where("n > 1").select("set_key", F.col("node").alias("first"))
-    tagged = signed.select("doc_id", "n_shingles", "set_key").join(copied, "set_key", "left").withColumn("node", F.coalesce("first", "doc_id")).drop("first")
-    alone = signed.join(classes.select("set_key", F.col("node").alias("doc_id")), ["set_key", "doc_id"], "left_semi").dropDuplicates(["set_key"])
-    alone = alone.select(F.col("doc_id").alias("node"), "n_shingles", "sig", "sketch")
+    tagged = written(signed.select("doc_id", "n_shingles", "set_key").join(copied, "set_key", "left")
+                     .select("doc_id", "n_shingles", "set_key", F.coalesce("first", "doc_id").alias("node")), "minhash-tagged")
+    forget(signed)
+    alone = classes.select("node", "held.n_shingles", "held.sig", "held.sketch")
 
     every = banded(alone, bands, rows).select("bucket", "band", "node")
     shared = written(every.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("most"), F.count(F.lit(1)).alias("n"))
                      .where("lead < most").drop("most"), "minhash-buckets")
     hot = broadcast_if_small(written(shared.where(F.col("n") > HOT).select("bucket", F.ceil(F.col("n") / HOT).cast("int").alias("keys")), "minhash-hot"))
     members = written(dealt(every, hot).join(per_bucket(shared.drop("n"), hot), ["bucket", "salt"]).select("bucket", "band", "node", "lead"), "minhash-members")
-    texts = written(docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id", "text"]), "minhash-texts")
+    nodes = written(members.select("node").distinct(), "minhash-nodes")
+    texts = written(docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "minhash-texts")
+    # what the rounds below read of a class; several sets of one node are a row each
+    alone = written(alone.join(nodes, "node", "left_semi"), "minhash-alone")
+    forget(classes, nodes)
 
     # ids with several sets are one node of all of them
     several = tagged.where("node is not null and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").drop("b")
@@ -382,6 +387,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         todo, best = found.where("a is null").select("bucket").distinct(), 64 * best
         if todo.isEmpty():
             break
+    forget(members, texts, alone, shared)
     return (tagged.select("doc_id", "n_shingles", "node").join(roots, "node", "left")
             .select("doc_id", "n_shingles", F.coalesce("root", "node", "doc_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.col("component_id").isNull())))
@@ -391,8 +397,8 @@ def keep_first(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str =
     """``docs`` with one row of each near-duplicate group: that of the smallest id, of several the first; a row without
     an id only where no other is."""
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    rows = written(docs.select(row, F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).withColumn("number", F.monotonically_increasing_id()), "minhash-rows")
-    groups = near_duplicates(rows.select(F.col("number").alias("doc_id"), "text"), size, percent)
+    rows = written(docs.select(row, F.col(doc_id).cast("long").alias("id")).withColumn("number", F.monotonically_increasing_id()), "minhash-rows")
+    groups = near_duplicates(rows.select(F.col("number").alias("doc_id"), F.col("row").getField(text).alias("text")), size, percent)
     named = groups.select(F.col("doc_id").alias("number"), "component_id").join(rows.select("number", "id"), "number")
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "number")).alias("first"))
     return rows.join(first.select(F.col("first.number").alias("number")), "number", "left_semi").select("row.*")

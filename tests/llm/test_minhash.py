@@ -97,3 +97,26 @@ def test_sketches_let_every_similar_pair_pass():
     assert (minhash.bins_of(minhash.sketch(some), len(some)) == minhash.binned(some >> np.uint64(54), some & np.uint64(0xFFFF))).all()
     assert all(n == 150 for (_, share), n in passed.items() if share == 0.8)
     assert all(n <= 1 for (size, share), n in passed.items() if share == 0.6 and size >= 40)
+
+
+def test_tables_of_the_rounds_are_deleted(spark):
+    import glob
+    import os
+    from litgraph.session import ensure_checkpoint_dir
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "g h i j k l"), (4, None), (5, "one two three")]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    before = set(glob.glob(f"{folder}/minhash-*"))
+    out = minhash.near_duplicates(texts, size=2, percent=80)
+    left = {os.path.basename(f).rsplit("-", 1)[0] for f in set(glob.glob(f"{folder}/minhash-*")) - before}
+    assert left.isdisjoint({"minhash-signed", "minhash-classes", "minhash-alone", "minhash-texts", "minhash-members"})
+    assert {r["doc_id"]: r["component_id"] for r in out.collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+
+
+def test_keep_first_holds_a_text_once(spark, monkeypatch):
+    held = {}
+    write = minhash.written
+    monkeypatch.setattr(minhash, "written", lambda df, what: held.setdefault(what, df.columns) and write(df, what))
+    rows = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (3, "g h i j k l", "z")], "doc_id long, text string, more string")
+    assert sorted(r["more"] for r in minhash.keep_first(rows).collect()) == ["x", "z"]
+    assert "text" not in held["minhash-rows"]
