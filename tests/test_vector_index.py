@@ -97,3 +97,26 @@ def test_a_probe_goes_to_a_pack_once(frame):
     routed = vi._routed(index, index.rows.select("id", "vec", F.lit(-2.0).alias("least")), 2, 5, "exact")
     assert len(index.sizes) == 100 and routed.count() == 1000 * len(set(index.pack.tolist())) == 1000
     assert routed.agg(F.min(F.size("lists"))).first()[0] >= len(index.sizes) - 2 - int((index.sizes == 0).sum())
+
+
+def test_centroids_are_not_fitted_in_the_driver(frame, monkeypatch):
+    import os
+    driver, fit = os.getpid(), vi.centres
+
+    def elsewhere(*of):
+        assert os.getpid() != driver
+        return fit(*of)
+
+    monkeypatch.setattr(vi, "centres", elsewhere)
+    index = vi.build(frame[1].select("id", "vec"), list_rows=100)
+    assert index.centroids.shape[1] == 16 and len(index.centroids) > 1 and index.sizes.sum() == index.rows.count()
+
+
+def test_embedding_keeps_few_places(monkeypatch):
+    from litgraph.functions import embed
+    texts = ["one text", "", "one  text", "grün 增加"]
+    whole = embed.hash_vectors(texts, {})
+    known = {}
+    monkeypatch.setattr(embed, "KNOWN", 2)
+    assert (embed.hash_vectors(texts, known) == whole).all() and len(known) <= 2
+    assert np.allclose(np.linalg.norm(whole, axis=1), 1)
