@@ -203,3 +203,17 @@ def test_papers_by_metadata_id_and_unwrapped_address(spark, docs):
     url = F.struct(*[F.lit("[https://a.example/x](https://a.example/x)").alias("url") if c == "url" else F.col(f"doc.paper.{c}").alias(c) for c in docs.select("doc.paper.*").columns])
     g = ingest.materialize(docs.withColumn("doc", F.col("doc").withField("paper", url)))
     assert {r["u"] for r in g.entity.filter("type = 'work'").select(F.col("attrs")["url"].alias("u")).collect()} == {"https://a.example/x"}
+
+
+def test_papers_and_hubs_wait_for_no_resolution(docs, graph, monkeypatch):
+    """All tables were made for whichever was asked for."""
+    monkeypatch.setattr(ingest, "resolve", None)
+    g = ingest.materialize(docs)
+    assert sorted(g.paper_of.collect()) == sorted(graph.paper_of.collect())
+    cols = ["key", "type", "canonical_name", "external_id"]
+    assert sorted(map(str, g.hubs.select(*cols).collect())) == sorted(map(str, graph.entity.filter("type in ('organism','modality')").select(*cols).collect()))
+
+
+def test_one_type_resolves_like_all(docs, graph):
+    own = ingest.materialize(docs).resolved("topic").entities.select("key")
+    assert sorted(own.collect()) == sorted(graph.entity.filter("type = 'topic'").select("key").collect())
