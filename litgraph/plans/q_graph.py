@@ -95,9 +95,8 @@ def _(t):
     """The certificate of the communities: every linked node is in one that most of its neighbours are in, and every
     other node is in one of its own."""
     lib = cited_library(t)
-    found = cut(gr.communities(lib))
-    _, adj = gr.community_links(lib)
-    adj = cut(adj)
+    links = gr.community_links(lib)
+    found, adj = cut(gr.communities(lib, links)), links[1]
     inside = adj.join(found.select(F.col("key").alias("other"), "community"), "other").groupBy(F.col("node").alias("key"), "community").agg(F.count("*").alias("v"))
     most = inside.groupBy("key").agg(F.max("v").alias("most"))
     size = found.groupBy("community").agg(F.count("*").alias("n"))

@@ -49,6 +49,28 @@ def test_communities_stay_inside_components(spark):
     assert sum(v == got["alone"] for v in got.values()) == 1 and got["a0"] == 0
 
 
+def test_communities_settle_in_few_rounds_around_hubs(spark, monkeypatch):
+    """300 nodes with 20 of 40 hubs each: by hashes alone a node waits for all its hubs and they for it."""
+    edges = [(f"n{i:03d}", f"h{(i * 7 + j * j) % 40:02d}", "cites", "auto") for i in range(300) for j in range(20)]
+    g = lib(spark, edges)
+    g = g.with_(entity=g.entity.unionByName(spark.createDataFrame([("alone", "topic", "active")], "key string, type string, status string")))
+    rounds, looked = [], gr.best_labels
+
+    def counted(adj, label, at=None):
+        rounds.append(label.filter("key = 'alone'").count())
+        assert len(rounds) <= 15
+        return looked(adj, label, at)
+
+    monkeypatch.setattr(gr, "best_labels", counted)
+    got = {r["key"]: r["community"] for r in gr.communities(g).collect()}
+    assert not any(rounds) and len(got) == 1 + len({x for a, b, *_ in edges for x in (a, b)})  # the lone node has no turn, but a place
+    near = {}
+    for a, b in {(a, b) for a, b, *_ in edges}:
+        near.setdefault(a, []).append(got[b])
+        near.setdefault(b, []).append(got[a])
+    assert all(v.count(got[k]) == max(v.count(c) for c in v) for k, v in near.items())
+
+
 def test_numbering_does_not_depend_on_partitions(spark):
     df = spark.range(1000).selectExpr("id % 7 g", "id")
     for n in (1, 9):
