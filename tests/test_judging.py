@@ -76,3 +76,24 @@ def test_a_reranker_is_an_argument(spark, claims):
     assert len({r["key"] for r in merged.assigned.collect()}) == 1
     apart = rs.resolve(topics, rerank=lambda pairs, a, b: pairs.withColumn("rel", F.lit(0.1)))
     assert len({r["key"] for r in apart.assigned.collect()}) == 4 and apart.queue.count() == 0
+
+
+def test_vectors_are_not_written_or_moved(spark, monkeypatch):
+    """Scores of pairs write no vectors, and the vector of a text that one entity has stays where it was made."""
+    from litgraph.model import Library
+    from litgraph.operators import retrieval as rt
+    written = []
+    monkeypatch.setattr(rt, "stored", lambda df, what: written.append(df.schema.simpleString()) or df)
+    pairs = spark.createDataFrame([("red widget", "a red ring"), ("red widget", None), ("空间域", "空间 red"), ("", "")], "a string, b string")
+    got = rt.lexical_scores(pairs, "a", "b").collect()
+    assert not written
+    slow = rt.lexical_scores(pairs, "a", "b", rt.hash_embedder(512)).collect()
+    assert [(r["a"], r["b"], r["rel"]) for r in got] == [(r["a"], r["b"], r["rel"]) for r in slow] and got[0]["rel"] > 0.2
+    rows = [(f"k{i}", "work", f"name {i // 2 if i < 10 else i}", "active") for i in range(30)] + [("k7", "work", "name 3", "active")]
+    lib = Library(entity=spark.createDataFrame(rows, "key string, type string, canonical_name string, status string"), edge=None)
+    cache = spark.createDataFrame([], "text_sha string, model string, vec array<float>")
+    vec, new = rt.index_entities(lib, cache, "hash")
+    assert sorted(r["key"] for r in vec.collect()) == sorted(r[0] for r in rows) and new.count() == 25
+    plan = vec._jdf.queryExecution().executedPlan().toString().split("\n")
+    first = next(i for i, line in enumerate(plan) if "ArrowEvalPython" in line)
+    assert not any(w in line for line in plan[:first] for w in ("Sort", "Exchange", "Join"))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from litgraph.operators import retrieval as rt
 from litgraph.operators import vector_index as vi
 
 
@@ -120,3 +121,26 @@ def test_embedding_keeps_few_places(monkeypatch):
     monkeypatch.setattr(embed, "KNOWN", 2)
     assert (embed.hash_vectors(texts, known) == whole).all() and len(known) <= 2
     assert np.allclose(np.linalg.norm(whole, axis=1), 1)
+
+
+@pytest.mark.parametrize("k", [7, 2000])
+def test_long_lists_are_not_sorted_in_one_task(frame, monkeypatch, k):
+    """More hits of a probe than one task may sort: numbered over ranges, or all of them, with the same ranks."""
+    v, df = frame
+    own = df.select("id", "vec")
+    monkeypatch.setattr(rt, "RANKED", 5)
+    assert answers(rt.top_similar(own, own.filter("id in (0, 500, 900)"), k)) == sorted(brute(v, (0, 500, 900), k))
+
+
+@pytest.mark.parametrize("kept", [2_000_000, 0])
+def test_scan_with_bounds_is_brute_force(frame, monkeypatch, kept):
+    """Small blocks, so that bounds tighten; classes with an order; the same probes by their different vectors."""
+    v, df = frame
+    monkeypatch.setattr(rt, "KEPT", kept)
+    monkeypatch.setattr(rt, "BLOCK", 200)
+    some = df.filter("id % 100 < 2")
+    ids = [i for i in range(len(v)) if i % 100 < 2]
+    assert answers(rt.top_similar(df, some, 4, 0.2)) == sorted(brute(v, ids, 4, 0.2, seq=True))
+    two = df.select("id", "vec")
+    for most in (2000, 25):  # 30 probes, 10 of them copies of one vector
+        assert answers(rt.top_similar(two, two.filter("id % 100 < 2"), 4, 0.2, max_probes=most)) == sorted(brute(v, ids, 4, 0.2))
