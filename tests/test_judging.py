@@ -97,3 +97,16 @@ def test_vectors_are_not_written_or_moved(spark, monkeypatch):
     plan = vec._jdf.queryExecution().executedPlan().toString().split("\n")
     first = next(i for i, line in enumerate(plan) if "ArrowEvalPython" in line)
     assert not any(w in line for line in plan[:first] for w in ("Sort", "Exchange", "Join"))
+
+
+def test_vectors_of_some_are_embedded_without_the_others(spark):
+    from litgraph.model import Library
+    from litgraph.operators import retrieval as rt
+    rows = [(f"k{i}", "work", f"name {i // 2}", "active") for i in range(8)]
+    lib = Library(entity=spark.createDataFrame(rows, "key string, type string, canonical_name string, status string"), edge=None)
+    all_of = rt.Indexed(lib, spark.createDataFrame([], "text_sha string, model string, vec array<float>"), "hash")
+    keys = spark.createDataFrame([("k1",), ("k2",), ("k3",)], "key string")
+    some = rt.vectors_at(all_of, keys)
+    assert sorted(some.collect()) == sorted(rt.vectors_at(all_of.of(), keys).collect()) and some.count() == 3
+    plan = some._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert next(i for i, line in enumerate(plan) if "ArrowEvalPython" in line) < next(i for i, line in enumerate(plan) if "LeftSemi" in line)
