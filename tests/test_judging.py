@@ -110,3 +110,15 @@ def test_vectors_of_some_are_embedded_without_the_others(spark):
     assert sorted(some.collect()) == sorted(rt.vectors_at(all_of.of(), keys).collect()) and some.count() == 3
     plan = some._jdf.queryExecution().optimizedPlan().toString().split("\n")
     assert next(i for i, line in enumerate(plan) if "ArrowEvalPython" in line) < next(i for i, line in enumerate(plan) if "LeftSemi" in line)
+
+
+def test_heavy_terms_are_ranked_once(spark, monkeypatch):
+    """Every question has words that many documents have: the same hits as by all pairs, ties and all."""
+    from litgraph.operators import retrieval as rt
+    docs = spark.createDataFrame([(i, f"supplier number{i % 40:03d} {'red ' * (i % 3)}{'widget' if i % 4 else 'ring'} x{i % 7}yz") for i in range(400)], "id long, body string")
+    asked = spark.createDataFrame([(q, f"supplier number{q:03d}" + (" red widget" if q % 2 else "")) for q in range(45)] + [(99, "supplier")], "q long, text string")
+    got = {}
+    for most in (rt.MAX_PAIRS, 0):
+        monkeypatch.setattr(rt, "MAX_PAIRS", most)
+        got[most] = sorted((r["q"], r["id"], r["score"], r["rank"]) for r in rt.keyword_search(docs, asked, 3).collect())
+    assert got[0] == got[20_000_000] and len(got[0]) == 46 * 3
