@@ -17,14 +17,14 @@ from pyspark.sql import functions as F
 from ..functions.keys import free_key
 from ..functions.text import norm
 from ..model import STATUS_RANK, Library
-from ..session import broadcast_if_small, cut, stored
+from ..session import cut, stored
 from . import lookups as lk
 from .corrections import active, field, merge_entities
 from .graph import components
 
 FOREVER = (1 << 63) - 1
 BEFORE = -1
-LOG_KEYS = 500_000  # different keys of a log that may travel to the edges, within the bytes of ``broadcast_if_small``
+LOG_KEYS = 2_000_000  # different keys of a log whose hashes may travel to the edges
 
 
 # ---- merges as paths ---------------------------------------------------------------------
@@ -156,15 +156,17 @@ def last_words(pieces: DataFrame, said: DataFrame) -> DataFrame:
 
 
 def concerned(edge: DataFrame, decided: DataFrame, path: DataFrame, splits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges the log may touch, all others). An edge keeps its keys and its status if no merge or split took or made one
-    of its ends and no decision names its source: then no other edge ends on its keys either. The keys of the log are
-    few beside the edges; where they are counted to be, the edges are not shuffled for it."""
+    """(edges the log may touch, all others), or the statements of such edges. An edge keeps its keys and its status if no
+    merge or split took or made one of its ends and no decision names its source: then no other edge ends on its keys
+    either. The keys of the log are few beside the edges; where they are counted to be, the edges are not shuffled for it.
+    Keys are compared by their hashes: an edge taken for another passes the log unchanged."""
     ends = path.select("key").unionByName(path.select(F.col("at").alias("key"))).unionByName(splits.select("key")).unionByName(splits.select(F.col("new_key").alias("key")))
     sources = decided.select(F.col("src").alias("key")).unionByName(splits.select(F.col("src").alias("key")))
     out = edge
     for end, keys in (("src", ends.unionByName(sources)), ("dst", ends)):
-        keys = broadcast_if_small(stored(keys.filter("key is not null").distinct(), "ends"), LOG_KEYS)
-        out = out.join(keys.select(F.col("key").alias(end), F.lit(True).alias(f"_{end}")), end, "left")
+        keys = stored(keys.filter("key is not null").select(F.xxhash64("key").alias(f"_{end}h")).distinct(), "ends")
+        keys = F.broadcast(keys) if keys.count() <= LOG_KEYS else keys.hint("merge")
+        out = out.withColumn(f"_{end}h", F.xxhash64(end)).join(keys.withColumn(f"_{end}", F.lit(True)), f"_{end}h", "left")
     near = F.coalesce("_src", "_dst").isNotNull()
     return out.filter(near).select(*edge.columns), out.filter(~near).select(*edge.columns)
 
@@ -175,14 +177,16 @@ def replayed_edges(lib: Library, decided: DataFrame, path: DataFrame, splits: Da
     rank = F.create_map(*[x for k, v in STATUS_RANK.items() for x in (F.lit(k), F.lit(v))])
     names = F.create_map(*[x for k, v in STATUS_RANK.items() for x in (F.lit(v), F.lit(k))])
     edge = ["src", "dst", "type"]
-    touched, rest_of = concerned(lib.edge.filter("src != dst"), decided, path, splits)
+    apart = lambda e: concerned(e.filter("src != dst"), decided, path, splits)
+    touched, rest_of = lib.edge_parts(apart) if hasattr(lib, "edge_parts") else apart(lib.edge)
+    columns = touched.columns
     base = touched.withColumn("lid", F.concat_ws("\x1f", F.lit("e"), *edge)).withColumn("since", F.lit(BEFORE).cast("long"))
     known = there.groupBy("key").agg(F.min("since").alias("since"))
     adds = decided.filter("status = 'confirmed' and src != dst")
     for end in edge[:2]:
         adds = adds.join(known.select(F.col("key").alias(end), F.col("since").alias("_s")), end).filter("_s <= id").drop("_s")
     adds = adds.select(F.concat_ws("\x1f", F.lit("d"), F.col("id").cast("string"), *edge).alias("lid"), *edge, F.col("id").cast("long").alias("since"), "status", "evidence", "created_at")
-    added = [c for c in ("evidence", "created_at") if c in lib.edge.columns]
+    added = [c for c in ("evidence", "created_at") if c in columns]
     leaves = base.unionByName(adds.select("lid", *edge, "since", "status", *added, F.lit(1.0).alias("confidence")), allowMissingColumns=True)
     leaves = stored(leaves.dropDuplicates(["lid"]), "leaves")
     pieces, hits = lineages(leaves, path, splits)
@@ -192,7 +196,7 @@ def replayed_edges(lib: Library, decided: DataFrame, path: DataFrame, splits: Da
     out = out.withColumn("src", F.col("_src")).withColumn("dst", F.col("_dst")).withColumn("status", F.coalesce("said", "status")).drop("_src", "_dst", "said")
     # an added edge stands only where no other one ended; its status counts in any case
     own = F.col("since") == BEFORE
-    rest = [c for c in lib.edge.columns if c not in (*edge, "status", "confidence", "evidence", "created_at")]
+    rest = [c for c in columns if c not in (*edge, "status", "confidence", "evidence", "created_at")]
     order = F.struct((~own).alias("late"), "created_at", "evidence", "lid")
     some = F.max(own.cast("int")) == 1
     folded = out.groupBy(*edge).agg(
@@ -201,7 +205,7 @@ def replayed_edges(lib: Library, decided: DataFrame, path: DataFrame, splits: Da
         F.min_by("evidence", F.when(F.col("evidence").isNotNull(), order)).alias("evidence"),
         F.when(some, F.min(F.when(own, F.col("created_at")))).otherwise(F.min("created_at")).alias("created_at"),
         *[F.min_by(c, order).alias(c) for c in rest])
-    return folded.select(*lib.edge.columns).unionByName(rest_of), hits
+    return folded.select(*columns).unionByName(rest_of), hits
 
 
 # ---- the whole log -------------------------------------------------------------------------
@@ -273,7 +277,7 @@ def apply_all(lib: Library, decisions: DataFrame) -> tuple[Library, DataFrame]:
     papers = keyed.filter("op = 'reject_entity' and type = 'work'").select("id", "op", F.lit("a paper is retracted, not rejected").alias("reason"))
     out = lib.with_(entity=entity, alias=alias)
     out = _said_of_entities(out, keyed.filter("gone"))
-    whole = merge_entities(out.with_(edge=out.edge.limit(0)), red)
+    whole = merge_entities(out.with_(edge=edge.limit(0)), red)
     whole = _said_of_entities(whole.with_(entity=stored(whole.entity, "entities")), keyed.filter("gone is null"))
     return whole.with_(edge=edge), skipped.unionByName(lost).unionByName(papers)
 
